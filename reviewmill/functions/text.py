@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 from operator import add, or_
 
@@ -12,15 +13,13 @@ from pyspark.sql import functions as F
 from reviewmill import vocab
 
 # Unicode white space, written out so that Java and other engines split words alike.
-SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LATIN_SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}"
+SPACE = LATIN_SPACE + r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
-def phrase_pattern(phrases: list[str]) -> str:
-    """A whole-word pattern that finds the longest phrase at each spot.
-
-    Phrases share their prefixes in the pattern and a look-ahead on first letters skips most words, so the cost per
-    word does not grow with the dictionary. Equal to trying the phrases one by one, longest first.
-    """
+def _shared_prefixes(phrases: list[str]) -> str:
+    """The phrases as one pattern that shares common prefixes and prefers longer phrases, e.g. ``bro(?:ken|ke)``."""
     root: dict = {}
     for phrase in phrases:
         node = root
@@ -30,12 +29,24 @@ def phrase_pattern(phrases: list[str]) -> str:
 
     def render(node: dict) -> str:
         branches = [re.escape(char) + render(child) for char, child in sorted(node.items()) if char != "end"]
-        if not branches:
-            return ""
-        return f"(?:{'|'.join(branches)}){'?' if 'end' in node else ''}"
+        if len(branches) == 1 and "end" not in node:
+            return branches[0]
+        return f"(?:{'|'.join(branches)}){'?' if 'end' in node else ''}" if branches else ""
+
+    return render(root)
+
 
-    first_letters = re.escape("".join(sorted(root)))
-    return rf"\b(?=[{first_letters}])({render(root)})\b"
+def _first_letters(phrases: list[str]) -> str:
+    return re.escape("".join(sorted({p[0] for p in phrases})))
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """A whole-word pattern that finds the longest phrase at each spot.
+
+    Phrases share their prefixes in the pattern and a look-ahead on first letters skips most words, so the cost per
+    word hardly grows with the dictionary. Equal to trying the phrases one by one, longest first.
+    """
+    return rf"\b(?=[{_first_letters(phrases)}])({_shared_prefixes(phrases)})\b"
 
 
 def find_phrases(text: Column, phrases: list[str]) -> Column:
@@ -45,7 +56,7 @@ def find_phrases(text: Column, phrases: list[str]) -> Column:
 
 def find_pattern(text: Column, pattern: str) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1))))
 
 
 def time_references(text: Column) -> Column:
@@ -93,22 +104,47 @@ def exact_round(value: Column, digits: int) -> Column:
     return exact_decimal(value, digits).cast("double")
 
 
+def without(text: Column, characters: str) -> Column:
+    """``text`` without the given characters."""
+    return F.translate(text, characters, "")
+
+
+def word_count(text: Column, visible: Column) -> Column:
+    """Words between white space. ASCII texts, told by their size, need the short pattern only."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    parts = F.size(F.when(ascii_only, F.split(text, f"[{LATIN_SPACE}]+")).otherwise(F.split(text, f"[{SPACE}]+")))
+    outer = sum(
+        ((without(F.substring(text, position, 1), SPACE_CHARS) == "").cast("int") for position in (1, -1)), F.lit(0)
+    )
+    return F.when(visible == 0, 0).otherwise(parts - outer)
+
+
+def style_inputs(text: Column) -> list[Column]:
+    """Numbers that several style features use: characters that are no space, letters, words.
+
+    They are counted by functions that loop inside (translate, split). Several regexp_replace calls in one projection
+    make generated code too large to be compiled and run several times slower.
+    """
+    visible = F.length(without(text, SPACE_CHARS))
+    return [
+        visible.alias("_visible"),
+        (F.length(text) - F.length(without(text, string.ascii_letters))).alias("_letters"),
+        word_count(text, visible).alias("_words"),
+    ]
+
+
 def style_features(text: Column, title: Column, rating: Column) -> list[Column]:
-    """The eight review style features."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    visible = F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+    """The eight review style features, on rows that have ``style_inputs``."""
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     return [
         F.length(text).alias("text_length"),
-        words.alias("word_count"),
+        F.col("_words").alias("word_count"),
         F.coalesce(rating, F.lit(3.0)).alias("rating"),
         F.length(F.coalesce(title, F.lit(""))).alias("title_length"),
         text.contains("!").cast("int").alias("has_exclamation"),
         text.contains("?").cast("int").alias("has_question"),
-        F.coalesce(F.try_divide(visible, words), F.lit(0.0)).alias("avg_word_length"),
-        F.coalesce(F.try_divide(capitals, letters), F.lit(0.0)).alias("uppercase_ratio"),
+        F.coalesce(F.try_divide("_visible", "_words"), F.lit(0.0)).alias("avg_word_length"),
+        F.coalesce(F.try_divide(capitals, F.col("_letters")), F.lit(0.0)).alias("uppercase_ratio"),
     ]
 
 

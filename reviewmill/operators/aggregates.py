@@ -104,7 +104,9 @@ def word_frequencies(reviews: DataFrame, limit: int = 100, stop_words: list[str]
     """The most frequent words of negative reviews."""
     negative = filters.sentiment_band(reviews, "negative").filter(F.col("text").isNotNull())
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z']+)"), F.lit(1))
-    counted = negative.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("word_count"))
+    # An outer explode: for an inner one Spark adds a filter on the array's size, which would split every text twice.
+    each = negative.select(F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
+    counted = each.groupBy("word").agg(F.count("*").alias("word_count"))
     return counted.filter(~F.col("word").isin(stop_words)).orderBy(F.desc("word_count"), "word").limit(limit)
 
 

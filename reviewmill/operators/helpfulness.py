@@ -18,8 +18,9 @@ MAX_ERROR = 2.0
 
 def style_table(reviews: DataFrame) -> DataFrame:
     """id, the eight style features and the target votes."""
-    features = tx.style_features(F.col("text"), F.col("title"), F.col("rating"))
-    return reviews.select("id", *features, "helpful_votes")
+    staged = reviews.withColumn("_text", F.coalesce("text", F.lit("")))
+    staged = staged.select("*", *tx.style_inputs(F.col("_text")))
+    return staged.select("id", *tx.style_features(F.col("_text"), F.col("title"), F.col("rating")), "helpful_votes")
 
 
 def _vectors(df: DataFrame, scaler: Scaler) -> DataFrame:

@@ -46,7 +46,7 @@ def top_entities(reviews: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
     """Long form: asin, kind, entity, count, position."""
     ranked = product_entities(reviews).select(
         "asin",
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(F.lit("component").alias("kind"), most_common(F.col("components"), n).alias("top")),
                 F.struct(F.lit("issue").alias("kind"), most_common(F.col("issues"), n).alias("top")),

@@ -21,18 +21,22 @@ def entity_counts(
     has; the shuffle key includes the entity, so a hot product is spread out. ``measures`` aggregate ``inputs`` and
     are read from the "review" rows.
     """
-    mentions = F.concat(
-        F.array(F.struct(F.lit("review").alias("kind"), F.lit("").alias("entity"))),
-        _tagged("component", tx.find_phrases(text, vocab.COMPONENTS)),
-        _tagged("issue", tx.find_phrases(text, vocab.ISSUES)),
+    groups = F.array(
+        _group("review", F.array(F.lit(""))),
+        _group("component", tx.find_phrases(text, vocab.COMPONENTS)),
+        _group("issue", tx.find_phrases(text, vocab.ISSUES)),
     )
-    exploded = reviews.select(*keys, *inputs, F.explode(mentions).alias("m"))
-    entity = [F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity")]
-    return exploded.groupBy(*keys, *entity).agg(F.count("*").alias("n"), *measures)
+    # Texts are read in this projection only; the explodes pass on short values. The first one is an outer explode, as
+    # for an inner one Spark adds a filter on the array's size, which would search every text twice.
+    read = reviews.select(*keys, *inputs, groups.alias("_groups"))
+    names = [c for c in read.columns if c != "_groups"]
+    kinds = read.select(*names, F.explode_outer("_groups").alias("_g"))
+    mentions = kinds.select(*names, F.col("_g.kind").alias("kind"), F.explode("_g.phrases").alias("entity"))
+    return mentions.groupBy(*keys, "kind", "entity").agg(F.count("*").alias("n"), *measures)
 
 
-def _tagged(kind: str, phrases: Column) -> Column:
-    return F.transform(phrases, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("entity")))
+def _group(kind: str, phrases: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), phrases.alias("phrases"))
 
 
 def of_kind(kind: str, value: Column, name: str) -> Column:

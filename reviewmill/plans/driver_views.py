@@ -80,11 +80,17 @@ class Tables:
             _settled[key] = settle(build(), name)
         return _settled[key]
 
-    def review_rows(self, events: DataFrame) -> DataFrame:
-        """Reviews from event rows (a stream or a table), each with the whole text of one document."""
+    def review_rows(self, events: DataFrame, tasks: int | None = None) -> DataFrame:
+        """Reviews from event rows (a stream or a table), each with the whole text of one document.
+
+        With ``tasks``, both sides are laid out by document over that many tasks. The sides are narrow compared with
+        the joined rows, so sizes measured before the join would choose too few.
+        """
         documents = self.source("documents").select("doc_id", F.col("text").alias("doc_text"), "source")
-        size = documents.count()
-        joined = events.withColumn("doc_id", F.col("event_id") % size).join(documents, "doc_id")
+        events = events.withColumn("doc_id", F.col("event_id") % documents.count())
+        if tasks:
+            events, documents = events.repartition(tasks, "doc_id"), documents.repartition(tasks, "doc_id")
+        joined = events.join(documents, "doc_id")
         event, user = F.col("event_id"), F.col("user_id")
         phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (event % (2 + user % 9) + 1).cast("int"))
         title = rating = None
@@ -109,7 +115,9 @@ class Tables:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return self._settled("reviews", lambda: self.review_rows(self.source("events")))
+        events = self.source("events")
+        tasks = max(self.spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
+        return self._settled("reviews", lambda: self.review_rows(events, tasks))
 
     @cached_property
     def products(self) -> DataFrame:

@@ -20,18 +20,20 @@ from reviewmill.plans.driver_views import Tables, extract, present, quoted, with
 from reviewmill.sources import readers, writers
 from reviewmill.streaming import ingest
 
-DIGITS = 9
+# Doubles are compared after rounding. Values that sum many inexact terms (scores) get fewer digits, as engines add in
+# different orders.
+DIGITS, SCORE_DIGITS = 9, 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Doubles rounded to nine digits, timestamps without zone, so that engines print the same values."""
+def comparable(df: DataFrame, digits: int) -> DataFrame:
+    """Doubles rounded, timestamps without zone, so that engines print the same values."""
 
     def column(field: T.StructField) -> Column:
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return F.round(value.cast("double"), DIGITS).alias(field.name)
+            return F.round(value.cast("double"), digits).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return value.cast("timestamp_ntz").alias(field.name)
         return value
@@ -39,11 +41,11 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*(column(f) for f in df.schema.fields))
 
 
-def query(name: str, check: str | None = None):
+def query(name: str, check: str | None = None, digits: int = DIGITS):
     """Register a function of ``Tables`` under ``name``, with its check SQL if the operator can be said in SQL."""
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: comparable(build(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: comparable(build(Tables(spark, sf_dir)), digits)
         if check:
             CHECKS[name] = with_views(check)
         return build
@@ -472,8 +474,8 @@ def _(t):
     return aggregates.word_frequencies(t.reviews)
 
 
-@query("agg17_exact_percentile", """SELECT round(quantile_cont(anomaly_score, 0.95), 9) AS p95, round(quantile_cont(anomaly_score, 0.5), 9) AS p50,
- round(quantile_cont(anomaly_score, 0.999), 9) AS p999 FROM scored""")
+@query("agg17_exact_percentile", """SELECT round(quantile_cont(anomaly_score, 0.95), 6) AS p95, round(quantile_cont(anomaly_score, 0.5), 6) AS p50,
+ round(quantile_cont(anomaly_score, 0.999), 6) AS p999 FROM scored""", SCORE_DIGITS)
 def _(t):
     values = {n: selection.exact_percentile(t.scores, "anomaly_score", p) for n, p in (("p95", 0.95), ("p50", 0.5), ("p999", 0.999))}
     return t.spark.createDataFrame([values], "p95 double, p50 double, p999 double")
@@ -797,11 +799,11 @@ def _(t):
 # Quality, models and decisions
 
 
-Z = ", ".join(f"round((f.{c} - s.m_{i}) / s.s_{i}, 9) AS z_{c}" for i, c in enumerate(vocab.FEATURES))
+Z = ", ".join(f"round((f.{c} - s.m_{i}) / s.s_{i}, 6) AS z_{c}" for i, c in enumerate(vocab.FEATURES))
 MOMENTS = ", ".join(f"avg({c}) AS m_{i}, stddev_pop({c}) AS s_{i}" for i, c in enumerate(vocab.FEATURES))
 
 
-@query("ml01_standardise", f"SELECT asin, date, {Z} FROM features f, (SELECT {MOMENTS} FROM features) s")
+@query("ml01_standardise", f"SELECT asin, date, {Z} FROM features f, (SELECT {MOMENTS} FROM features) s", SCORE_DIGITS)
 def _(t):
     return anomaly.fit_scaler(t.features).apply(t.features).select("asin", "date", *(f"z_{c}" for c in vocab.FEATURES))
 
@@ -812,17 +814,17 @@ def _(t):
     return sampling.with_split(t.labelled.select("id"))
 
 
-@query("ml03_mean_square_scores", "SELECT asin, date, round(anomaly_score, 9) AS anomaly_score FROM scored")
+@query("ml03_mean_square_scores", "SELECT asin, date, round(anomaly_score, 6) AS anomaly_score FROM scored", SCORE_DIGITS)
 def _(t):
     return anomaly.mean_square_scores(t.features).select("asin", "date", "anomaly_score")
 
 
-@query("ml03_reconstruction_scores")
+@query("ml03_reconstruction_scores", digits=SCORE_DIGITS)
 def _(t):
     return anomaly.reconstruction_scores(t.features).select("asin", "date", "anomaly_score")
 
 
-@query("ml04_flagged_days", "SELECT asin, date, round(anomaly_score, 9) AS anomaly_score, round(threshold, 9) AS threshold, is_anomaly FROM flagged")
+@query("ml04_flagged_days", "SELECT asin, date, round(anomaly_score, 6) AS anomaly_score, round(threshold, 6) AS threshold, is_anomaly FROM flagged", SCORE_DIGITS)
 def _(t):
     return anomaly.flag(t.scores, anomaly.threshold(t.scores)).select("asin", "date", "anomaly_score", "threshold", "is_anomaly")
 
@@ -967,7 +969,7 @@ def _drift(t: Tables) -> DataFrame:
     return drift.column_drift(drift.with_window(t.features, drift.split_date(t.features)))
 
 
-@query("ml16_column_drift", f"SELECT column_name, round(drift_score, 9) AS drift_score, drift_score >= 0.1 AS drift_detected, 'Wasserstein distance (normed)' AS stattest FROM ({DRIFT}) d")
+@query("ml16_column_drift", f"SELECT column_name, round(drift_score, 6) AS drift_score, drift_score >= 0.1 AS drift_detected, 'Wasserstein distance (normed)' AS stattest FROM ({DRIFT}) d", SCORE_DIGITS)
 def _(t):
     return _drift(t)
 

@@ -15,6 +15,9 @@ import pandas as pd  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -45,7 +48,9 @@ def _text(value) -> str:
 
 def differences(spark, con, name: str, sf_dir: str) -> list[str]:
     """Empty if the query and its check agree."""
+    start = time.time()
     left = entry.queries()[name](spark, sf_dir).toPandas()
+    TIMES[name] = time.time() - start
     right = con.execute(entry.oracle_sql()[name]).df()
     if sorted(left.columns) != sorted(right.columns):
         return [f"columns {sorted(left.columns)} != {sorted(right.columns)}"]
@@ -78,7 +83,7 @@ def main() -> None:
         except Exception as error:  # report every query, then fail
             found = [f"{type(error).__name__}: {str(error)[:900]}"]
         bad += bool(found)
-        print(f"{'BAD ' if found else 'ok  '} {name} {time.time() - start:.1f}s", *found, sep="\n    " if found else " ", flush=True)
+        print(f"{'BAD ' if found else 'ok  '} {name} {time.time() - start:.1f}s (Spark {TIMES.get(name, 0):.1f}s)", *found, sep="\n    " if found else " ", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     sys.exit(bool(bad))
 
