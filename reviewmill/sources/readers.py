@@ -86,8 +86,13 @@ def scan(spark: SparkSession, path: str, columns: list[str], where: Column | Non
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled reviews from CSV; texts may hold quotes and line breaks."""
-    return spark.read.csv(path, schema=schemas.LABELLED_REVIEW, header=True, multiLine=True, escape='"')
+    """Labelled reviews from CSV; texts may hold quotes and line breaks.
+
+    Nothing between commas is null, a quoted nothing is an empty text; the null marker only keeps the two apart.
+    """
+    return spark.read.csv(
+        path, schema=schemas.LABELLED_REVIEW, header=True, multiLine=True, escape='"', nullValue="\u0000"
+    )
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
