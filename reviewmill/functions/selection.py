@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.session import settle
+
 FANOUT = 4096
 
 
@@ -24,16 +26,15 @@ class Cut:
     ties: int
 
 
-def _select_long(df: DataFrame, key: Column, rank: int) -> Cut:
-    """The value of rank ``rank`` (from 0) of a non-null long key whose range is below 2^63."""
-    keys = df.select(key.alias("k"))
-    bounds = keys.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+def _select_long(keys: DataFrame, name: str, rank: int) -> Cut:
+    """The value of rank ``rank`` (from 0) in a non-null long column whose range is below 2^63."""
+    bounds = keys.agg(F.min(name).alias("lo"), F.max(name).alias("hi")).first()
     low, high, before = bounds["lo"], bounds["hi"], 0
     while True:
         width = (high - low) // FANOUT + 1
-        bucket = F.expr(f"(k - ({low}L)) div {width}L")
+        bucket = F.expr(f"({name} - ({low}L)) div {width}L")
         counts = (
-            keys.filter(F.col("k").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+            keys.filter(F.col(name).between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
         )
         for b, n in sorted((row["b"], row["n"]) for row in counts):
             if before + n > rank:
@@ -48,18 +49,21 @@ def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     """Exactly the first ``n`` rows in ascending order of the non-null long ``keys``.
 
     The keys are narrowed one after another to the key of the last row kept; the result is then a plain filter of
-    ``df``. If several rows share all keys at the cut, any of them fill the remaining places.
+    ``df``. If several rows share all keys at the cut, any of them fill the remaining places. Only the keys are
+    settled and read by the passes, so ``df`` is computed twice, however many passes it takes.
     """
     if n <= 0:
         return df.limit(0)
-    if df.count() <= n:
+    names = [f"key{i}" for i in range(len(keys))]
+    open_keys = settle(df.select(*(key.alias(name) for key, name in zip(keys, names))), "keys")
+    if open_keys.count() <= n:
         return df
-    kept, open_rows = F.lit(False), F.lit(True)
-    wanted = n
-    for key in keys:
-        cut = _select_long(df.filter(open_rows), key, wanted - 1)
+    kept, open_rows, wanted = F.lit(False), F.lit(True), n
+    for key, name in zip(keys, names):
+        cut = _select_long(open_keys, name, wanted - 1)
         kept = kept | (open_rows & (key < F.lit(cut.value)))
         open_rows = open_rows & (key == F.lit(cut.value))
+        open_keys = open_keys.filter(F.col(name) == cut.value)
         wanted -= cut.before
         if cut.ties == wanted:
             return df.filter(kept | open_rows)
@@ -84,25 +88,27 @@ def micros(timestamp: Column) -> Column:
 def exact_percentile(df: DataFrame, column: str, fraction: float) -> float | None:
     """The percentile with linear interpolation between ranks, exact on any number of rows.
 
-    Doubles are bracketed by value: every pass cuts the bracket that holds the wanted ranks into ``FANOUT`` equal
-    parts. The two neighbouring values come from the last bracket, once it holds one value.
+    Doubles are bracketed by value: every pass cuts the bracket that holds the wanted rank into ``FANOUT`` equal
+    parts. Each pass reads ``column`` again, so it should come from a stored table or a cheap projection of one.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    size = values.count()
-    if not size:
+    bounds = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not bounds["n"]:
         return None
-    position = fraction * (size - 1)
-    lower = int(position)
-    low_value = _select_double(values, lower)
-    if position == lower:
-        return low_value
-    high_value = _select_double(values, lower + 1)
-    return low_value + (high_value - low_value) * (position - lower)
-
-
-def _select_double(values: DataFrame, rank: int) -> float:
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    low, high, before = bounds["lo"], bounds["hi"], 0
+    position = fraction * (bounds["n"] - 1)
+    rank = int(position)
+    value = _select_double(values, rank, bounds["lo"], bounds["hi"])
+    if position == rank:
+        return value
+    above = values.agg(
+        F.count_if(F.col("v") <= value).alias("n"), F.min(F.when(F.col("v") > value, F.col("v"))).alias("next")
+    ).first()
+    following = value if above["n"] > rank + 1 else above["next"]
+    return value + (following - value) * (position - rank)
+
+
+def _select_double(values: DataFrame, rank: int, low: float, high: float) -> float:
+    before = 0
     while low < high:
         part = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * FANOUT), F.lit(FANOUT - 1))
         counts = (

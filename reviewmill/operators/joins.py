@@ -42,29 +42,20 @@ def aligned_scores(evaluations: DataFrame, base: str, tuned: str, *criteria: str
     return side(base, "base").join(side(tuned, "tuned"), "asin")
 
 
-def product_lookup(asins: DataFrame, products: DataFrame) -> DataFrame:
-    """Product of each asin: the one with parent_asin = asin, else the one of the review's parent.
+def with_listing(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """``rows`` (asin, parent_asin, ...) with their product: that of parent_asin = asin, else that of the parent.
 
-    ``asins`` has one row per asin with its fallback key ``parent_asin``. Both candidate keys go through one join.
+    Two joins on the small side of one row per asin, so that ``rows`` is computed once.
     """
-    candidates = asins.select(
-        "asin",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("priority"), F.col("asin").alias("parent_asin")),
-                F.struct(F.lit(1).alias("priority"), F.col("parent_asin").alias("parent_asin")),
-            )
-        ).alias("c"),
-    ).select("asin", "c.priority", "c.parent_asin")
     fields = ["title", "description", "features", "price"]
-    product = F.struct(*(F.col(f).alias(f"product_{f}") for f in fields))
-    matched = products.select("parent_asin", *fields, F.lit(True).alias("matched"))
-    found = candidates.join(matched, "parent_asin", "left")
-    best = found.groupBy("asin").agg(
-        F.min_by(product, F.when(F.col("matched"), F.col("priority"))).alias("p"),
-        F.coalesce(F.max("matched"), F.lit(False)).alias("has_product"),
+    listing = F.struct(*(F.col(f).alias(f"product_{f}") for f in fields))
+    own = products.select(F.col("parent_asin").alias("asin"), listing.alias("_own"))
+    parents = products.select("parent_asin", listing.alias("_parents"))
+    found = rows.join(own, "asin", "left").join(parents, "parent_asin", "left")
+    product = F.coalesce("_own", "_parents")
+    return found.select(*rows.columns, product.isNotNull().alias("has_product"), product.alias("_product")).select(
+        *rows.columns, "has_product", "_product.*"
     )
-    return best.select("asin", "has_product", *(F.col(f"p.product_{f}").alias(f"product_{f}") for f in fields))
 
 
 def review_parents(reviews: DataFrame) -> DataFrame:

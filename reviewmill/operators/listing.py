@@ -153,7 +153,7 @@ def audit_summary(found: Column) -> Column:
 
 def audit(profiles: DataFrame, products: DataFrame) -> DataFrame:
     """Profiles with their product's listing, the mismatches and the audit sentence. Missing listings are empty."""
-    listed = profiles.join(joins.product_lookup(profiles.select("asin", "parent_asin"), products), "asin", "left")
+    listed = joins.with_listing(profiles, products)
     blank = {f"product_{c}": "" for c in ("title", "description", "features", "price")}
     listed = listed.withColumn("product_price", F.col("product_price").cast("string")).na.fill(blank)
     listing = F.concat_ws(" ", "product_title", "product_description", "product_features")

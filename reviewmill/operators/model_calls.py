@@ -16,6 +16,7 @@ from reviewmill import vocab
 from reviewmill.functions import jsontext as js
 from reviewmill.functions import text as tx
 from reviewmill.operators import aggregates, joins, ranking
+from reviewmill.session import settle
 
 LABEL_SYSTEM = (
     "Classify the root causes of a negative product review. Answer with one JSON object whose keys are "
@@ -84,11 +85,15 @@ def summary_inputs(reviews: DataFrame, titles: DataFrame, shown: int = 50) -> Da
 def pair_candidates(
     reviews: DataFrame, products: DataFrame, done: DataFrame, min_reviews: int = 20, target: int = 400
 ) -> DataFrame:
-    """Prompt inputs of products that still need a summary: enough reviews, not done, at most ``target``."""
+    """Prompt inputs of products that still need a summary: enough reviews, not done, at most ``target``.
+
+    The chosen products, at most ``target`` rows, are settled and broadcast, so only their reviews are ranked.
+    """
     listed = aggregates.products_with_reviews(reviews, products, min_reviews, 2 * target)
     waiting = joins.not_done(listed, done, "asin")
-    chosen = waiting.orderBy(F.desc("review_count"), "asin", "product_title").limit(target)
-    inputs = summary_inputs(reviews, chosen)
+    chosen = settle(waiting.orderBy(F.desc("review_count"), "asin", "product_title").limit(target), "chosen")
+    theirs = reviews.join(F.broadcast(chosen.select("asin")), "asin", "left_semi")
+    inputs = summary_inputs(theirs, chosen)
     return inputs.filter(F.col("shown") >= min_reviews).select("asin", "product_title", "input")
 
 

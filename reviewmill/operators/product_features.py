@@ -62,20 +62,29 @@ def rating_measures() -> list[Column]:
     ]
 
 
-def daily_features(reviews: DataFrame) -> DataFrame:
-    """One row per (asin, date) before the rolling means. Null asins and dates are left out, as in a pandas groupby."""
+def daily_features(reviews: DataFrame, entities: bool = True) -> DataFrame:
+    """One row per (asin, date) before the rolling means. Null asins and dates are left out, as in a pandas groupby.
+
+    Without ``entities`` the dictionaries are not searched and the two count maps are missing.
+    """
     dated = reviews.withColumn("date", F.to_date("timestamp")).filter("asin IS NOT NULL AND date IS NOT NULL")
     keywords = tx.complaint_score(F.col("text")).alias("keywords")
-    counts = entity_counts(
-        dated,
-        ["asin", "date"],
-        F.col("text"),
-        [F.col("rating"), keywords],
-        [*rating_measures(), F.sum("keywords").alias("keywords")],
-    )
+    measures = [*rating_measures(), F.sum("keywords").alias("keywords")]
+    rating_avg = F.try_divide("rating_sum", "rating_count")
+    if not entities:
+        days = dated.select("asin", "date", "rating", keywords).groupBy("asin", "date").agg(*measures)
+        return days.select(
+            "asin",
+            "date",
+            rating_avg.alias("rating_avg"),
+            F.col("rating_count").alias("review_count"),
+            "negative_count",
+            F.col("keywords").alias("complaint_keywords"),
+        )
+    counts = entity_counts(dated, ["asin", "date"], F.col("text"), [F.col("rating"), keywords], measures)
     # One more shuffle, of reduced rows, serves both the grouping by day and the windows by product.
     return counts.repartition("asin").groupBy("asin", "date").agg(
-        of_kind("review", F.try_divide("rating_sum", "rating_count"), "rating_avg"),
+        of_kind("review", rating_avg, "rating_avg"),
         of_kind("review", F.col("rating_count"), "review_count"),
         of_kind("review", F.col("negative_count"), "negative_count"),
         of_kind("review", F.col("keywords"), "complaint_keywords"),

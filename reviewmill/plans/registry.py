@@ -332,8 +332,8 @@ def _(t):
 
 @query("joi04_product_lookup", "SELECT asin, product_title, product_description, product_features, product_price, has_product FROM listings")
 def _(t):
-    found = joins.product_lookup(joins.review_parents(t.reviews), t.products)
-    return found.na.fill("", ["product_title", "product_description", "product_features", "product_price"])
+    found = joins.with_listing(joins.review_parents(t.reviews), t.products)
+    return found.na.fill("", ["product_title", "product_description", "product_features", "product_price"]).drop("parent_asin")
 
 
 @query("joi05_aligned_scores", """SELECT b.asin, b.overall_score AS base_overall_score, t.overall_score AS tuned_overall_score
@@ -380,7 +380,7 @@ def _(t):
 
 @query("agg06_daily_features", """SELECT asin, date, round(rating_avg, 9) AS rating_avg, review_count, negative_count, complaint_keywords FROM daily""")
 def _(t):
-    return product_features.daily_features(t.reviews).drop("components", "issues")
+    return product_features.daily_features(t.reviews, entities=False)
 
 
 @query("agg07_negative_ratio", "SELECT asin, date, round(negative_count / nullif(review_count, 0), 9) AS negative_ratio FROM daily")
@@ -388,11 +388,6 @@ def _(t):
     return t.features.select("asin", "date", "negative_ratio")
 
 
-def _counts_text(kind: str, source: str) -> str:
-    return f"""coalesce((SELECT string_agg('"' || entity || '":' || n, ',' ORDER BY entity) FROM (SELECT entity, count(*) AS n FROM {source} m
- WHERE m.asin = d.asin AND m.date = d.date AND kind = '{kind}' GROUP BY entity) e), '')"""
-
-
 @query("agg08_entity_counts", """SELECT d.asin, d.date, '{"components":{' || coalesce(c.list, '') || '},"issues":{' || coalesce(i.list, '') || '}}' AS ner_entities
  FROM daily d
  LEFT JOIN (SELECT asin, date, string_agg('"' || entity || '":' || n, ',' ORDER BY entity) AS list FROM (
@@ -491,12 +486,12 @@ def _(t):
 
 @query("win01_review_velocity", "SELECT asin, date, round(review_velocity, 9) AS review_velocity FROM features")
 def _(t):
-    return product_features.with_rolling_means(product_features.daily_features(t.reviews)).select("asin", "date", "review_velocity")
+    return product_features.with_rolling_means(product_features.daily_features(t.reviews, entities=False)).select("asin", "date", "review_velocity")
 
 
 @query("win02_rolling_sentiment", "SELECT asin, date, round(daily_sentiment_avg, 9) AS daily_sentiment_avg FROM features")
 def _(t):
-    return product_features.with_rolling_means(product_features.daily_features(t.reviews)).select("asin", "date", "daily_sentiment_avg")
+    return product_features.with_rolling_means(product_features.daily_features(t.reviews, entities=False)).select("asin", "date", "daily_sentiment_avg")
 
 
 @query("win03_most_helpful", """SELECT asin, id, helpful_votes, position FROM (SELECT *, row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC NULLS LAST, id) AS position
@@ -778,7 +773,7 @@ def _(t):
 
 @query("mcl07_parse_rewrites", "SELECT asin, rewritten_title, rewritten_description, changes_made FROM rewrites")
 def _(t):
-    found = joins.product_lookup(joins.review_parents(t.reviews), t.products).na.fill("", ["product_title", "product_description"])
+    found = joins.with_listing(joins.review_parents(t.reviews), t.products).na.fill("", ["product_title", "product_description"])
     return model_calls.parse_rewrites(found, t.rewrite_responses).withColumn("changes_made", joined("changes_made"))
 
 
@@ -1015,7 +1010,7 @@ def _(t):
  CASE WHEN mismatch_count > 0 THEN w.rewritten_title END AS rewritten_title, CASE WHEN mismatch_count > 0 THEN w.rewritten_description END AS rewritten_description,
  CASE WHEN mismatch_count > 0 THEN w.changes_made END AS changes_made, final_status, supervisor_notes FROM decisions d LEFT JOIN rewrites w ON w.asin = d.asin""")
 def _(t):
-    found = joins.product_lookup(joins.review_parents(t.reviews), t.products).na.fill("", ["product_title", "product_description"])
+    found = joins.with_listing(joins.review_parents(t.reviews), t.products).na.fill("", ["product_title", "product_description"])
     rewrites = model_calls.parse_rewrites(found, t.rewrite_responses)
     audited = listing.product_audit(t.reviews, t.products, rewrites)
     return audited.withColumn("mismatches", packed("mismatches")).withColumn("changes_made", joined("changes_made"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ def cap_rows(df: DataFrame, n: int | None, *columns: str) -> DataFrame:
 
 def epoch_millis(value: Column) -> Column:
     """Epoch milliseconds to timestamp; anything that is not a number becomes null."""
-    return F.timestamp_millis(F.expr("NULL").cast("long") if value is None else value.try_cast("bigint"))
+    return F.timestamp_millis(value.try_cast("bigint"))
 
 
 def normalise_reviews(raw: DataFrame) -> DataFrame:
@@ -98,9 +98,3 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Prompt and summary pairs from JSON lines."""
     return spark.read.schema(schemas.PAIR).json(path)
-
-
-def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row per key in ``order``; Spark trims each map task to one row per key before the shuffle."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_row", F.row_number().over(window)).filter("_row = 1").drop("_row")

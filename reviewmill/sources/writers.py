@@ -54,12 +54,12 @@ def copy_to_warehouse(df: DataFrame, path: str) -> bool:
 
 
 def migrate_table(df: DataFrame, name: str, path: str, limit: int | None = None) -> DataFrame:
-    """Replace the target by ``df`` (optionally capped) and report source and target counts."""
+    """Replace the target by ``df`` (optionally capped) and compare the rows sent with the rows found there."""
     spark = df.sparkSession
     order = [c for c in ("id", "asin", "parent_asin", "product_id", "date") if c in df.columns] or df.columns
-    chosen = cap_rows(df, limit, *order)
-    expected = chosen.count()
-    chosen.drop("id").write.mode("overwrite").parquet(path)
+    rows = df.count()
+    expected = rows if limit is None else min(limit, rows)
+    cap_rows(df, limit, *order).drop("id").write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path).agg(F.count("*").alias("rows_written"))
     return written.select(
         F.lit(name).alias("table_name"),

@@ -81,7 +81,7 @@ def main() -> None:
                 rows = entry.queries()[name](spark, sf_dir).toPandas()
                 found = [] if len(rows) else ["no rows"]
         except Exception as error:  # report every query, then fail
-            found = [f"{type(error).__name__}: {str(error)[:900]}"]
+            found = [f"{type(error).__name__}: {str(error)[:6000]}"]
         bad += bool(found)
         print(f"{'BAD ' if found else 'ok  '} {name} {time.time() - start:.1f}s (Spark {TIMES.get(name, 0):.1f}s)", *found, sep="\n    " if found else " ", flush=True)
     print(f"{len(names)} queries, {bad} bad")

@@ -57,7 +57,7 @@ def test_profiles_and_lookup(spark):
     assert rows["a"]["summary"] == (
         "Product has 2 reviews (avg 2.50 stars, 50.0% negative).\nTop components:\n  - battery (1 mentions)\nTop issues:\n  - died (1 mentions)\n")
     products = spark.createDataFrame([("p", "via parent", None, None, "1"), ("b", "direct", "d", "f", "2")], PRODUCTS)
-    found = {r["asin"]: r for r in joins.product_lookup(joins.review_parents(reviews), products).collect()}
+    found = {r["asin"]: r for r in joins.with_listing(joins.review_parents(reviews), products).collect()}
     assert found["a"]["product_title"] == "via parent" and found["b"]["product_title"] == "direct"
     audit = {r["asin"]: r for r in listing.product_audit(reviews, products, requested=requested).collect()}
     assert audit["zzz"]["final_status"] == "approved" and audit["zzz"]["review_count"] == 0 and audit["a"]["rewritten_title"] is None
