@@ -7,6 +7,7 @@ partition to one task, which is fine for small n only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from reviewmill.session import settle
 
 FANOUT = 4096
+LAST = 2**61  # key of nulls in a descending order
 
 
 @dataclass
@@ -45,12 +47,13 @@ def _select_long(keys: DataFrame, name: str, rank: int) -> Cut:
             return Cut(low, before, n)
 
 
-def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+def top_rows(df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column] | None = None) -> DataFrame:
     """Exactly the first ``n`` rows in ascending order of the non-null long ``keys``.
 
     The keys are narrowed one after another to the key of the last row kept; the result is then a plain filter of
     ``df``. If several rows share all keys at the cut, any of them fill the remaining places. Only the keys are
-    settled and read by the passes, so ``df`` is computed twice, however many passes it takes.
+    settled and read by the passes, so ``df`` is computed twice, however many passes it takes. ``prune`` turns the cut
+    of the first key into a condition on stored columns that kept rows meet, by which scans can skip row groups.
     """
     if n <= 0:
         return df.limit(0)
@@ -61,6 +64,8 @@ def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     kept, open_rows, wanted = F.lit(False), F.lit(True), n
     for key, name in zip(keys, names):
         cut = _select_long(open_keys, name, wanted - 1)
+        if prune and key is keys[0]:
+            df = df.filter(prune(cut.value))
         kept = kept | (open_rows & (key < F.lit(cut.value)))
         open_rows = open_rows & (key == F.lit(cut.value))
         open_keys = open_keys.filter(F.col(name) == cut.value)
@@ -78,7 +83,7 @@ def hash_key(*columns: Column, seed: int | str) -> Column:
 
 def descending(key: Column) -> Column:
     """A long key that sorts in descending order, nulls at the end."""
-    return F.coalesce(-key, F.lit(2**61))
+    return F.coalesce(-key, F.lit(LAST))
 
 
 def micros(timestamp: Column) -> Column:

@@ -1,7 +1,7 @@
 """Joins of reviews with products, stored results and other models' scores.
 
-No side is marked for broadcast: products and result tables grow with the data. AQE broadcasts a side whose measured
-size allows it and splits skewed partitions otherwise.
+Products and result tables grow with the data, so a side is broadcast only below a checked size (``small_side``). Beyond
+it both sides are shuffled, and AQE splits the partitions of hot keys.
 """
 
 from __future__ import annotations
@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.session import small_side
+
 
 def with_products(reviews: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
     """Reviews with product columns (prefixed ``product_``); unmatched reviews stay."""
     side = products.select("parent_asin", *(F.col(c).alias(f"product_{c}") for c in columns))
-    return reviews.join(side, "parent_asin", "left")
+    return reviews.join(small_side(side), "parent_asin", "left")
 
 
 def not_done(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key is not in ``done``; rows with a null key stay."""
-    return rows.join(done.select(*keys), list(keys), "left_anti").select(rows.columns)
+    return rows.join(small_side(done.select(*keys)), list(keys), "left_anti").select(rows.columns)
 
 
 def scored_by_both(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:

@@ -30,7 +30,8 @@ def review_sample(reviews: DataFrame, n: int = HELPFULNESS_SAMPLE, seed: int = 4
 def worst_first(reviews: DataFrame, n: int = EMBEDDING_LIMIT) -> DataFrame:
     """The ``n`` lowest-rated usable reviews with rating <= 3, ties by id."""
     usable = filters.usable_text(filters.sentiment_band(reviews, "mixed"), 30)
-    return selection.top_rows(usable, n, (F.col("rating") * 1000).cast("long"), F.col("id"))
+    thousandths = F.round(F.col("rating") * 1000).cast("long")
+    return selection.top_rows(usable, n, thousandths, F.col("id"), prune=lambda cut: F.col("rating") <= (cut + 1) / 1000)
 
 
 def shipping_candidates(reviews: DataFrame, done: DataFrame, n: int = EXTRA_SHIPPING, seed: int = 42) -> DataFrame:

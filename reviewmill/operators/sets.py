@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.operators import joins
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -33,4 +35,4 @@ def common_keys(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 def keys_without(left: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``left`` whose key is not in ``done``, duplicates kept."""
-    return left.join(done.select(*keys), list(keys), "left_anti")
+    return joins.not_done(left, done, *keys)

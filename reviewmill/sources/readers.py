@@ -76,7 +76,11 @@ def unique_products(products: DataFrame) -> DataFrame:
 def latest_reviews(reviews: DataFrame, n: int = LATEST_REVIEWS, id_column: str = "id") -> DataFrame:
     """The ``n`` newest reviews (null timestamps last, ties by id), found without a global sort."""
     newest = selection.descending(selection.micros(F.col("timestamp")))
-    return selection.top_rows(reviews, n, newest, F.col(id_column))
+
+    def prune(cut: int) -> Column:
+        return F.col("timestamp") >= F.timestamp_micros(F.lit(-cut)) if cut < selection.LAST else F.lit(True)
+
+    return selection.top_rows(reviews, n, newest, F.col(id_column), prune=prune)
 
 
 def scan(spark: SparkSession, path: str, columns: list[str], where: Column | None = None) -> DataFrame:
