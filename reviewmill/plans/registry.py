@@ -168,10 +168,12 @@ def _(t):
 # Sinks
 
 
-@query("snk01_create_tables")
+@query("snk01_create_tables", "SELECT parent_asin, title, description, price, category, features, average_rating, rating_number FROM products")
 def _(t):
-    name = "reviewmill_" + t.path("db").rsplit("-", 1)[1][:12]
-    return writers.create_tables(t.spark, name, t.path("database"))
+    database = "reviewmill_" + t.path("db").rsplit("-", 1)[1][:12]
+    writers.create_tables(t.spark, database, t.path("database"))
+    schemas.conform(t.products, schemas.PRODUCT).write.insertInto(f"{database}.products")
+    return t.spark.table(f"{database}.products")
 
 
 @query("snk02_load_if_empty", f"""SELECT {REVIEW_COLUMNS}, TRUE AS first_load, FALSE AS second_load FROM reviews""")
@@ -936,7 +938,8 @@ def _(t):
     return abtest.significance(abtest.compare(t.evaluations, "base", "tuned_v1")).select("metric", "p_value", "significant")
 
 
-@query("ml14_ab_verdict")
+@query("ml14_ab_verdict", f"""SELECT count(*) FILTER (WHERE p_value < 0.05) AS significant_metrics,
+ CASE WHEN count(*) FILTER (WHERE p_value < 0.05) >= 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({T_TAIL.replace('FROM ab,', f'FROM ({AB}) ab,')}) p""")
 def _(t):
     return abtest.verdict(abtest.significance(abtest.compare(t.evaluations, "base", "tuned_v1")))
 
