@@ -35,6 +35,13 @@ REWRITE_SYSTEM = (
     "the keys title, description and changes (a list)."
 )
 
+# The instruction format for fine-tuning.
+TUNING_START = (
+    "<s>[INST] You are an expert product analyst. Given the following customer reviews, write a structured executive "
+    "summary.\n\n"
+)
+TUNING_MIDDLE, TUNING_END = "\n[/INST]\n", "</s>"
+
 # Lengths of text prefixes that go into prompts.
 LABEL_TEXT, JUDGE_INPUT, SUMMARY_INPUT, SHOWN_TEXT = 1000, 2000, 4000, 300
 LISTING_DESCRIPTION, LISTING_FEATURES, STORED_SUMMARY = 500, 300, 500
@@ -192,12 +199,7 @@ def parse_rewrites(originals: DataFrame, responses: DataFrame) -> DataFrame:
 def tuning_texts(pairs: DataFrame) -> DataFrame:
     """Instruction text for fine-tuning: prompt with the input cut to 2000 characters, then the summary."""
     text = F.concat(
-        F.lit("<s>[INST] You are an expert product analyst. Given the following customer reviews, write a structured "
-              "executive summary.\n\n"),
-        tx.prefix(F.col("input"), JUDGE_INPUT),
-        F.lit("\n[/INST]\n"),
-        F.col("summary"),
-        F.lit("</s>"),
+        F.lit(TUNING_START), tx.prefix(F.col("input"), JUDGE_INPUT), F.lit(TUNING_MIDDLE), F.col("summary"), F.lit(TUNING_END)
     )
     return pairs.select("asin", text.alias("text"))
 

@@ -151,9 +151,13 @@ def _pairs(t: Tables) -> DataFrame:
     return model_calls.training_pairs(_candidates(t), t.summary_responses)
 
 
-CANDIDATES = """(SELECT * FROM (SELECT * FROM pair_inputs WHERE asin NOT IN (SELECT asin FROM evaluations WHERE model_name = 'tuned_v1')
- ) c JOIN (SELECT asin AS a, count(*) AS n FROM reviews WHERE text IS NOT NULL AND length(text) > 30 GROUP BY 1) k ON k.a = c.asin
- ORDER BY n DESC, asin, product_title LIMIT 400)"""
+CANDIDATES = """(SELECT i.* FROM (SELECT * FROM (
+ SELECT r.asin, p.title AS product_title, count(*) AS n FROM reviews r LEFT JOIN products p ON p.parent_asin = r.parent_asin
+ WHERE r.text IS NOT NULL AND length(r.text) > 30 GROUP BY 1, 2 HAVING count(*) >= 20
+ ORDER BY n DESC, r.asin NULLS FIRST, product_title NULLS FIRST LIMIT 800) listed
+ WHERE asin IS NULL OR asin NOT IN (SELECT asin FROM evaluations WHERE model_name = 'tuned_v1')
+ ORDER BY n DESC, asin NULLS FIRST, product_title NULLS FIRST LIMIT 400) c
+ JOIN pair_inputs i ON i.asin = c.asin AND i.product_title IS NOT DISTINCT FROM c.product_title WHERE i.shown >= 20)"""
 PAIRS = f"""SELECT c.asin, c.product_title, c.input, trim(r.content) AS summary FROM {CANDIDATES} c
  JOIN summary_responses r ON r.id = c.asin WHERE trim(r.content) <> ''"""
 
