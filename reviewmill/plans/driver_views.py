@@ -288,7 +288,7 @@ SELECT e.event_id AS id,
   ELSE {_choose("e.event_id % (2 + e.user_id % 9)", PHRASES)} || d.text END AS text,
  CAST(floor(e.value) AS INTEGER) AS helpful_votes,
  CASE WHEN e.event_id % 101 = 0 THEN NULL ELSE e.ts END AS timestamp
-FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
+FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS doc_key FROM events) e JOIN documents d ON d.doc_id = e.doc_key""",
     "products": """
 SELECT 'P' || p_partkey AS parent_asin, p_name AS title, 'A ' || p_name || ' with long battery life and bluetooth.' AS description,
  CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price, p_type AS category,
@@ -432,4 +432,6 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in VIEWS.items() if n in needed) + "\n" + sql
+    # Materialised, so that filters on texts are not tested against pairs of rows inside the join.
+    views = (f"{n} AS {'MATERIALIZED ' if n == 'reviews' else ''}({b})" for n, b in VIEWS.items() if n in needed)
+    return "WITH " + ",\n".join(views) + "\n" + sql
