@@ -32,8 +32,12 @@ def ingest(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def daily_counts(reviews: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Event-time counts per (asin, day). State older than ``lateness`` behind the newest event is dropped."""
+def daily_counts(reviews: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """Event-time counts per (asin, day). State older than ``lateness`` behind the newest event is released.
+
+    Spark leaves out rows that arrive later than that, so it must exceed the disorder of the files. Unordered history is
+    a case for the batch form, ``product_features.daily_features``.
+    """
     rows = reviews.withColumn("timestamp", F.col("timestamp").cast("timestamp")).filter(
         F.col("asin").isNotNull() & F.col("timestamp").isNotNull()
     )
