@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,7 +26,10 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", cpus, spark__ui__enabled="false", spark__driver__memory="16g")
+    spark = build_session(
+        f"local[{cpus}]", cpus, spark__ui__enabled="false", spark__driver__memory="16g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="reviewmill-bench-"),
+    )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -31,19 +29,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local master may go without it; on a cluster a machine-local folder would lose data with its host.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, which the deployment sets."""
     configured = spark.conf.get(CHECKPOINT_DIR, None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not configured:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="reviewmill-")
-    return _local_dirs[context.applicationId]
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,10 +43,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back, so later passes do not recompute it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return settle_at(df, new_path(df.sparkSession, name))
+
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
+    """``settle`` at a path of the caller, who can ``forget`` it."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete settled tables that no plan reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_side(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:

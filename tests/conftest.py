@@ -9,7 +9,10 @@ from reviewmill.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4, spark__ui__enabled="false", spark__driver__memory="6g")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session(
+        "local[4]", 4, spark__ui__enabled="false", spark__driver__memory="6g", spark__checkpoint__dir=shared
+    )
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -69,7 +70,8 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
-    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="12g")
+    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="12g",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="reviewmill-"))
     spark.sparkContext.setLogLevel("ERROR")
     con, checks, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name in names:
