@@ -1,0 +1,3 @@
+"""Stages of the corpus pipeline."""
+
+STAGES, ORACLE_SQL, run = [], None, None
