@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import exact_dedup, folds, language, packing, quality
+from reviewmill.llm import backoff, exact_dedup, folds, language, lexicon, licenses, packing, quality, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -35,6 +35,13 @@ def held_out(count: int, number: int):
     return F.coalesce(folds.fold("doc_id", count) == number, F.lit(False)).alias("held_out")
 
 
+@query("op1_warc_archives")
+def _(spark, sf_dir):
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    found = warc.read_archives(archives)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.pack(packing.cut(docs, BYTE_LEVEL))
 
@@ -44,6 +51,11 @@ def _(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+@query("op4_embedding_near_dedup")
+def _(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 EXACT = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
@@ -66,6 +78,11 @@ def _(spark, sf_dir):
     return scores.select("doc_id", held_out(QUALITY_FOLDS, QUALITY_HELD_OUT), "score", "predicted")
 
 
+@query("op7_license_scan")
+def _(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def language_trees(spark: SparkSession, sf_dir: str) -> language.ContextTrees:
     """Context trees from the rows outside the held-out fold."""
     learned = folds.fold("doc_id", LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT
@@ -76,3 +93,32 @@ def language_trees(spark: SparkSession, sf_dir: str) -> language.ContextTrees:
 def _(spark, sf_dir):
     found = language.identify(table(spark, sf_dir, "documents"), language_trees(spark, sf_dir))
     return found.select("doc_id", held_out(LANGUAGE_FOLDS, LANGUAGE_HELD_OUT), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op9_bpe_lexicon")
+def _(spark, sf_dir):
+    return lexicon.encode_digests(table(spark, sf_dir, "documents"), WORD_LEVEL)
+
+
+SCORES = """WITH words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^ \t\n\r\f\v]+') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS size, unnest(range(1, len(w) + 1)) AS i, w FROM words),
+found AS (SELECT doc_id, size, i, w[i] AS a, CASE WHEN i > 1 THEN w[i-1:i] END AS b, CASE WHEN i > 2 THEN w[i-2:i] END AS c FROM places),
+counted AS (SELECT *, count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, doc_id) AS n1,
+ count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY b, doc_id) AS n2,
+ count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, doc_id) AS n3,
+ greatest((SELECT count(*) FROM found) - size, 1) AS others FROM found),
+contexts AS (SELECT *, lag(n1) OVER (PARTITION BY doc_id ORDER BY i) AS m1, lag(n2) OVER (PARTITION BY doc_id ORDER BY i) AS m2 FROM counted),
+first AS (SELECT *, CASE WHEN n1 > 0 THEN ln(n1 / others) ELSE ln(0.4) - ln(others) END AS s1 FROM contexts),
+second AS (SELECT *, CASE WHEN i = 1 THEN s1 WHEN n2 > 0 THEN ln(n2 / m1) ELSE ln(0.4) + s1 END AS s2 FROM first),
+third AS (SELECT *, CASE WHEN i < 3 THEN s2 WHEN n3 > 0 THEN ln(n3 / m2) ELSE ln(0.4) + s2 END AS s3 FROM second),
+sums AS (SELECT doc_id, sum(s3) AS total FROM third GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, round(coalesce(total, 0), 5) AS log_score, round(total / len(w.w), 5) AS mean_log_score
+FROM words w LEFT JOIN sums USING (doc_id)"""
+
+
+@query("op10_stupid_backoff", SCORES)
+def _(spark, sf_dir):
+    found = backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *(F.round(c, 5).alias(c) for c in ("log_score", "mean_log_score")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import numpy as np
 import tiktoken
@@ -49,3 +50,62 @@ class ByteLevel:
             for part in parts if part
         ]
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+class WordSplitter:
+    """Words of texts as the word-level vocabulary splits them: NFC, lower case, white space dropped.
+
+    The classes of the pattern are spelled out for the characters that occur, as the standard library's regular
+    expressions have no classes by category.
+    """
+
+    ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed value
+    # fixed value: the code points of white space
+    SPACES = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+    def __init__(self):
+        self.chars: frozenset[str] = frozenset()
+        self.find = re.compile(self.ENDINGS).findall
+
+    def __call__(self, texts: list[str]) -> list[list[str]]:
+        plain = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
+        chars = frozenset().union(*plain)
+        if not chars <= self.chars:
+            self.chars |= chars
+            self.find = self._compile()
+        return [self.find(t) for t in plain]
+
+    def _compile(self):
+        letters, digits, others = [], [], []
+        for c in sorted(self.chars - self.SPACES):
+            kind = unicodedata.category(c)[0]
+            (letters if kind == "L" else digits if kind == "N" else others).append(re.escape(c))
+        parts = ["[" + "".join(letters) + "]+"] * bool(letters) + [self.ENDINGS]
+        parts += ["[" + "".join(digits) + "]"] * bool(digits) + ["[" + "".join(others) + "]+"] * bool(others)
+        return re.compile("|".join(parts)).findall
+
+
+class WordMerger:
+    """Ids of a word by merges. The end of a word is a byte that no UTF-8 text has, so its merges are ranks like all others."""
+
+    END, END_SIGN = b"\xff", "</w>"
+
+    def __init__(self, path: str):
+        vocabulary, self.special = read_vocabulary(path)
+        signs = byte_signs()
+        self.names = {i: t for t, i in (vocabulary | self.special).items()}
+
+        def as_bytes(token: str) -> bytes:
+            inner = token.removesuffix(self.END_SIGN)
+            return bytes(signs[c] for c in inner) + (self.END if inner != token else b"")
+
+        ranks = {as_bytes(t): i for t, i in vocabulary.items()}
+        encoding = tiktoken.Encoding("word level", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.merge = encoding._core_bpe.encode_single_piece
+
+    def __call__(self, word: str) -> list[int]:
+        return self.merge(word.encode() + self.END)
+
+    def text(self, ids: list[int]) -> str:
+        """What decoding shows: the tokens with a space between them."""
+        return " ".join([self.names[i] for i in ids])
