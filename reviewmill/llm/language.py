@@ -140,6 +140,31 @@ def learn(docs: DataFrame, key: str, text: str, label: str, per_language: int =
     return ContextTrees(count_contexts(chosen.filter(F.col(label).isNotNull()), text, label).toPandas())
 
 
+class Identifier:
+    """Predictions for columns of texts; one object per task, from the attributes of learned trees."""
+
+    def __init__(self, state: dict):
+        self.trees, self.table = ContextTrees.__new__(ContextTrees), letters_table()
+        vars(self.trees).update(state)
+
+    def __call__(self, column: pa.Array) -> tuple[list[str], list[float], list[float | None]]:
+        """Names, scores and bits per byte of the compared bytes."""
+        names, scores, rates = [], [], []
+        for low, high in _blocks(column):
+            raw = column.slice(low, high - low).to_pylist()
+            texts = [normal(t, self.table) if has_letter(t) else b"" for t in raw]
+            found = [i for i, t in enumerate(texts) if t and self.trees.languages]
+            name, score, rate = [UNDETERMINED] * len(raw), [0.0] * len(raw), [None] * len(raw)
+            if found:
+                bits = self.trees.lengths([texts[i] for i in found])
+                least = bits.min(1)
+                shares = 1 / np.exp2(least[:, None] - bits).sum(1)
+                for i, j, b, s in zip(found, bits.argmin(1).tolist(), least.tolist(), shares.tolist()):
+                    name[i], score[i], rate[i] = self.trees.languages[j], s, b / len(texts[i])
+            names, scores, rates = names + name, scores + score, rates + rate
+        return names, scores, rates
+
+
 def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, lang_pred, score, bits_per_byte for every row.
 
@@ -150,22 +175,9 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, table = ContextTrees.__new__(ContextTrees), letters_table()
-        vars(trees).update(model.value)
+        identifier = Identifier(model.value)
         for batch in batches:
-            names, scores, rates = [], [], []
-            for low, high in _blocks(batch.column(1)):
-                raw = batch.column(1).slice(low, high - low).to_pylist()
-                texts = [normal(t, table) if has_letter(t) else b"" for t in raw]
-                found = [i for i, t in enumerate(texts) if t and trees.languages]
-                name, score, rate = [UNDETERMINED] * len(raw), [0.0] * len(raw), [None] * len(raw)
-                if found:
-                    bits = trees.lengths([texts[i] for i in found])
-                    best = bits.argmin(1)
-                    shares = 1 / np.exp2(np.minimum(0, bits.min(1, keepdims=True) - bits)).sum(1)
-                    for i, j, b, s in zip(found, best.tolist(), bits.min(1).tolist(), shares.tolist()):
-                        name[i], score[i], rate[i] = trees.languages[j], s, b / len(texts[i])
-                names, scores, rates = names + name, scores + score, rates + rate
+            names, scores, rates = identifier(batch.column(1))
             columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score", "bits_per_byte"])
 
@@ -173,6 +185,20 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     return rows.mapInArrow(predict, f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
 
 
+def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is determined with a score of at least ``least``."""
+    model = docs.sparkSession.sparkContext.broadcast(vars(trees))
+    place = docs.columns.index(text)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = Identifier(model.value)
+        for batch in batches:
+            names, scores, _ = identifier(batch.column(place))
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def _blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` characters."""
     low, total = 0, 0

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm import folds, texts
+from reviewmill.llm import folds
+from reviewmill.llm.texts import Tokens, flat, grams, mixed, numbers_of, ranges, run_kinds
 
 BITS, PER_LABEL, EPOCHS = 18, 4_000, 6
 BLOCK = 2 << 20
@@ -39,16 +40,16 @@ class Features:
     """Sparse unit vectors of documents: for all rows of a block (row, feature, value), sorted by row and feature."""
 
     def __init__(self, bits: int = BITS):
-        self.tokens, self.bits = texts.Tokens(texts.run_kinds()), bits
+        self.tokens, self.bits = Tokens(run_kinds()), bits
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words, rows = self.tokens(data, offsets)
-        of = texts.numbers_of(rows)
-        pairs = texts.grams(words, 2, 2)
+        of = numbers_of(rows)
+        pairs = grams(words, 2, 2)
         if len(pairs):
             pairs[words[1:] == words[:-1]] = 7
         inside = of[1:] == of[:-1]
-        single = texts.mixed(words + np.uint64(1))
+        single = mixed(words + np.uint64(1))
         found = np.concatenate([single, pairs[inside]]) >> np.uint64(64 - self.bits)
         keys = (np.concatenate([of, of[:-1][inside]]) << self.bits) | found.astype(np.int64)
         keys, counts = np.unique(keys, return_counts=True)
@@ -101,8 +102,8 @@ def train(
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            data, offsets = texts.flat(batch.column(1))
-            for low, high in texts.ranges(offsets, BLOCK):
+            data, offsets = flat(batch.column(1))
+            for low, high in ranges(offsets, BLOCK):
                 part = offsets[low : high + 1]
                 row, index, value = features(data[part[0] : part[-1]], part - part[0])
                 cuts = np.searchsorted(row, np.arange(1, high - low))
@@ -124,24 +125,47 @@ def train(
     return np.frombuffer(model["weights"], np.float64) if model else np.zeros((1 << bits) + 1)
 
 
+class Scorer:
+    """Scores for columns of texts; one object per task."""
+
+    def __init__(self, weights: np.ndarray):
+        self.features, self.weights = Features((len(weights) - 1).bit_length() - 1), weights
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        data, offsets = flat(column)
+        scores = np.empty(len(column))
+        for low, high in ranges(offsets, BLOCK):
+            part = offsets[low : high + 1]
+            row, index, value = self.features(data[part[0] : part[-1]], part - part[0])
+            scores[low:high] = logistic(np.bincount(row, value * self.weights[index], high - low) + self.weights[-1])
+        return scores
+
+
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, score (0 to 1), predicted (1 from a half on) for every row; a null text counts as empty."""
-    bits = (len(weights) - 1).bit_length() - 1
     model = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[key].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights = Features(bits), model.value
+        scorer = Scorer(model.value)
         for batch in batches:
-            data, offsets = texts.flat(batch.column(1))
-            scores = np.empty(batch.num_rows)
-            for low, high in texts.ranges(offsets, BLOCK):
-                part = offsets[low : high + 1]
-                row, index, value = features(data[part[0] : part[-1]], part - part[0])
-                scores[low:high] = logistic(np.bincount(row, value * weights[index], high - low) + weights[-1])
+            scores = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["key", "score", "predicted"]
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(predict, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, with a score of at least a half."""
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index(text)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(place)) >= 0.5))
+
+    return docs.mapInArrow(choose, docs.schema)

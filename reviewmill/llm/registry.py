@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import backoff, exact_dedup, folds, language, lexicon, licenses, packing, quality, vectors, warc
+from reviewmill.llm import backoff, exact_dedup, folds, language, lexicon, licenses, near_dedup, packing, quality, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -42,6 +42,27 @@ def _(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+NEAR = """WITH RECURSIVE words AS MATERIALIZED (
+ SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g
+ FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0) x),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b, p.n = x.n AND p.n = y.n AS same FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+ WHERE p.n / (x.n + y.n - p.n) >= 0.8),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n, min(b) FILTER (WHERE same) AS same FROM links GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, c.same) AS class_id, coalesce(c.n, 0) AS n_links, least(d.doc_id, l.b) AS component_id,
+ least(d.doc_id, l.b) = d.doc_id AS kept FROM documents d LEFT JOIN counted c ON c.a = d.doc_id LEFT JOIN lowest l ON l.a = d.doc_id"""
+
+
+@query("op2_ngram_jaccard_join", NEAR)
+def _(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.pack(packing.cut(docs, BYTE_LEVEL))
 

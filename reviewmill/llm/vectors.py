@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
+from reviewmill.llm.stars import Stars
 from reviewmill.session import settle
 
 THRESHOLD, BLOCK_ROWS, TILE = 0.95, 8192, 512
@@ -37,28 +38,10 @@ class Block:
         self.u = self.a + np.linalg.norm(self.unit - near, axis=1)
 
 
-class Stars:
-    """Union of linked numbers, kept as the smallest number each can reach."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-
 def linked(x: Block, y: Block, same: bool, threshold: float) -> tuple[np.ndarray, Stars]:
     """Links per vector of x and then y, and their stars."""
     n = len(x.ids)
-    counts, stars = np.zeros(n + (0 if same else len(y.ids)), np.int64), None
+    counts = np.zeros(n + (0 if same else len(y.ids)), np.int64)
     stars = Stars(len(counts))
     shift = 0 if same else n
     bound = x.u * y.u.max() - x.a * y.a.min()
