@@ -7,13 +7,15 @@ partition to one task, which is fine for small n only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reviewmill.session import settle
+from reviewmill.session import forget, new_path, settle_at
 
 FANOUT = 4096
 LAST = 2**61  # key of nulls in a descending order
@@ -28,8 +30,11 @@ class Cut:
     ties: int
 
 
-def _select_long(keys: DataFrame, name: str, rank: int) -> Cut:
-    """The value of rank ``rank`` (from 0) in a non-null long column whose range is below 2^63."""
+def _select_long(keys: DataFrame, name: str, rank: int, path: str | None = None) -> tuple[Cut, DataFrame]:
+    """The value of rank ``rank`` (from 0) in a non-null long column whose range is below 2^63, and the rows that have it.
+
+    With ``path`` the rows of the first winning bucket are settled there, and only those are read from then on.
+    """
     bounds = keys.agg(F.min(name).alias("lo"), F.max(name).alias("hi")).first()
     low, high, before = bounds["lo"], bounds["hi"], 0
     while True:
@@ -43,36 +48,44 @@ def _select_long(keys: DataFrame, name: str, rank: int) -> Cut:
                 break
             before += n
         low, high = low + b * width, min(low + (b + 1) * width - 1, high)
+        if path:
+            keys, path = settle_at(keys.filter(F.col(name).between(low, high)), path), None
         if low == high:
-            return Cut(low, before, n)
+            return Cut(low, before, n), keys.filter(F.col(name) == low)
 
 
 def top_rows(df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column] | None = None) -> DataFrame:
     """Exactly the first ``n`` rows in ascending order of the non-null long ``keys``.
 
     The keys are narrowed one after another to the key of the last row kept; the result is then a plain filter of
-    ``df``. If several rows share all keys at the cut, any of them fill the remaining places. Only the keys are
-    settled and read by the passes, so ``df`` is computed twice, however many passes it takes. ``prune`` turns the cut
-    of the first key into a condition on stored columns that kept rows meet, by which scans can skip row groups.
+    ``df``. Rows that share all keys at the cut are ordered by a hash of the row, so the same ones are kept on every
+    run. The first histogram reads ``df``; only the keys of its winning bucket are settled, and deleted in the end.
+    ``prune`` turns the cut of the first key into a condition on stored columns that kept rows meet, by which scans can
+    skip row groups. The passes run when this is called.
     """
     if n <= 0:
         return df.limit(0)
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keys = (*keys, F.shiftright(F.xxhash64(*hashed), 1))
     names = [f"key{i}" for i in range(len(keys))]
-    open_keys = settle(df.select(*(key.alias(name) for key, name in zip(keys, names))), "keys")
+    open_keys = df.select(*(key.alias(name) for key, name in zip(keys, names)))
     if open_keys.count() <= n:
         return df
+    path = new_path(df.sparkSession, "keys")
     kept, open_rows, wanted = F.lit(False), F.lit(True), n
-    for key, name in zip(keys, names):
-        cut = _select_long(open_keys, name, wanted - 1)
-        if prune and key is keys[0]:
+    for i, (key, name) in enumerate(zip(keys, names)):
+        cut, open_keys = _select_long(open_keys, name, wanted - 1, path if i == 0 else None)
+        if prune and i == 0:
             df = df.filter(prune(cut.value))
         kept = kept | (open_rows & (key < F.lit(cut.value)))
         open_rows = open_rows & (key == F.lit(cut.value))
-        open_keys = open_keys.filter(F.col(name) == cut.value)
         wanted -= cut.before
         if cut.ties == wanted:
-            return df.filter(kept | open_rows)
-    return df.filter(kept).unionByName(df.filter(open_rows).limit(wanted))
+            kept, wanted = kept | open_rows, 0
+            break
+    forget(df.sparkSession, path)
+    # what is still open are equal rows, of which any will do
+    return df.filter(kept) if not wanted else df.filter(kept).unionByName(df.filter(open_rows).limit(wanted))
 
 
 def hash_key(*columns: Column, seed: int | str) -> Column:
@@ -91,31 +104,46 @@ def micros(timestamp: Column) -> Column:
 
 
 def exact_percentile(df: DataFrame, column: str, fraction: float) -> float | None:
-    """The percentile with linear interpolation between ranks, exact on any number of rows.
+    """The percentile with linear interpolation between ranks, exact on any number of rows. NaN if any value is NaN.
 
     Doubles are bracketed by value: every pass cuts the bracket that holds the wanted rank into ``FANOUT`` equal
     parts. Each pass reads ``column`` again, so it should come from a stored table or a cheap projection of one.
+    Infinite values are counted apart.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    bounds = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    value = F.col(column).cast("double")
+    values = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    finite = F.when(F.abs("v") < math.inf, F.col("v"))
+    bounds = values.agg(
+        F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nan"), F.count_if(F.col("v") == -math.inf).alias("below"),
+        F.count(finite).alias("finite"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+    ).first()
     if not bounds["n"]:
         return None
+    if bounds["nan"]:
+        return math.nan
     position = fraction * (bounds["n"] - 1)
-    rank = int(position)
-    value = _select_double(values, rank, bounds["lo"], bounds["hi"])
+    rank, values = int(position), values.filter(F.abs("v") < math.inf)
+
+    def at(place: int) -> float:
+        if place < bounds["below"]:
+            return -math.inf
+        if place >= bounds["below"] + bounds["finite"]:
+            return math.inf
+        return _select_double(values, place - bounds["below"], bounds["lo"], bounds["hi"])
+
+    low = at(rank)
     if position == rank:
-        return value
-    above = values.agg(
-        F.count_if(F.col("v") <= value).alias("n"), F.min(F.when(F.col("v") > value, F.col("v"))).alias("next")
-    ).first()
-    following = value if above["n"] > rank + 1 else above["next"]
-    return value + (following - value) * (position - rank)
+        return low
+    high = at(rank + 1)
+    return low if low == high else low + (high - low) * (position - rank)
 
 
 def _select_double(values: DataFrame, rank: int, low: float, high: float) -> float:
     before = 0
     while low < high:
-        part = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * FANOUT), F.lit(FANOUT - 1))
+        # halves, as the distance of two large values may not be finite
+        place = (F.col("v") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+        part = F.least(F.floor(place * FANOUT), F.lit(FANOUT - 1))
         counts = (
             values.filter(F.col("v").between(low, high))
             .groupBy(part.alias("b"))

@@ -15,6 +15,9 @@ from reviewmill import vocab
 # Unicode white space, written out so that Java and other engines split words alike.
 LATIN_SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}"
 SPACE = LATIN_SPACE + r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Word boundaries by Unicode letters and digits in every Java version (from 19 on they are ASCII without the flag).
+UNICODE = "(?U)"
+WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -46,7 +49,7 @@ def phrase_pattern(phrases: list[str]) -> str:
     Phrases share their prefixes in the pattern and a look-ahead on first letters skips most words, so the cost per
     word hardly grows with the dictionary. Equal to trying the phrases one by one, longest first.
     """
-    return rf"\b(?=[{_first_letters(phrases)}])({_shared_prefixes(phrases)})\b"
+    return rf"{UNICODE}\b(?=[{_first_letters(phrases)}])({_shared_prefixes(phrases)})\b"
 
 
 def find_phrases(text: Column, phrases: list[str]) -> Column:
@@ -62,7 +65,7 @@ def find_pattern(text: Column, pattern: str) -> Column:
 def time_references(text: Column) -> Column:
     """Durations such as "2 weeks"."""
     units = "|".join(vocab.TIME_UNITS)
-    return find_pattern(text, rf"\b([0-9]+ (?:{units})s?)\b")
+    return find_pattern(text, rf"{UNICODE}\b([0-9]+ (?:{units})s?)\b")
 
 
 def entities(text: Column, issues: list[str] | None = None) -> Column:

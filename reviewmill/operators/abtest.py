@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill import vocab
 from reviewmill.functions.stats import t_upper_tail_column
+from reviewmill.operators import joins
 
 TARGET = 4.0
 METRICS = [*vocab.CRITERIA, "overall_score"]
@@ -26,56 +27,45 @@ def mean_scores(evaluations: DataFrame, target: float = TARGET) -> DataFrame:
 def compare(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:
     """Per metric: means, difference and the independent equal-variance t statistic over common asins.
 
-    One shuffle: each asin is reduced to counts, sums and sums of squares of both models; asins without both drop out.
+    Means and variances are Spark's, which merge partial results without cancellation. Without any variance the
+    statistic is infinite with the sign of the difference, or NaN if there is no difference either.
     """
-    is_base, is_tuned = F.col("model_name") == base, F.col("model_name") == tuned
-    moments = []
-    for metric in METRICS:
-        for name, chosen in (("b", is_base), ("t", is_tuned)):
-            value = F.when(chosen, F.col(metric))
-            moments += [
-                F.count(value).alias(f"{name}n_{metric}"),
-                F.sum(value).alias(f"{name}s_{metric}"),
-                F.sum(value * value).alias(f"{name}q_{metric}"),
-            ]
-    per_asin = (
-        evaluations.filter(F.col("model_name").isin(base, tuned) & F.col("asin").isNotNull())
-        .groupBy("asin")
-        .agg(F.count_if(is_base).alias("rows_b"), F.count_if(is_tuned).alias("rows_t"), *moments)
-        .filter("rows_b > 0 AND rows_t > 0")
+    rows = evaluations.filter(F.col("asin").isNotNull())
+    both = joins.scored_by_both(rows, base, tuned)
+    measures = [f(m).alias(f"{p}_{m}") for m in METRICS for p, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    sides = both.groupBy("model_name").agg(F.count_distinct("asin").alias("common"), *measures)
+    listed = ", ".join(f"'{m}', n_{m}, m_{m}, v_{m}" for m in METRICS)
+    long = sides.selectExpr("model_name", "common", f"stack({len(METRICS)}, {listed}) AS (metric, n, m, v)")
+
+    def side(model: str, column: str) -> Column:
+        return F.max(F.when(F.col("model_name") == model, F.col(column)))
+
+    pairs = long.groupBy("metric").agg(
+        F.max("common").alias("common_products"),
+        *(side(model, c).alias(p + c) for p, model in (("b", base), ("t", tuned)) for c in ("n", "m", "v")),
     )
-    names = [f"{p}_{m}" for m in METRICS for p in ("bn", "bs", "bq", "tn", "ts", "tq")]
-    totals = per_asin.agg(F.count("*").alias("common"), *(F.sum(c).alias(c) for c in names))
-    rows = ", ".join(f"'{m}', " + ", ".join(f"{p}_{m}" for p in ("bn", "bs", "bq", "tn", "ts", "tq")) for m in METRICS)
-    long = totals.selectExpr("common", f"stack({len(METRICS)}, {rows}) AS (metric, bn, bs, bq, tn, ts, tq)")
     freedom = F.col("bn") + F.col("tn") - 2
-    spread = (
-        F.col("bq") - F.col("bs") * F.col("bs") / F.col("bn") + F.col("tq") - F.col("ts") * F.col("ts") / F.col("tn")
-    )
-    stated = long.filter("bn > 0 AND tn > 0").select(
-        "metric",
-        F.col("common").alias("common_products"),
-        (F.col("bs") / F.col("bn")).alias("base_mean"),
-        (F.col("ts") / F.col("tn")).alias("tuned_mean"),
-        freedom.alias("freedom"),
-        F.try_divide(spread, freedom).alias("variance"),
-        (1 / F.col("bn") + 1 / F.col("tn")).alias("weight"),
+    spread = F.coalesce((F.col("bn") - 1) * F.col("bv"), F.lit(0.0)) + F.coalesce((F.col("tn") - 1) * F.col("tv"), F.lit(0.0))
+    error = F.sqrt(F.try_divide(spread, freedom) * (1 / F.col("bn") + 1 / F.col("tn")))
+    difference = F.col("tm") - F.col("bm")
+    without_spread = (
+        F.when(difference > 0, F.lit(float("inf"))).when(difference < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
     )
-    difference = F.col("tuned_mean") - F.col("base_mean")
-    return stated.select(
+    return pairs.filter("bn > 0 AND tn > 0").select(
         "metric",
         "common_products",
-        "base_mean",
-        "tuned_mean",
+        F.col("bm").alias("base_mean"),
+        F.col("tm").alias("tuned_mean"),
         difference.alias("difference"),
-        F.try_divide(difference, F.sqrt(F.col("variance") * F.col("weight"))).alias("t_stat"),
-        "freedom",
+        F.when(error == 0, without_spread).otherwise(difference / F.nullif(error, F.lit(0.0))).alias("t_stat"),
+        freedom.alias("freedom"),
     )
 
 
 def significance(compared: DataFrame, level: float = 0.05) -> DataFrame:
     """One-sided p-value ("tuned is greater") of the five metric rows."""
-    p_value = t_upper_tail_column("t_stat", F.col("freedom").cast("double"))
+    tail = t_upper_tail_column("t_stat", F.col("freedom").cast("double"))
+    p_value = F.when(F.isnan("t_stat"), F.col("t_stat")).otherwise(tail)
     return compared.withColumn("p_value", p_value).withColumn("significant", F.col("p_value") < level)
 
 

@@ -53,13 +53,14 @@ def top_products(reviews: DataFrame, products: DataFrame, limit: int = 20) -> Da
 
 
 def products_with_reviews(
-    reviews: DataFrame, products: DataFrame, min_reviews: int = 20, limit: int | None = 800
+    reviews: DataFrame, products: DataFrame, min_reviews: int = 20, limit: int | None = None
 ) -> DataFrame:
-    """(asin, title) with at least ``min_reviews`` usable reviews, most reviewed first."""
+    """(asin, title) with at least ``min_reviews`` usable reviews; with ``limit`` the most reviewed ones only."""
     usable = filters.usable_text(reviews, 30)
     enough = by_asin_and_title(usable, products).filter(F.col("review_count") >= min_reviews)
-    ranked = enough.orderBy(F.desc("review_count"), "asin", "product_title")
-    return (ranked if limit is None else ranked.limit(limit)).select("asin", "product_title", "review_count")
+    if limit is not None:
+        enough = enough.orderBy(F.desc("review_count"), "asin", "product_title").limit(limit)
+    return enough.select("asin", "product_title", "review_count")
 
 
 def label_distribution(labels: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def clipped_histogram(values: DataFrame, column: str, cap: int, bins: int = 50)
 def word_frequencies(reviews: DataFrame, limit: int = 100, stop_words: list[str] = vocab.STOP_WORDS) -> DataFrame:
     """The most frequent words of negative reviews."""
     negative = filters.sentiment_band(reviews, "negative").filter(F.col("text").isNotNull())
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z']+)"), F.lit(1))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({tx.WORD})"), F.lit(1))
     # An outer explode: for an inner one Spark adds a filter on the array's size, which would split every text twice.
     each = negative.select(F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
     counted = each.groupBy("word").agg(F.count("*").alias("word_count"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill import vocab
+from reviewmill.session import settle
 
 SPLIT_SHARE = 0.7
 DRIFT_LIMIT = 0.1
 DATASET_LIMIT = 0.5
 MIN_DEVIATION = 0.001
-CELLS = 1024
 METHOD = "Wasserstein distance (normed)"
 
 
@@ -36,13 +36,11 @@ def column_drift(windowed: DataFrame, columns: list[str] = vocab.FEATURES, limit
     """Wasserstein distance between the two windows per column, over the reference deviation.
 
     Rows are reduced to counts per distinct value. The running shares need an order over all values of a column, so
-    values are put in ``CELLS`` equal cells: cell totals (at most CELLS rows per column, hence safe to broadcast)
-    give every cell its starting share, and each cell is then accumulated on its own.
+    the counts are range-partitioned by (column, value), which no outlier and no frequent value can unbalance, and
+    settled. The totals of the parts, one row per column and part, give every part its starting share.
     """
     is_reference = F.col("window") == "reference"
     stats = windowed.agg(
-        *(F.min(c).cast("double").alias(f"lo_{c}") for c in columns),
-        *(F.max(c).cast("double").alias(f"hi_{c}") for c in columns),
         *(F.stddev_pop(F.when(is_reference, F.col(c))).alias(f"sd_{c}") for c in columns),
         *(F.count(F.when(is_reference, F.col(c))).alias(f"r_{c}") for c in columns),
         *(F.count(F.when(~is_reference, F.col(c))).alias(f"c_{c}") for c in columns),
@@ -61,9 +59,7 @@ def column_drift(windowed: DataFrame, columns: list[str] = vocab.FEATURES, limit
             chain = chain.when(F.col("name") == c, F.lit(float(stats[f"{key}_{c}"] or 0.0)))
         return chain
 
-    low, high = per_column("lo"), per_column("hi")
-    place = F.coalesce(F.try_divide(F.col("value") - low, high - low), F.lit(0.0)) * CELLS
-    cells = counts.withColumn("cell", F.least(F.floor(place), F.lit(CELLS - 1)))
+    cells = settle(counts.repartitionByRange("name", "value").withColumn("cell", F.spark_partition_id()), "drift")
     totals = cells.groupBy("name", "cell").agg(
         F.sum("r").alias("cell_r"), F.sum("c").alias("cell_c"), F.min("value").alias("first_value")
     )
@@ -82,7 +78,7 @@ def column_drift(windowed: DataFrame, columns: list[str] = vocab.FEATURES, limit
         cells.withColumn("sum_r", F.sum("r").over(running))
         .withColumn("sum_c", F.sum("c").over(running))
         .withColumn("next_value", F.lead("value").over(inside))
-        .join(F.broadcast(starts), ["name", "cell"])
+        .join(starts, ["name", "cell"])
     )
     share_gap = F.abs(
         (F.col("start_r") + F.col("sum_r")) / per_column("r") - (F.col("start_c") + F.col("sum_c")) / per_column("c")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions import text as tx
 from reviewmill.operators.anomaly import Scaler, fit_scaler
 
+# The feature names, which are output columns.
 STYLE = ["text_length", "word_count", "rating", "title_length", "has_exclamation", "has_question",
          "avg_word_length", "uppercase_ratio"]
 MAX_ERROR = 2.0

@@ -1,7 +1,7 @@
 """Joins of reviews with products, stored results and other models' scores.
 
-Products and result tables grow with the data, so a side is broadcast only below a checked size (``small_side``). Beyond
-it both sides are shuffled, and AQE splits the partitions of hot keys.
+Products and result tables grow with the data, so no side is marked for broadcast: AQE broadcasts one whose measured size
+is small, else both sides are shuffled and the partitions of hot keys are split.
 """
 
 from __future__ import annotations
@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.session import small_side
+from reviewmill.sources.readers import unique_products
 
 
 def with_products(reviews: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
     """Reviews with product columns (prefixed ``product_``); unmatched reviews stay."""
     side = products.select("parent_asin", *(F.col(c).alias(f"product_{c}") for c in columns))
-    return reviews.join(small_side(side), "parent_asin", "left")
+    return reviews.join(side, "parent_asin", "left")
 
 
 def not_done(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key is not in ``done``; rows with a null key stay."""
-    return rows.join(small_side(done.select(*keys)), list(keys), "left_anti").select(rows.columns)
+    return rows.join(done.select(*keys), list(keys), "left_anti").select(rows.columns)
 
 
 def scored_by_both(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:
@@ -47,8 +47,9 @@ def aligned_scores(evaluations: DataFrame, base: str, tuned: str, *criteria: str
 def with_listing(rows: DataFrame, products: DataFrame) -> DataFrame:
     """``rows`` (asin, parent_asin, ...) with their product: that of parent_asin = asin, else that of the parent.
 
-    Two joins on the small side of one row per asin, so that ``rows`` is computed once.
+    A repeated product counts once. Two joins on the small side of one row per asin, so that ``rows`` is computed once.
     """
+    products = unique_products(products)
     fields = ["title", "description", "features", "price"]
     listing = F.struct(*(F.col(f).alias(f"product_{f}") for f in fields))
     own = products.select(F.col("parent_asin").alias("asin"), listing.alias("_own"))

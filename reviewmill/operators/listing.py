@@ -11,11 +11,15 @@ from reviewmill.operators.product_features import entity_counts, entity_list, of
 
 TOP_ENTITIES = 10
 MAX_AUTO_APPROVED = 5
+# This text and those of summaries, claims, complaints, audits and notes below must match as output.
 NO_REVIEWS = "No reviews found."
 
 
 def product_entities(reviews: DataFrame) -> DataFrame:
-    """Review count, ratings, fallback parent and sorted entity counts per asin. Titles count as text."""
+    """Review count, ratings, fallback parent and sorted entity counts per asin. Titles count as text.
+
+    The one pass over all texts; store the result, as profiles, rankings and audits are made from it.
+    """
     known = reviews.filter(F.col("asin").isNotNull())
     counts = entity_counts(
         known,
@@ -42,9 +46,9 @@ def most_common(entities: Column, n: int = TOP_ENTITIES) -> Column:
     )
 
 
-def top_entities(reviews: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
-    """Long form: asin, kind, entity, count, position."""
-    ranked = product_entities(reviews).select(
+def top_entities(entities: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
+    """Long form of ``product_entities``: asin, kind, entity, count, position."""
+    ranked = entities.select(
         "asin",
         F.explode_outer(
             F.array(
@@ -58,12 +62,12 @@ def top_entities(reviews: DataFrame, n: int = TOP_ENTITIES) -> DataFrame:
     )
 
 
-def complaint_profiles(reviews: DataFrame, requested: DataFrame | None = None) -> DataFrame:
-    """Per asin: review count, mean rating, share of negatives, top components and issues, summary text.
+def complaint_profiles(entities: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """Per asin of ``product_entities``: review count, mean rating, share of negatives, top components and issues, summary.
 
     ``requested`` (a table with ``asin``) limits the result; requested asins without reviews get an empty profile.
     """
-    profiles = product_entities(reviews)
+    profiles = entities
     if requested is not None:
         profiles = requested.select("asin").distinct().join(profiles, "asin", "left")
     empty = F.array().cast("array<struct<entity:string,n:bigint>>")
@@ -188,17 +192,17 @@ def decide(audited: DataFrame, status: Column | None = None) -> DataFrame:
 
 
 def product_audit(
-    reviews: DataFrame, products: DataFrame, rewrites: DataFrame | None = None, requested: DataFrame | None = None
+    entities: DataFrame, products: DataFrame, rewrites: DataFrame | None = None, requested: DataFrame | None = None
 ) -> DataFrame:
-    """Profile, audit and decision of every product, with rewritten listings where answers are given.
+    """Profile, audit and decision of every product in ``product_entities``, with rewritten listings where answers are given.
 
     ``rewrites`` holds (asin, rewritten_title, rewritten_description, changes_made); products without mismatches are
     never rewritten, so theirs are ignored.
     """
-    audited = audit(complaint_profiles(reviews, requested), products)
+    audited = audit(complaint_profiles(entities, requested), products)
     if rewrites is None:
         schema = "asin string, rewritten_title string, rewritten_description string, changes_made array<string>"
-        rewrites = reviews.sparkSession.createDataFrame([], schema)
+        rewrites = entities.sparkSession.createDataFrame([], schema)
     joined = decide(audited).join(rewrites, "asin", "left")
     routed = [F.when(F.col("mismatch_count") > 0, F.col(c)).alias(c)
               for c in ("rewritten_title", "rewritten_description", "changes_made")]

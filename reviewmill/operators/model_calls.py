@@ -16,7 +16,6 @@ from reviewmill import vocab
 from reviewmill.functions import jsontext as js
 from reviewmill.functions import text as tx
 from reviewmill.operators import aggregates, joins, ranking
-from reviewmill.session import settle
 
 LABEL_SYSTEM = (
     "Classify the root causes of a negative product review. Answer with one JSON object whose keys are "
@@ -35,7 +34,7 @@ REWRITE_SYSTEM = (
     "the keys title, description and changes (a list)."
 )
 
-# The instruction format for fine-tuning.
+# The instruction format for fine-tuning. The frames of the other prompts below must match as output too.
 TUNING_START = (
     "<s>[INST] You are an expert product analyst. Given the following customer reviews, write a structured executive "
     "summary.\n\n"
@@ -90,16 +89,17 @@ def summary_inputs(reviews: DataFrame, titles: DataFrame, shown: int = 50) -> Da
 
 
 def pair_candidates(
-    reviews: DataFrame, products: DataFrame, done: DataFrame, min_reviews: int = 20, target: int = 400
+    reviews: DataFrame, products: DataFrame, done: DataFrame, min_reviews: int = 20, target: int | None = None
 ) -> DataFrame:
-    """Prompt inputs of products that still need a summary: enough reviews, not done, at most ``target``.
+    """Prompt inputs of products that still need a summary: enough reviews and not done.
 
-    The chosen products, at most ``target`` rows, are settled and broadcast, so only their reviews are ranked.
+    With ``target`` those with the most reviews only, chosen after the done ones are gone. Only the reviews of chosen
+    products are ranked.
     """
-    listed = aggregates.products_with_reviews(reviews, products, min_reviews, 2 * target)
-    waiting = joins.not_done(listed, done, "asin")
-    chosen = settle(waiting.orderBy(F.desc("review_count"), "asin", "product_title").limit(target), "chosen")
-    theirs = reviews.join(F.broadcast(chosen.select("asin")), "asin", "left_semi")
+    chosen = joins.not_done(aggregates.products_with_reviews(reviews, products, min_reviews), done, "asin")
+    if target is not None:
+        chosen = chosen.orderBy(F.desc("review_count"), "asin", "product_title").limit(target)
+    theirs = reviews.join(chosen.select("asin"), "asin", "left_semi")
     inputs = summary_inputs(theirs, chosen)
     return inputs.filter(F.col("shown") >= min_reviews).select("asin", "product_title", "input")
 

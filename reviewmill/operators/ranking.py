@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.session import settle
 
 
+SLICES = 32
+
+
 def top_per_group(df: DataFrame, n: int, keys: list[str], order: list[Column], position: str = "position") -> DataFrame:
     """The first ``n`` rows per key with their position.
 
-    The limit sits on row_number, so Spark keeps at most ``n`` rows per key and map task before the shuffle
-    (WindowGroupLimit) and a hot key stays small.
+    Below Spark's threshold for ``n`` the limit on row_number keeps at most ``n`` rows per key and map task before the
+    shuffle (WindowGroupLimit), so a hot key stays small. From there on rows are first cut to ``n`` in each of ``SLICES``
+    slices of a key, which spreads a hot key, and its last window holds at most ``SLICES * n`` rows.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+    if n < int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*(F.expr(f"`{c}`") for c in _hashable(df))), F.lit(SLICES)))
+    cut = sliced.withColumn(position, F.row_number().over(within)).filter(F.col(position) <= n).drop("_slice", position)
+    return cut.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Narrow columns that tell rows of a key apart: numbers and times, or all columns if there is none."""
+    narrow = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.TimestampType, T.DateType))]
+    return narrow or df.columns
 
 
 def most_helpful(reviews: DataFrame, n: int = 50) -> DataFrame:

@@ -113,7 +113,7 @@ def report(predictions: DataFrame, threshold: int = 50) -> DataFrame:
 def text_features(dims: int = 1 << 14) -> Pipeline:
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[a-z']+", gaps=False),
+            RegexTokenizer(inputCol="text", outputCol="words", pattern=tx.WORD, gaps=False),
             HashingTF(inputCol="words", outputCol="tf", numFeatures=dims),
             IDF(inputCol="tf", outputCol="features"),
         ]

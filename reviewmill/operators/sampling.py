@@ -8,42 +8,49 @@ from pyspark.sql import functions as F
 from reviewmill.functions import selection
 from reviewmill.operators import filters, joins
 
-LABEL_SAMPLE = 3_000
-EMBEDDING_LIMIT = 50_000
-HELPFULNESS_SAMPLE = 100_000
-EXTRA_SHIPPING = 500
-
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """Exactly ``n`` rows in the order of a hash of key and seed: the same rows on every run and layout."""
     return selection.top_rows(df, n, selection.hash_key(F.col(key), seed=seed), F.col(key))
 
 
-def negative_sample(reviews: DataFrame, n: int = LABEL_SAMPLE, seed: int = 42) -> DataFrame:
-    return sample(filters.usable_text(filters.sentiment_band(reviews, "negative"), 50), n, seed)
+def labelling_candidates(reviews: DataFrame) -> DataFrame:
+    """All usable negative reviews."""
+    return filters.usable_text(filters.sentiment_band(reviews, "negative"), 50)
+
+
+def negative_sample(reviews: DataFrame, n: int, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
+    """``n`` usable negative reviews to be labelled; those in ``done`` go first, so a later run goes on with others."""
+    return _sample_ids(labelling_candidates(reviews), done, n, seed)
 
 
-def review_sample(reviews: DataFrame, n: int = HELPFULNESS_SAMPLE, seed: int = 42) -> DataFrame:
+def review_sample(reviews: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return sample(reviews, n, seed)
 
 
-def worst_first(reviews: DataFrame, n: int = EMBEDDING_LIMIT) -> DataFrame:
+def worst_first(reviews: DataFrame, n: int) -> DataFrame:
     """The ``n`` lowest-rated usable reviews with rating <= 3, ties by id."""
     usable = filters.usable_text(filters.sentiment_band(reviews, "mixed"), 30)
     thousandths = F.round(F.col("rating") * 1000).cast("long")
     return selection.top_rows(usable, n, thousandths, F.col("id"), prune=lambda cut: F.col("rating") <= (cut + 1) / 1000)
 
 
-def shipping_candidates(reviews: DataFrame, done: DataFrame, n: int = EXTRA_SHIPPING, seed: int = 42) -> DataFrame:
+def shipping_candidates(reviews: DataFrame, done: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Unlabelled negative reviews that mention shipping. Labelled ones go first, so the sample is never short."""
-    negative = filters.usable_text(filters.sentiment_band(reviews, "negative"), 50)
-    return sample(joins.not_done(filters.mentions_any(negative), done, "id"), n, seed)
+    return _sample_ids(filters.mentions_any(labelling_candidates(reviews)), done, n, seed)
+
+
+def _sample_ids(rows: DataFrame, done: DataFrame | None, n: int, seed: int) -> DataFrame:
+    """A sample of the rows that are not done: only ids are compared and drawn, the texts of the chosen ones are joined."""
+    ids = rows.select("id")
+    chosen = sample(ids if done is None else joins.not_done(ids, done, "id"), n, seed)
+    return rows.join(chosen, "id", "left_semi")
 
 
 def latest_alerts(alerts: DataFrame, limit: int = 50, severity: str | None = None) -> DataFrame:
-    """The newest alerts, at most 200."""
+    """The newest ``limit`` alerts."""
     chosen = filters.alerts_by_severity(alerts, severity)
-    return chosen.orderBy(F.desc("detected_at"), "product_id", "details").limit(min(limit, 200))
+    return chosen.orderBy(F.desc("detected_at"), "product_id", "details").limit(limit)
 
 
 def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
 from reviewmill.operators import filters
 
 DIMENSIONS = 384
+MAX_QUERIES = 10_000
 
 
 def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
     """Unit-length TF-IDF vectors of whole texts as ``vec array<float>``."""
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[a-z']+", gaps=False),
+        RegexTokenizer(inputCol="text", outputCol="_words", pattern=tx.WORD, gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_unit"),
@@ -30,7 +34,8 @@ def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
 
 
 def vector_records(vectors: DataFrame) -> DataFrame:
-    """Stored form: an id from the row key, the vector, and metadata (title cut to 200, text to 500 characters)."""
+    """Stored form: an id from the row key, the vector and its length, and metadata (title cut to 200, text to 500
+    characters)."""
     return vectors.select(
         F.concat(F.lit("rev_"), F.col("id").cast("string")).alias("id"),
         "asin",
@@ -38,6 +43,7 @@ def vector_records(vectors: DataFrame) -> DataFrame:
         tx.prefix(F.coalesce("title", F.lit("")), 200).alias("title"),
         tx.prefix(F.coalesce("text", F.lit("")), 500).alias("text"),
         "vec",
+        F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias("norm"),
     )
 
 
@@ -46,13 +52,6 @@ def _dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(vec: Column, query: list[float]) -> Column:
-    """Cosine similarity to one query vector; null if a length is 0."""
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    norm = math.sqrt(sum(float(x) ** 2 for x in query))
-    return F.try_divide(_dot(vec, literal), F.sqrt(_dot(vec, vec)) * F.lit(norm))
-
-
 def search(
     records: DataFrame,
     query: list[float],
@@ -62,8 +61,44 @@ def search(
 ) -> DataFrame:
     """The ``n`` nearest records within the rating range, distance = 1 - similarity, ties by id.
 
-    The rating filter reaches the scan, and only the id and distance take part in the top-n.
+    Records of length 0 have no direction and are never found. The rating filter reaches the scan; every task keeps its
+    ``n`` best rows only.
     """
+    literal = F.array(*(F.lit(float(x)) for x in query))
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
+    similarity = F.try_divide(_dot(F.col("vec"), literal), F.col("norm") * F.lit(length))
     candidates = records.filter(filters.rating_range(min_rating, max_rating))
-    scored = candidates.withColumn("distance", 1 - cosine(F.col("vec"), query)).drop("vec")
-    return scored.orderBy("distance", "id").limit(n)
+    scored = candidates.withColumn("distance", 1 - similarity).filter(F.col("distance").isNotNull())
+    return scored.drop("vec", "norm").orderBy("distance", "id").limit(n)
+
+
+def search_many(records: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, id, distance, position): the ``n`` nearest records of each query (query_id, vec), ties by id.
+
+    The queries are a stated set of at most ``MAX_QUERIES`` rows and go to every task, which compares each batch of
+    records with them as one matrix product and hands on at most ``n`` rows per query and batch. Records and queries of
+    length 0 are left out. Distances are those of double precision.
+    """
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: ask in parts")
+    matrix = np.array([row["vec"] for row in asked], float).reshape(len(asked), -1)
+    lengths = np.sqrt((matrix * matrix).sum(1))
+    numbers = np.array([row["query_id"] for row in asked])[lengths > 0]
+    shared = records.sparkSession.sparkContext.broadcast((numbers, matrix[lengths > 0] / lengths[lengths > 0, None]))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, directions = shared.value
+        for batch in batches:
+            rows = batch[batch["norm"] > 0]
+            if not len(rows) or not len(numbers):
+                continue
+            vectors, ids = np.stack(rows["vec"].to_numpy()).astype(float), rows["id"].to_numpy(str)
+            distances = 1 - (vectors / rows["norm"].to_numpy()[:, None]) @ directions.T
+            for column, number in enumerate(numbers):
+                best = np.lexsort((ids, distances[:, column]))[:n]
+                yield pd.DataFrame({"query_id": number, "id": ids[best], "distance": distances[best, column]})
+
+    found = records.select("id", "vec", "norm").mapInPandas(nearest, "query_id long, id string, distance double")
+    window = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n)

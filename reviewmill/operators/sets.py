@@ -17,16 +17,16 @@ def union_all(*parts: DataFrame) -> DataFrame:
 def first_set_wins(key: str, *parts: DataFrame) -> DataFrame:
     """Union with one row per key, taken from the earliest part that has it.
 
-    min_by combines on the map side: a key repeated in many rows reaches its reducer as one row per task.
+    min combines on the map side: a key repeated in many rows reaches its reducer as one row per task.
     Within a part, the smallest row wins.
     """
     columns = parts[0].columns
     rest = [c for c in columns if c != key]
     tagged = union_all(*(part.select(*columns, F.lit(i).alias("part")) for i, part in enumerate(parts)))
     best = tagged.groupBy(key).agg(
-        F.min_by(F.struct(*rest), F.struct("part", *rest)).alias("row")
+        F.min(F.struct("part", *rest)).alias("row")
     )
-    return best.select(key, "row.*").select(columns)
+    return best.select(key, *(F.col(f"row.{c}").alias(c) for c in rest)).select(columns)
 
 
 def common_keys(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

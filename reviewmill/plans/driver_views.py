@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill import schemas, vocab
-from reviewmill.operators import anomaly, product_features
+from reviewmill.operators import anomaly, listing, product_features
 from reviewmill.session import new_path, settle
 
 PHRASES = [
@@ -23,7 +23,7 @@ PHRASES = [
     "Too small, does not fit; wrong size. ",
     "Not as described, misleading and flimsy. ",
     "USB port stopped working, returned it. ",
-    "Great keyboard, works perfectly. ",
+    "Great keyboard, éfan and portö work perfectly. ",
     "Overpriced, rip off, terrible speaker noise. ",
     "Fan is noisy and keeps overheating. ",
 ]
@@ -135,7 +135,8 @@ class Tables:
 
     def raw_reviews(self) -> DataFrame:
         """As downloaded: ``helpful_vote``, and epoch milliseconds as text with some unreadable values."""
-        millis = F.coalesce(F.unix_millis("timestamp").cast("string"), F.lit("unknown"))
+        unreadable = F.when(F.col("id") % 2 == 0, "99999999999999999").when(F.col("id") % 3 == 0, str(2**63 - 1)).otherwise("unknown")
+        millis = F.coalesce(F.unix_millis("timestamp").cast("string"), unreadable)
         raw = self.reviews.withColumnRenamed("helpful_votes", "helpful_vote").withColumn("timestamp", millis)
         return schemas.conform(raw, schemas.RAW_REVIEW)
 
@@ -159,6 +160,11 @@ class Tables:
         """The stored feature table with entity maps."""
         return self._settled("features", lambda: product_features.product_features(self.reviews))
 
+    @cached_property
+    def entities(self) -> DataFrame:
+        """The stored entity counts per product."""
+        return self._settled("entities", lambda: listing.product_entities(self.reviews))
+
     @cached_property
     def scores(self) -> DataFrame:
         return self._settled("scores", lambda: anomaly.mean_square_scores(self.features))
@@ -261,8 +267,13 @@ def _choose(key: str, values: list[str]) -> str:
     return f"CASE {key} {whens} ELSE {quoted(values[-1])} END"
 
 
+def bounded(text: str) -> str:
+    """Lower case with other letters than ASCII ones as "q": the check's word boundaries know ASCII letters only."""
+    return f"regexp_replace(lower(coalesce({text}, '')), '[^\\x00-\\x7F\\P{{L}}]', 'q', 'g')"
+
+
 def extract(text: str, phrases: list[str]) -> str:
-    return f"list_distinct(regexp_extract_all(lower(coalesce({text}, '')), {flat_pattern(phrases)}, 1))"
+    return f"list_distinct(regexp_extract_all({bounded(text)}, {flat_pattern(phrases)}, 1))"
 
 
 def present(text: str, phrases: list[str]) -> str:

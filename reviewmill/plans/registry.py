@@ -79,14 +79,15 @@ def _stored_raw_reviews(t: Tables) -> str:
 
 
 @query("src01_read_raw_reviews", """SELECT asin, parent_asin, user_id, rating, title, text, helpful_votes AS helpful_vote,
- coalesce(CAST(epoch_us(timestamp) // 1000 AS VARCHAR), 'unknown') AS timestamp FROM reviews""")
+ coalesce(CAST(epoch_us(timestamp) // 1000 AS VARCHAR), CASE WHEN id % 2 = 0 THEN '99999999999999999'
+ WHEN id % 3 = 0 THEN '9223372036854775807' ELSE 'unknown' END) AS timestamp FROM reviews""")
 def _(t):
     return readers.read_raw_reviews(t.spark, _stored_raw_reviews(t))
 
 
 @query("src02_normalise_reviews", RAW_REVIEWS)
 def _(t):
-    return readers.normalise_reviews(readers.read_raw_reviews(t.spark, _stored_raw_reviews(t), None))
+    return readers.normalise_reviews(readers.read_raw_reviews(t.spark, _stored_raw_reviews(t)))
 
 
 @query("src03_read_raw_products", """SELECT parent_asin, title || CASE WHEN old = 1 THEN ' (old)' ELSE '' END AS title,
@@ -151,13 +152,8 @@ def _pairs(t: Tables) -> DataFrame:
     return model_calls.training_pairs(_candidates(t), t.summary_responses)
 
 
-CANDIDATES = """(SELECT i.* FROM (SELECT * FROM (
- SELECT r.asin, p.title AS product_title, count(*) AS n FROM reviews r LEFT JOIN products p ON p.parent_asin = r.parent_asin
- WHERE r.text IS NOT NULL AND length(r.text) > 30 GROUP BY 1, 2 HAVING count(*) >= 20
- ORDER BY n DESC, r.asin NULLS FIRST, product_title NULLS FIRST LIMIT 800) listed
- WHERE asin IS NULL OR asin NOT IN (SELECT asin FROM evaluations WHERE model_name = 'tuned_v1')
- ORDER BY n DESC, asin NULLS FIRST, product_title NULLS FIRST LIMIT 400) c
- JOIN pair_inputs i ON i.asin = c.asin AND i.product_title IS NOT DISTINCT FROM c.product_title WHERE i.shown >= 20)"""
+CANDIDATES = """(SELECT * FROM pair_inputs WHERE shown >= 20
+ AND asin NOT IN (SELECT asin FROM evaluations WHERE model_name = 'tuned_v1'))"""
 PAIRS = f"""SELECT c.asin, c.product_title, c.input, trim(r.content) AS summary FROM {CANDIDATES} c
  JOIN summary_responses r ON r.id = c.asin WHERE trim(r.content) <> ''"""
 
@@ -172,12 +168,32 @@ def _(t):
 # Sinks
 
 
-@query("snk01_create_tables", "SELECT parent_asin, title, description, price, category, features, average_rating, rating_number FROM products")
+def _declared(name: str, columns: str, partition: str = "") -> str:
+    rows = (column.split() for column in columns.split(","))
+    return ", ".join(f"('{name}', '{c}', '{kind}', {str(c == partition).upper()})" for c, kind in rows)
+
+
+DECLARED = ", ".join([
+    _declared("reviews", "id bigint,asin string,parent_asin string,user_id string,rating double,title string,text string,helpful_votes int,timestamp timestamp"),
+    _declared("products", "parent_asin string,title string,description string,price string,category string,features string,average_rating double,rating_number int"),
+    _declared("product_features", "asin string,date date,daily_sentiment_avg double,review_velocity double,negative_ratio double,complaint_keywords bigint,ner_entities string", "date"),
+    _declared("alerts", "product_id string,alert_type string,severity string,detected_at timestamp,details string"),
+    _declared("application_tracker", "product_id string,status string,last_analyzed timestamp,summary string"),
+    _declared("evaluations", "asin string,model_name string,accuracy double,completeness double,actionability double,conciseness double,overall_score double,summary string"),
+])
+
+
+@query("snk01_create_tables", f"""SELECT table_name, column_name, data_type, is_partition, CASE table_name WHEN 'products' THEN (SELECT count(*) FROM products)
+ WHEN 'product_features' THEN (SELECT count(*) FROM features) ELSE 0 END AS row_count FROM (VALUES {DECLARED}) v(table_name, column_name, data_type, is_partition)""")
 def _(t):
     database = "reviewmill_" + t.path("db").rsplit("-", 1)[1][:12]
-    writers.create_tables(t.spark, database, t.path("database"))
+    described = writers.create_tables(t.spark, database, t.path("database"))
     schemas.conform(t.products, schemas.PRODUCT).write.insertInto(f"{database}.products")
-    return t.spark.table(f"{database}.products")
+    features = schemas.conform(product_features.with_entity_json(t.features), schemas.PRODUCT_FEATURES)
+    stored = t.spark.table(f"{database}.product_features")
+    features.select(stored.columns).write.insertInto(f"{database}.product_features")
+    counts = aggregates.row_counts(**{name: t.spark.table(f"{database}.{name}") for name in schemas.TABLES})
+    return described.join(counts, "table_name")
 
 
 @query("snk02_load_if_empty", f"""SELECT {REVIEW_COLUMNS}, TRUE AS first_load, FALSE AS second_load FROM reviews""")
@@ -189,6 +205,27 @@ def _(t):
     return stored.withColumn("first_load", F.lit(first)).withColumn("second_load", F.lit(second))
 
 
+LOADED = """SELECT 'newest' AS part, NULL AS asin, CAST(epoch_us(timestamp) // 1000 AS DOUBLE) AS value FROM (SELECT timestamp FROM reviews ORDER BY timestamp DESC NULLS LAST LIMIT 500) n
+ UNION ALL SELECT 'helpful', asin, CAST(helpful_votes AS DOUBLE) FROM (SELECT asin, helpful_votes, row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC NULLS LAST) AS position
+ FROM reviews WHERE asin IS NOT NULL) h WHERE position <= 3
+ UNION ALL SELECT 'worst', NULL, rating FROM (SELECT rating FROM reviews WHERE rating <= 3 AND text IS NOT NULL AND length(text) > 30 ORDER BY rating LIMIT 200) w
+ UNION ALL SELECT 'distinct ids', NULL, CAST(count(*) AS DOUBLE) FROM reviews"""
+
+
+@query("snk02_load_with_ids", LOADED)
+def _(t):
+    raw, path = readers.read_raw_reviews(t.spark, _stored_raw_reviews(t)), t.path("reviews")
+    writers.load_if_empty(writers.with_row_ids(readers.normalise_reviews(raw)), path)
+    loaded = t.spark.read.schema(schemas.REVIEW_WITH_ID).parquet(path)
+    nothing = F.lit(None).cast("string").alias("asin")
+    return sets.union_all(
+        readers.latest_reviews(loaded, 500).select(F.lit("newest").alias("part"), nothing, F.unix_millis("timestamp").cast("double").alias("value")),
+        ranking.most_helpful(loaded, 3).select(F.lit("helpful").alias("part"), "asin", F.col("helpful_votes").cast("double").alias("value")),
+        sampling.worst_first(loaded, 200).select(F.lit("worst").alias("part"), nothing, F.col("rating").alias("value")),
+        loaded.agg(F.count_distinct("id").cast("double").alias("value")).select(F.lit("distinct ids").alias("part"), nothing, "value"),
+    )
+
+
 @query("snk03_copy_to_warehouse", f"SELECT {REVIEW_COLUMNS} FROM reviews")
 def _(t):
     path = t.path("warehouse-reviews")
@@ -196,16 +233,15 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("snk04_migrate_tables", """SELECT 'reviews' AS table_name, least(count(*), 50000) AS rows_expected, least(count(*), 50000) AS rows_written, TRUE AS verified FROM reviews
- UNION ALL SELECT 'products', least(count(*), 50000), least(count(*), 50000), TRUE FROM products
- UNION ALL SELECT 'alerts', count(*), count(*), TRUE FROM alerts
- UNION ALL SELECT 'product_features', least(count(*), 50000), least(count(*), 50000), TRUE FROM features""")
+@query("snk04_migrate_tables", """SELECT 'reviews' AS table_name, count(*) AS rows_expected, count(*) AS rows_written, TRUE AS verified FROM reviews
+ UNION ALL SELECT 'products', count(*), count(*), TRUE FROM products UNION ALL SELECT 'alerts', count(*), count(*), TRUE FROM alerts
+ UNION ALL SELECT 'product_features', count(*), count(*), TRUE FROM features""")
 def _(t):
     return sets.union_all(
-        writers.migrate_table(t.reviews, "reviews", t.path("target-reviews"), 50_000),
-        writers.migrate_table(t.products, "products", t.path("target-products"), 50_000),
+        writers.migrate_table(t.reviews, "reviews", t.path("target-reviews")),
+        writers.migrate_table(t.products, "products", t.path("target-products")),
         writers.migrate_table(t.alerts, "alerts", t.path("target-alerts")),
-        writers.migrate_table(product_features.with_entity_json(t.features), "product_features", t.path("target-features"), 50_000),
+        writers.migrate_table(product_features.with_entity_json(t.features), "product_features", t.path("target-features")),
     )
 
 
@@ -379,7 +415,7 @@ def _(t):
 
 
 @query("agg05_products_with_reviews", """SELECT r.asin, p.title AS product_title, count(*) AS review_count FROM reviews r LEFT JOIN products p ON r.parent_asin = p.parent_asin
- WHERE r.text IS NOT NULL AND length(r.text) > 30 GROUP BY 1, 2 HAVING count(*) >= 20 ORDER BY 3 DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 800""")
+ WHERE r.text IS NOT NULL AND length(r.text) > 30 GROUP BY 1, 2 HAVING count(*) >= 20""")
 def _(t):
     return aggregates.products_with_reviews(t.reviews, t.products)
 
@@ -412,7 +448,7 @@ def _(t):
     def line(top: str) -> Column:
         return F.array_join(F.transform(top, lambda e: F.concat(e["entity"], F.lit("="), e["n"].cast("string"))), "; ").alias(top)
 
-    return listing.complaint_profiles(t.reviews).select(
+    return listing.complaint_profiles(t.entities).select(
         "asin", "review_count", "avg_rating", "negative_pct", "summary", line("top_components"), line("top_issues")
     )
 
@@ -424,7 +460,7 @@ def _(t):
 
 @query("agg11_audit_summary", "SELECT asin, high, medium, low, audit_summary FROM audits")
 def _(t):
-    audited = listing.audit(listing.complaint_profiles(t.reviews), t.products)
+    audited = listing.audit(listing.complaint_profiles(t.entities), t.products)
     counts = [listing.severity_count(F.col("mismatches"), s).cast("long").alias(s) for s in ("high", "medium", "low")]
     return audited.select("asin", *counts, "audit_summary")
 
@@ -469,7 +505,7 @@ def _(t):
     )
 
 
-@query("agg16_word_frequencies", f"""SELECT word, count(*) AS word_count FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z][a-z'']+)', 1)) AS word
+@query("agg16_word_frequencies", f"""SELECT word, count(*) AS word_count FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']+')) AS word
  FROM reviews WHERE rating <= 2 AND text IS NOT NULL) w WHERE word NOT IN ({", ".join(map(quoted, vocab.STOP_WORDS))}) GROUP BY word ORDER BY word_count DESC, word LIMIT 100""")
 def _(t):
     return aggregates.word_frequencies(t.reviews)
@@ -508,7 +544,7 @@ def _(t):
 
 @query("win04_top_entities", "SELECT asin, kind, entity, mentions, position FROM top_entities")
 def _(t):
-    return listing.top_entities(t.reviews).withColumn("position", F.col("position").cast("long"))
+    return listing.top_entities(t.entities).withColumn("position", F.col("position").cast("long"))
 
 
 @query("win05_newest_first", "SELECT asin, id, row_number() OVER (PARTITION BY asin ORDER BY timestamp DESC NULLS LAST, id) AS position FROM reviews WHERE asin IS NOT NULL")
@@ -526,7 +562,7 @@ def _(t):
 
 @query("top02_worst_first", "SELECT id, asin, rating, text FROM reviews WHERE rating <= 3 AND text IS NOT NULL AND length(text) > 30 ORDER BY rating, id LIMIT 50000")
 def _(t):
-    return sampling.worst_first(t.reviews).select("id", "asin", "rating", "text")
+    return sampling.worst_first(t.reviews, 50_000).select("id", "asin", "rating", "text")
 
 
 def _hash(seed: int, rows: str, n: int, columns: str) -> str:
@@ -538,17 +574,17 @@ NEGATIVE = "SELECT * FROM reviews WHERE rating <= 2 AND text IS NOT NULL AND len
 
 @query("top03_negative_sample", _hash(42, NEGATIVE, 3000, "id, asin, rating, title, text"))
 def _(t):
-    return sampling.negative_sample(t.reviews).select("id", "asin", "rating", "title", "text")
+    return sampling.negative_sample(t.reviews, 3_000).select("id", "asin", "rating", "title", "text")
 
 
 @query("top04_review_sample", _hash(42, "SELECT * FROM reviews", 100000, "id, rating, title, text, helpful_votes"))
 def _(t):
-    return sampling.review_sample(t.reviews).select("id", "rating", "title", "text", "helpful_votes")
+    return sampling.review_sample(t.reviews, 100_000).select("id", "rating", "title", "text", "helpful_votes")
 
 
 @query("top05_shipping_candidates", _hash(42, f"{NEGATIVE} AND {present('text', vocab.SHIPPING_PHRASES)} > 0 AND id NOT IN (SELECT doc_id FROM labels)", 500, "id, text"))
 def _(t):
-    return sampling.shipping_candidates(t.reviews, t.done_labels).select("id", "text")
+    return sampling.shipping_candidates(t.reviews, t.done_labels, 500).select("id", "text")
 
 
 @query("top06_head", "SELECT asin, model_name, overall_score FROM evaluations WHERE model_name = 'base' ORDER BY asin LIMIT 200")
@@ -609,7 +645,7 @@ def _(t):
     return t.reviews.select("id", joined(tx.find_phrases(F.col("text"), vocab.REDUCED_ISSUES)).alias("issues"))
 
 
-@query("str04_time_references", r"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')),
+@query("str04_time_references", r"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7F\P{L}]', 'q', 'g'),
  '\b([0-9]+ (second|minute|hour|day|week|month|year)s?)\b', 1))), '; ') AS time_refs FROM reviews""")
 def _(t):
     return t.reviews.select("id", joined(tx.time_references(F.col("text"))).alias("time_refs"))
@@ -656,7 +692,7 @@ def _(t):
 
 @query("str09_profile_text", "SELECT asin, summary FROM profiles")
 def _(t):
-    return listing.complaint_profiles(t.reviews).select("asin", "summary")
+    return listing.complaint_profiles(t.entities).select("asin", "summary")
 
 
 @query("dat01_dates", """SELECT id, CAST(timestamp AS DATE) AS day, CAST(date_trunc('month', timestamp) AS DATE) AS month, date_trunc('millisecond', timestamp) AS from_millis FROM reviews""")
@@ -719,7 +755,7 @@ def _(t):
 
 @query("mcl01_label_requests", f"SELECT id, {quoted(model_calls.LABEL_SYSTEM)} AS system, substr(text, 1, 1000) AS \"user\" FROM ({_hash(42, NEGATIVE, 3000, 'id, text')}) s")
 def _(t):
-    return model_calls.label_requests(sampling.negative_sample(t.reviews))
+    return model_calls.label_requests(sampling.negative_sample(t.reviews, 3_000))
 
 
 LABEL_FLAGS = ", ".join(
@@ -735,7 +771,7 @@ def _(t):
 
 @query("mcl03_summary_inputs", "SELECT asin, product_title, shown, input FROM pair_inputs")
 def _(t):
-    titles = aggregates.products_with_reviews(t.reviews, t.products, 20, None)
+    titles = aggregates.products_with_reviews(t.reviews, t.products)
     return model_calls.summary_inputs(t.reviews, titles)
 
 
@@ -774,7 +810,7 @@ REWRITE_USER = """'Current Title: ' || product_title || chr(10) || 'Current Desc
 @query("mcl06_rewrite_requests", f"""SELECT a.asin AS id, {quoted(model_calls.REWRITE_SYSTEM)} AS system, {REWRITE_USER} AS "user" FROM audits a JOIN (
  SELECT asin, string_agg('- [' || severity || '] ' || complaint, chr(10) ORDER BY block, position) AS lines FROM mismatches GROUP BY asin) m ON m.asin = a.asin""")
 def _(t):
-    return model_calls.rewrite_requests(listing.audit(listing.complaint_profiles(t.reviews), t.products))
+    return model_calls.rewrite_requests(listing.audit(listing.complaint_profiles(t.entities), t.products))
 
 
 @query("mcl07_parse_rewrites", "SELECT asin, rewritten_title, rewritten_description, changes_made FROM rewrites")
@@ -791,9 +827,9 @@ def _(t):
 
 
 @query("mcl09_run_client", "SELECT id, " + ", ".join(f"CAST(contains(lower(substr(text, 1, 1000)), {quoted(p[0])}) AS INTEGER) AS {c}" for c, p in vocab.RULES_V1.items())
-       + f" FROM ({_hash(42, NEGATIVE, 3000, 'id, text')}) s")
+       + f" FROM ({NEGATIVE}) s")
 def _(t):
-    requests = model_calls.label_requests(sampling.negative_sample(t.reviews))
+    requests = model_calls.label_requests(sampling.labelling_candidates(t.reviews))
     return model_calls.parse_labels(model_calls.call_model(requests, model_calls.stub_label_client))
 
 
@@ -896,7 +932,7 @@ def _(t):
     squares = F.aggregate(F.transform("vec", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, b: a + b)
     return search.vector_records(t.vectors).withColumn("dimensions", F.size("vec").cast("long")).withColumn(
         "squared_length", squares
-    ).drop("vec")
+    ).drop("vec", "norm")
 
 
 @query("ml12_text_vectors")
@@ -913,6 +949,15 @@ def _(t):
     return search.search(search.vector_records(t.vectors), probe, 10, 2.0, 5.0)
 
 
+@query("ml13_batch_search", """SELECT query_id, id, distance, position FROM (SELECT q.vec_id AS query_id, 'rev_' || v.id AS id,
+ round(1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS distance, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY 1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 'rev_' || v.id) AS position
+ FROM vectors v, embeddings q WHERE q.vec_id % 100 = 0) x WHERE position <= 10""")
+def _(t):
+    asked = t.source("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return search.search_many(search.vector_records(t.vectors), asked, 10).withColumn("position", F.col("position").cast("long"))
+
+
 AB_SIDES = ", ".join(
     f"avg({m}) FILTER (WHERE model_name = '{n}') AS {s}m_{m}, var_samp({m}) FILTER (WHERE model_name = '{n}') AS {s}v_{m}"
     for m in abtest.METRICS for s, n in (("b", "base"), ("t", "tuned_v1"))
@@ -948,6 +993,28 @@ def _(t):
     return abtest.verdict(abtest.significance(abtest.compare(t.evaluations, "base", "tuned_v1")))
 
 
+CONSTANT = """SELECT asin, model_name, CASE model_name WHEN 'base' THEN 3.7 ELSE 4.3 END AS accuracy, CASE model_name WHEN 'base' THEN 4.0 ELSE 2.0 END AS completeness,
+ 4.1 AS actionability, conciseness, overall_score FROM evaluations"""
+CONSTANT_T = """CASE WHEN t_stat IS NOT NULL THEN round(t_stat, 9) WHEN difference > 0 THEN CAST('inf' AS DOUBLE) WHEN difference < 0 THEN CAST('-inf' AS DOUBLE) END"""
+
+
+CONSTANT_AB = (
+    AB.replace("/ sqrt(((", "/ nullif(sqrt(((").replace("(1 / nb + 1 / nt))", "(1 / nb + 1 / nt)), 0)")
+    .replace("FROM evaluations WHERE asin IN (SELECT asin FROM evaluations WHERE model_name = 'base')", f"FROM ({CONSTANT}) c WHERE asin IN (SELECT asin FROM evaluations WHERE model_name = 'base')")
+)
+
+
+@query("ml14_ab_constant_scores", f"SELECT metric, round(difference, 9) AS difference, {CONSTANT_T} AS t_stat, coalesce({CONSTANT_T} = 'inf', FALSE) AS separated FROM ({CONSTANT_AB}) x")
+def _(t):
+    base = F.col("model_name") == "base"
+    scores = t.evaluations.withColumns({
+        "accuracy": F.when(base, 3.7).otherwise(4.3), "completeness": F.when(base, 4.0).otherwise(2.0), "actionability": F.lit(4.1),
+    })
+    tested = abtest.significance(abtest.compare(scores, "base", "tuned_v1"))
+    separated = (F.col("t_stat") == float("inf")) & (F.col("p_value") == 0) & F.col("significant")
+    return tested.select("metric", "difference", F.nanvl("t_stat", F.lit(None).cast("double")).alias("t_stat"), F.coalesce(separated, F.lit(False)).alias("separated"))
+
+
 SPLIT_DATE = "(SELECT (list_sort(list(DISTINCT date)))[CAST(floor(count(DISTINCT date) * 0.7) AS INTEGER) + 1] FROM features)"
 
 
@@ -988,13 +1055,13 @@ def _(t):
 
 @query("dec01_mismatches", "SELECT asin, claim, complaint, severity FROM mismatches")
 def _(t):
-    audited = listing.audit(listing.complaint_profiles(t.reviews), t.products)
+    audited = listing.audit(listing.complaint_profiles(t.entities), t.products)
     return audited.select("asin", F.inline("mismatches"))
 
 
 @query("dec02_listing_audits", """SELECT asin, product_title, product_description, product_features, product_price, mismatches, audit_summary FROM audits""")
 def _(t):
-    audited = listing.audit(listing.complaint_profiles(t.reviews), t.products)
+    audited = listing.audit(listing.complaint_profiles(t.entities), t.products)
     return audited.select(
         "asin", "product_title", "product_description", "product_features", "product_price",
         packed("mismatches").alias("mismatches"), "audit_summary",
@@ -1003,13 +1070,13 @@ def _(t):
 
 @query("dec03_needs_rewrite", "SELECT asin, mismatch_count FROM audits WHERE mismatch_count > 0")
 def _(t):
-    audited = listing.audit(listing.complaint_profiles(t.reviews), t.products)
+    audited = listing.audit(listing.complaint_profiles(t.entities), t.products)
     return listing.needs_rewrite(audited).select("asin", F.col("mismatch_count").cast("long").alias("mismatch_count"))
 
 
 @query("dec04_decisions", "SELECT asin, mismatch_count, final_status, supervisor_notes FROM decisions")
 def _(t):
-    audited = listing.audit(listing.complaint_profiles(t.reviews), t.products)
+    audited = listing.audit(listing.complaint_profiles(t.entities), t.products)
     return listing.decide(audited).select("asin", F.col("mismatch_count").cast("long").alias("mismatch_count"), "final_status", "supervisor_notes")
 
 
@@ -1019,7 +1086,7 @@ def _(t):
 def _(t):
     found = joins.with_listing(joins.review_parents(t.reviews), t.products).na.fill("", ["product_title", "product_description"])
     rewrites = model_calls.parse_rewrites(found, t.rewrite_responses)
-    audited = listing.product_audit(t.reviews, t.products, rewrites)
+    audited = listing.product_audit(t.entities, t.products, rewrites)
     return audited.withColumn("mismatches", packed("mismatches")).withColumn("changes_made", joined("changes_made"))
 
 
@@ -1030,7 +1097,9 @@ def _(t):
 def _(t):
     source, target, checkpoint = _stored_raw_reviews(t), t.path("ingested"), t.path("ingest-checkpoint")
     ingest.ingest(ingest.stream_raw_reviews(t.spark, source), target, checkpoint).awaitTermination()
-    return t.spark.read.schema(schemas.REVIEW).parquet(target)
+    stored = t.spark.read.schema(schemas.REVIEW_WITH_ID).parquet(target)
+    unique = stored.groupBy("id").count().filter("id IS NOT NULL AND count = 1")
+    return stored.join(unique.select("id"), "id", "left_semi").drop("id", "batch")
 
 
 @query("stm02_daily_counts", """SELECT asin, CAST(timestamp AS DATE) AS date, sum(rating) AS rating_sum, count(rating) AS review_count, count(*) FILTER (WHERE rating <= 2) AS negative_count
@@ -1039,6 +1108,5 @@ def _(t):
     schema = t.source("events").schema
     events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     target = t.path("daily-counts")
-    counts = ingest.daily_counts(t.review_rows(events))
-    ingest.write_updates(counts, target, t.path("counts-checkpoint")).awaitTermination()
-    return ingest.latest_counts(t.spark, target)
+    ingest.write_daily_counts(t.review_rows(events), target, t.path("counts-checkpoint")).awaitTermination()
+    return ingest.summed_counts(t.spark, target)

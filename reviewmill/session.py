@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -72,13 +71,3 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
-
-
-def small_side(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """``df`` marked for broadcast if the optimizer's size estimate is within ``max_bytes``, else unchanged.
-
-    For one side of a join with a review table: within the bound the reviews are not shuffled at all. Beyond it the
-    join is left to AQE, which splits hot keys of a shuffled join.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= max_bytes else df

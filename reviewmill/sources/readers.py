@@ -9,15 +9,15 @@ from pyspark.sql import types as T
 from reviewmill import schemas
 from reviewmill.functions import selection
 
+# Nested columns of raw product metadata.
 NESTED_PRODUCT_COLUMNS = ["images", "videos", "bought_together", "subtitle", "author"]
-LATEST_REVIEWS = 1_000_000
-RAW_SAMPLE = 500_000
+LAST_MILLIS = 9_223_372_036_854  # of a timestamp with 64 bits of nanoseconds
 
 
 def read_raw_reviews(
-    spark: SparkSession, path: str, sample_size: int | None = RAW_SAMPLE, file_format: str = "parquet"
+    spark: SparkSession, path: str, sample_size: int | None = None, file_format: str = "parquet"
 ) -> DataFrame:
-    """Raw reviews with the declared schema, at most ``sample_size`` rows (None reads all)."""
+    """Raw reviews with the declared schema; all rows, or a repeatable sample of ``sample_size``."""
     raw = spark.read.schema(schemas.RAW_REVIEW).format(file_format).load(path)
     return cap_rows(raw, sample_size, "user_id", "asin", "timestamp", "title")
 
@@ -28,8 +28,9 @@ def cap_rows(df: DataFrame, n: int | None, *columns: str) -> DataFrame:
 
 
 def epoch_millis(value: Column) -> Column:
-    """Epoch milliseconds to timestamp; anything that is not a number becomes null."""
-    return F.timestamp_millis(value.try_cast("bigint"))
+    """Epoch milliseconds to timestamp; anything that is not a number, or outside the years 1677 to 2262, becomes null."""
+    millis = value.try_cast("bigint")
+    return F.timestamp_millis(F.when(millis.between(-LAST_MILLIS, LAST_MILLIS), millis))
 
 
 def normalise_reviews(raw: DataFrame) -> DataFrame:
@@ -64,16 +65,14 @@ def normalise_products(raw: DataFrame) -> DataFrame:
 
 
 def unique_products(products: DataFrame) -> DataFrame:
-    """One row per parent_asin. min_by keeps one candidate per map task, so repeated keys do not pile up."""
+    """One row per parent_asin, most ratings first. The smallest of each map task travels, so repeated keys do not pile up."""
     rest = [c for c in products.columns if c != "parent_asin"]
-    order = F.struct(
-        F.coalesce(-F.col("rating_number"), F.lit(1)).alias("votes"), *(F.col(c).alias(f"o_{c}") for c in rest)
-    )
-    best = products.groupBy("parent_asin").agg(F.min_by(F.struct(*rest), order).alias("best"))
+    order = (F.coalesce(-F.col("rating_number"), F.lit(1)) if "rating_number" in rest else F.lit(0)).alias("_votes")
+    best = products.groupBy("parent_asin").agg(F.min(F.struct(order, *rest)).alias("best"))
     return best.select("parent_asin", *(F.col(f"best.{c}").alias(c) for c in rest)).select(products.columns)
 
 
-def latest_reviews(reviews: DataFrame, n: int = LATEST_REVIEWS, id_column: str = "id") -> DataFrame:
+def latest_reviews(reviews: DataFrame, n: int, id_column: str = "id") -> DataFrame:
     """The ``n`` newest reviews (null timestamps last, ties by id), found without a global sort."""
     newest = selection.descending(selection.micros(F.col("timestamp")))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewmill import schemas
-from reviewmill.sources.readers import cap_rows
 
 
 def create_tables(spark: SparkSession, database: str, location: str | None = None) -> DataFrame:
@@ -18,16 +17,12 @@ def create_tables(spark: SparkSession, database: str, location: str | None = Non
     described = []
     for name, schema in schemas.TABLES.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
-        described.append(
-            spark.sql(f"DESCRIBE TABLE {database}.{name}").select(
-                F.lit(name).alias("table_name"), F.col("col_name").alias("column_name"), "data_type"
-            )
-        )
-    result = described[0]
-    for part in described[1:]:
-        result = result.unionByName(part)
-    return result
+        layout = " PARTITIONED BY (date)" if name == "product_features" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet{layout}")
+        table = spark.table(f"{database}.{name}")
+        partitions = {c.name for c in spark.catalog.listColumns(f"{database}.{name}") if c.isPartition}
+        described += [(name, f.name, f.dataType.simpleString(), f.name in partitions) for f in table.schema.fields]
+    return spark.createDataFrame(described, "table_name string, column_name string, data_type string, is_partition boolean")
 
 
 def table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,6 +35,11 @@ def table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
+def with_row_ids(rows: DataFrame, after: int = -1) -> DataFrame:
+    """``rows`` with a unique ``id`` above ``after``. Ids become fixed when the rows are written."""
+    return rows.select((F.monotonically_increasing_id() + F.lit(after + 1)).alias("id"), "*")
+
+
 def load_if_empty(df: DataFrame, path: str) -> bool:
     """Write ``df`` only if the target holds no rows; tells whether it wrote."""
     if not table_at(df.sparkSession, path, df.schema).isEmpty():
@@ -53,13 +53,11 @@ def copy_to_warehouse(df: DataFrame, path: str) -> bool:
     return load_if_empty(df.drop("id"), path)
 
 
-def migrate_table(df: DataFrame, name: str, path: str, limit: int | None = None) -> DataFrame:
-    """Replace the target by ``df`` (optionally capped) and compare the rows sent with the rows found there."""
+def migrate_table(df: DataFrame, name: str, path: str) -> DataFrame:
+    """Replace the target by all rows of ``df`` and compare the rows sent with the rows found there."""
     spark = df.sparkSession
-    order = [c for c in ("id", "asin", "parent_asin", "product_id", "date") if c in df.columns] or df.columns
-    rows = df.count()
-    expected = rows if limit is None else min(limit, rows)
-    cap_rows(df, limit, *order).drop("id").write.mode("overwrite").parquet(path)
+    expected = df.count()
+    df.drop("id").write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path).agg(F.count("*").alias("rows_written"))
     return written.select(
         F.lit(name).alias("table_name"),
@@ -70,9 +68,8 @@ def migrate_table(df: DataFrame, name: str, path: str, limit: int | None = None)
 
 
 def replace_features(features: DataFrame, path: str) -> None:
-    """Replace the feature table, one folder per date. Rows of a date go to a bounded number of tasks by asin."""
-    spread = features.repartition("date", F.pmod(F.hash("asin"), F.lit(32)))
-    spread.write.mode("overwrite").partitionBy("date").parquet(path)
+    """Replace the feature table, one folder per date. AQE sizes the tasks: small dates share one, large ones are split."""
+    features.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
@@ -80,10 +77,17 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
 
 
 def append_evaluations(evaluations: DataFrame, path: str) -> None:
-    """Append rows whose (asin, model_name) is not stored yet, so a rerun adds nothing."""
+    """Append rows whose (asin, model_name) is not stored yet, so a rerun adds nothing.
+
+    Of rows with equal keys in the batch the smallest is stored. A null key equals a null key.
+    """
+    keys = ["asin", "model_name"]
     rows = schemas.conform(evaluations, schemas.EVALUATION)
-    stored = table_at(rows.sparkSession, path, schemas.EVALUATION).select("asin", "model_name")
-    rows.join(stored, ["asin", "model_name"], "left_anti").select(rows.columns).write.mode("append").parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    single = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, "row.*")
+    stored = table_at(rows.sparkSession, path, schemas.EVALUATION).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = single["asin"].eqNullSafe(stored["_asin"]) & single["model_name"].eqNullSafe(stored["_model_name"])
+    single.join(stored, same, "left_anti").select(rows.columns).write.mode("append").parquet(path)
 
 
 def write_labels(labels: DataFrame, path: str, mode: str = "append") -> None:

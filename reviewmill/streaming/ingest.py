@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reviewmill import schemas
 from reviewmill.sources.readers import normalise_reviews
+from reviewmill.sources.writers import table_at, with_row_ids
+
+BATCH = T.StructField("batch", T.LongType())
 
 
 def stream_raw_reviews(
@@ -19,57 +24,50 @@ def stream_raw_reviews(
 
 
 def ingest(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Normalise whatever is new and append it to ``target`` exactly once, then stop.
+    """Normalise whatever is new and append it to ``target`` exactly once with unique ids, then stop.
 
-    The checkpoint replaces the "skip if the table holds rows" guard: a restart goes on after the last finished batch.
+    The checkpoint replaces the "skip if the table holds rows" guard: a restart goes on after the last finished batch. A
+    batch is a folder ``batch=<n>``, which a replayed batch replaces; its ids are above those of all batches before.
     """
-    return (
-        normalise_reviews(raw)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
-    )
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        stored = table_at(batch.sparkSession, target, T.StructType([*schemas.REVIEW_WITH_ID.fields, BATCH]))
+        last = stored.filter(F.col("batch") < batch_id).agg(F.max("id")).first()[0]
+        with_row_ids(batch, -1 if last is None else last).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-def daily_counts(reviews: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Event-time counts per (asin, day). State older than ``lateness`` behind the newest event is released.
+    return _run(normalise_reviews(raw), checkpoint, save)
 
-    Spark leaves out rows that arrive later than that, so it must exceed the disorder of the files. Unordered history is
-    a case for the batch form, ``product_features.daily_features``.
-    """
-    rows = reviews.withColumn("timestamp", F.col("timestamp").cast("timestamp")).filter(
-        F.col("asin").isNotNull() & F.col("timestamp").isNotNull()
-    )
-    return (
-        rows.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", "1 day"), "asin")
-        .agg(
-            F.sum("rating").alias("rating_sum"),
-            F.count("rating").alias("review_count"),
-            F.count_if(F.col("rating") <= 2).alias("negative_count"),
-        )
-        .select("asin", F.to_date("window.start").alias("date"), "rating_sum", "review_count", "negative_count")
+
+def daily_counts(reviews: DataFrame) -> DataFrame:
+    """Sums per (asin, day)."""
+    rows = reviews.filter(F.col("asin").isNotNull() & F.col("timestamp").isNotNull())
+    return rows.groupBy("asin", F.to_date("timestamp").alias("date")).agg(
+        F.sum("rating").alias("rating_sum"),
+        F.count("rating").alias("review_count"),
+        F.count_if(F.col("rating") <= 2).alias("negative_count"),
     )
 
 
-def write_updates(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed (asin, date) totals below ``target/batch=<n>``; a replayed batch replaces itself."""
+def write_daily_counts(reviews: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's own sums below ``target/batch=<n>``; a replayed batch replaces itself.
+
+    All measures add up, so there is neither state nor a watermark, and no row is too late to count.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        daily_counts(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
+    return _run(reviews, checkpoint, save)
+
+
+def _run(rows: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
 
 
-def latest_counts(spark: SparkSession, target: str) -> DataFrame:
-    """The newest totals per (asin, date) over all batches written so far."""
-    rows = spark.read.parquet(target)
-    newest = F.max_by(F.struct("rating_sum", "review_count", "negative_count"), "batch").alias("t")
-    return rows.groupBy("asin", "date").agg(newest).select("asin", "date", "t.*")
+def summed_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Totals per (asin, date) over all batches written so far."""
+    return spark.read.parquet(target).groupBy("asin", "date").agg(
+        *(F.sum(c).alias(c) for c in ("rating_sum", "review_count", "negative_count"))
+    )

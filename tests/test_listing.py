@@ -42,7 +42,7 @@ def test_unchanged_listing_is_approved(spark):
 
 
 REVIEWS = "id long, asin string, parent_asin string, rating double, title string, text string"
-PRODUCTS = "parent_asin string, title string, description string, features string, price string"
+PRODUCTS = "parent_asin string, title string, description string, features string, price string, rating_number int"
 
 
 def test_profiles_and_lookup(spark):
@@ -51,15 +51,20 @@ def test_profiles_and_lookup(spark):
         REVIEWS,
     )
     requested = spark.createDataFrame([("a",), ("zzz",)], "asin string")
-    rows = {r["asin"]: r for r in listing.complaint_profiles(reviews, requested).collect()}
+    rows = {r["asin"]: r for r in listing.complaint_profiles(listing.product_entities(reviews), requested).collect()}
     assert set(rows) == {"a", "zzz"}
     assert rows["zzz"]["summary"] == "No reviews found." and rows["zzz"]["review_count"] == 0
     assert rows["a"]["summary"] == (
         "Product has 2 reviews (avg 2.50 stars, 50.0% negative).\nTop components:\n  - battery (1 mentions)\nTop issues:\n  - died (1 mentions)\n")
-    products = spark.createDataFrame([("p", "via parent", None, None, "1"), ("b", "direct", "d", "f", "2")], PRODUCTS)
-    found = {r["asin"]: r for r in joins.with_listing(joins.review_parents(reviews), products).collect()}
+    products = spark.createDataFrame(
+        [("p", "via parent", None, None, "1", 3), ("p", "older", None, None, "1", 1), ("b", "direct", "d", "f", "2", None), ("b", "direct", "d", "f", "2", None)],
+        PRODUCTS,
+    )
+    rows = joins.with_listing(joins.review_parents(reviews), products).collect()
+    found = {r["asin"]: r for r in rows}
+    assert len(rows) == len(found)
     assert found["a"]["product_title"] == "via parent" and found["b"]["product_title"] == "direct"
-    audit = {r["asin"]: r for r in listing.product_audit(reviews, products, requested=requested).collect()}
+    audit = {r["asin"]: r for r in listing.product_audit(listing.product_entities(reviews), products, requested=requested).collect()}
     assert audit["zzz"]["final_status"] == "approved" and audit["zzz"]["review_count"] == 0 and audit["a"]["rewritten_title"] is None
 
 

@@ -86,6 +86,17 @@ def test_ab_comparison_uses_common_products_and_all_their_rows(spark):
     assert row["p_value"] == pytest.approx(t_upper_tail(t, 3)) and row["significant"] == (row["p_value"] < 0.05)
 
 
+@pytest.mark.parametrize("base, tuned, t", [(3.7, 4.3, np.inf), (2.0, 4.0, np.inf), (4.1, 4.1000001, np.inf), (4.3, 3.7, -np.inf), (4.1, 4.1, np.nan)])
+def test_constant_scores(spark, base, tuned, t):
+    rows = [(f"a{i}", m, v, v, v, v, v) for i in range(200) for m, v in (("b", base), ("t", tuned))]
+    scores = spark.createDataFrame(rows, "asin string, model_name string, " + ", ".join(f"{m} double" for m in abtest.METRICS)).repartition(7)
+    tested = abtest.significance(abtest.compare(scores, "b", "t")).collect()
+    assert len(tested) == 5
+    for row in tested:
+        assert row["t_stat"] == t or (np.isnan(t) and np.isnan(row["t_stat"]) and np.isnan(row["p_value"]))
+        assert row["significant"] == (t == np.inf)
+
+
 def test_threshold_ties_and_empty_labels(spark):
     df = spark.createDataFrame([("x", 1, 90), ("x", 0, 10), ("y", 0, 10)], "label string, y int, prob_pct int")
     assert rootcause.best_threshold(rootcause.threshold_sweep(df)).first().asDict() == {"threshold": 30, "macro_f1": 0.5}
@@ -117,8 +128,12 @@ def test_helpfulness_beats_the_mean(spark):
 def test_search_filters_before_the_top(spark):
     rows = [("rev_1", 5.0, [1.0, 0.0]), ("rev_2", 1.0, [0.9, 0.1]), ("rev_3", 1.0, [0.0, 1.0]), ("rev_4", 1.0, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "id string, rating double, vec array<float>")
-    got = search.search(df, [1.0, 0.0], 1, None, 2.0).collect()
-    assert [r["id"] for r in got if r["distance"] is not None] in (["rev_2"], [])
+    df = df.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
+    assert [r["id"] for r in search.search(df, [1.0, 0.0], 1, None, 2.0).collect()] == ["rev_2"]
+    assert [r["id"] for r in search.search(df, [1.0, 0.0], 9).collect()] == ["rev_1", "rev_2", "rev_3"]
+    queries = spark.createDataFrame([(7, [0.0, 2.0]), (8, [0.0, 0.0])], "query_id long, vec array<float>")
+    many = search.search_many(df, queries, 2).orderBy("position").collect()
+    assert [(r["query_id"], r["id"]) for r in many] == [(7, "rev_3"), (7, "rev_2")]
     assert search.search(df.filter("id <> 'rev_4'"), [2.0, 0.0], 2).collect()[0]["distance"] == pytest.approx(0.0)
 
 

@@ -1,10 +1,11 @@
 """Hot keys: one product holds a third of all rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.operators import aggregates, joins, listing, product_features, ranking
-from reviewmill.session import settle, small_side
+from reviewmill.operators import aggregates, drift, joins, listing, product_features, ranking
+from reviewmill.session import settle
 
 ROWS = 60_000
 
@@ -66,7 +67,7 @@ def test_features_shuffle_reduced_rows(spark, reviews):
 
 
 def test_profiles_of_a_hot_product(spark, reviews, products):
-    row = listing.product_audit(reviews, products).filter("asin = 'hot'").first()
+    row = listing.product_audit(listing.product_entities(reviews), products).filter("asin = 'hot'").first()
     assert row["review_count"] == ROWS // 3 and row["final_status"] == "needs_review"
 
 
@@ -89,13 +90,36 @@ def test_positions_in_a_hot_product_use_many_tasks(spark, reviews):
     assert hot["n"] == hot["m"] == hot["d"] == ROWS // 3
 
 
-def test_small_side_depends_on_the_size(spark, reviews, products):
-    assert "broadcast" in small_side(products)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in small_side(products, 10)._jdf.queryExecution().logical().toString()
+def test_no_side_is_marked_for_broadcast(reviews, products):
+    for joined in (joins.with_products(reviews, products, "title"), joins.not_done(reviews, reviews.limit(5), "id")):
+        assert "broadcast" not in joined._jdf.queryExecution().logical().toString()
 
 
-def test_a_hot_join_key_is_split(spark, reviews, products, monkeypatch):
-    monkeypatch.setattr(joins, "small_side", lambda df: df)
+def test_many_top_reviews_of_a_hot_product_use_many_tasks(spark, reviews):
+    top = ranking.most_helpful(reviews.select("asin", "id", "helpful_votes"), 5_000)
+    hot = [(r["helpful_votes"], r["id"]) for r in top.filter("asin = 'hot'").collect()]
+    want = sorted(((i % 100, i) for i in range(0, ROWS, 3)), key=lambda r: (-r[0], r[1]))[:5_000]
+    assert sorted(hot) == sorted(want)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asin" in plan and "_slice" in plan
+
+
+def test_an_outlier_leaves_drift_cells_even(spark):
+    rows = spark.range(6_000).select(
+        F.date_add(F.lit("2024-01-01"), (F.col("id") % 10).cast("int")).alias("date"),
+        F.when(F.col("id") == 0, 1e9).otherwise(F.col("id").cast("double")).alias("x"),
+    )
+    windowed = drift.with_window(rows, drift.split_date(rows))
+    found = drift.column_drift(windowed, ["x"]).first()
+    values = [(1e9 if i == 0 else float(i), i % 10 < 7) for i in range(6_000)]
+    early, late = sorted(v for v, e in values if e), sorted(v for v, e in values if not e)
+    points = sorted({v for v, _ in values})
+    share = lambda side, v: np.searchsorted(side, v, "right") / len(side)
+    distance = sum(abs(share(early, a) - share(late, a)) * (b - a) for a, b in zip(points, points[1:]))
+    assert found["drift_score"] == pytest.approx(distance / np.std(early), rel=1e-9)
+
+
+def test_a_hot_join_key_is_split(spark, reviews, products):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",

@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import numpy as np
 import pytest
@@ -40,6 +41,27 @@ def test_exact_percentile(spark, name):
         assert selection.exact_percentile(df, "s", p) == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
 
 
+@pytest.mark.parametrize("values", [[1.0, 2.0, np.nan, 3.0], [-np.inf, 1.0, 2.0, np.inf], [-1.7e308, 0.0, 1.7e308], [np.inf, np.inf]])
+def test_percentile_of_values_out_of_range(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    for p in (0.0, 0.5, 1.0):
+        with np.errstate(invalid="ignore"):
+            want = np.percentile(values, p * 100)
+        got = selection.exact_percentile(df, "s", p)
+        assert got == want or (np.isnan(want) and (np.isnan(got) or np.inf in values))
+
+
+def test_top_rows_settles_little_and_deletes_it(spark, monkeypatch):
+    written = []
+    settle_at = selection.settle_at
+    monkeypatch.setattr(selection, "settle_at", lambda df, path: written.append((path, df.count())) or settle_at(df, path))
+    df = spark.range(20_000).withColumn("k", F.col("id") * 1_000_003)
+    got = {r["id"] for r in selection.top_rows(df, 777, F.col("k")).collect()}
+    assert got == set(range(777))
+    ((path, rows),) = written
+    assert rows <= 20 and not os.path.exists(path)
+
+
 def test_percentile_of_nothing(spark):
     assert selection.exact_percentile(spark.createDataFrame([], "s double"), "s", 0.5) is None
 

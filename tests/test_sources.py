@@ -3,6 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from reviewmill import schemas
+from reviewmill.operators import sampling
 from reviewmill.session import new_path
 from reviewmill.sources import readers, writers
 
@@ -57,8 +58,26 @@ def test_load_if_empty_and_migrate(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, asin string")
     assert writers.copy_to_warehouse(df, path) and not writers.copy_to_warehouse(df, path)
     assert spark.read.parquet(path).columns == ["asin"] and spark.read.parquet(path).count() == 2
-    check = writers.migrate_table(df, "t", new_path(spark, "migrate-test"), 1).first()
-    assert check.asDict() == {"table_name": "t", "rows_expected": 1, "rows_written": 1, "verified": True}
+    check = writers.migrate_table(df, "t", new_path(spark, "migrate-test")).first()
+    assert check.asDict() == {"table_name": "t", "rows_expected": 2, "rows_written": 2, "verified": True}
+
+
+def test_repeated_and_null_evaluations_are_stored_once(spark):
+    path = new_path(spark, "eval-repeats")
+    rows = spark.createDataFrame([("a", "m", 4.0), ("a", "m", 3.0), (None, "m", 1.0), (None, "m", 1.0)], "asin string, model_name string, accuracy double")
+    for _ in range(2):
+        writers.append_evaluations(rows, path)
+    assert sorted((r["asin"] or "", r["accuracy"]) for r in spark.read.parquet(path).collect()) == [("", 1.0), ("a", 3.0)]
+
+
+def test_loaded_ids_are_unique_and_fixed(spark):
+    path = new_path(spark, "ids-test")
+    raw = spark.range(500).repartition(5).select(F.col("id").cast("string").alias("user_id"), F.lit("99999999999999999").alias("timestamp"))
+    writers.load_if_empty(writers.with_row_ids(readers.normalise_reviews(schemas.conform(raw, schemas.RAW_REVIEW))), path)
+    first, second = ({(r["id"], r["user_id"]) for r in spark.read.parquet(path).collect()} for _ in range(2))
+    assert first == second and len({i for i, _ in first}) == 500
+    assert spark.read.parquet(path).filter("timestamp IS NOT NULL").count() == 0
+    assert sampling.sample(spark.read.parquet(path), 20).count() == 20
 
 
 def test_capped_read_is_repeatable(spark):
@@ -67,7 +86,7 @@ def test_capped_read_is_repeatable(spark):
     schemas.conform(raw, schemas.RAW_REVIEW).write.parquet(path)
     a = {r["user_id"] for r in readers.read_raw_reviews(spark, path, 40).collect()}
     assert len(a) == 40 and a == {r["user_id"] for r in readers.read_raw_reviews(spark, path, 40).collect()}
-    assert readers.read_raw_reviews(spark, path, None).count() == 300
+    assert readers.read_raw_reviews(spark, path).count() == 300
 
 
 def test_scan_pushes_columns_and_filter(spark):

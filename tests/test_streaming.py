@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from reviewmill import schemas
 from reviewmill.operators import product_features
 from reviewmill.session import new_path
+from reviewmill.sources import readers
 from reviewmill.streaming import ingest
 
 
@@ -22,7 +23,19 @@ def test_ingest_goes_on_where_it_stopped(spark):
         raw(spark, first, last).write.mode("append").parquet(source)
         ingest.ingest(ingest.stream_raw_reviews(spark, source), target, checkpoint).awaitTermination()
         assert spark.read.parquet(target).count() == total
-    assert spark.read.parquet(target).filter("timestamp IS NULL").count() == 12
+    stored = spark.read.parquet(target)
+    assert stored.filter("timestamp IS NULL").count() == 12
+    assert stored.select("id").filter("id IS NOT NULL").distinct().count() == 80
+
+
+def test_no_row_is_too_late(spark):
+    source, target = new_path(spark, "late-source"), new_path(spark, "late-counts")
+    for millis in ("1700000000000", "1500000000000", "1500000000000"):
+        rows = spark.createDataFrame([("a", 1.0, millis)], "asin string, rating double, timestamp string")
+        schemas.conform(rows, schemas.RAW_REVIEW).write.mode("append").parquet(source)
+        stream = readers.normalise_reviews(ingest.stream_raw_reviews(spark, source))
+        ingest.write_daily_counts(stream, target, target + "-cp").awaitTermination()
+    assert sorted(r["review_count"] for r in ingest.summed_counts(spark, target).collect()) == [1, 2]
 
 
 def test_stream_counts_equal_batch_features(spark):
@@ -31,8 +44,8 @@ def test_stream_counts_equal_batch_features(spark):
         raw(spark, first, first + 40).write.mode("append").parquet(source)
         ingest.ingest(ingest.stream_raw_reviews(spark, source), reviews, reviews + "-cp").awaitTermination()
         stream = spark.readStream.schema(schemas.REVIEW).parquet(reviews)
-        ingest.write_updates(ingest.daily_counts(stream), target, target + "-cp").awaitTermination()
-    got = {(r["asin"], r["date"]): (r["rating_sum"], r["review_count"], r["negative_count"]) for r in ingest.latest_counts(spark, target).collect()}
+        ingest.write_daily_counts(stream, target, target + "-cp").awaitTermination()
+    got = {(r["asin"], r["date"]): (r["rating_sum"], r["review_count"], r["negative_count"]) for r in ingest.summed_counts(spark, target).collect()}
     daily = product_features.daily_features(spark.read.parquet(reviews)).collect()
     want = {(r["asin"], r["date"]): (r["rating_avg"] * r["review_count"], r["review_count"], r["negative_count"]) for r in daily}
     assert got == want and len(got) > 10
