@@ -19,7 +19,7 @@ HEADLINE = [
     "agg08_entity_counts", "win02_rolling_sentiment", "snk05_replace_features", "ml04_flagged_days", "ml05_alerts",
     "ml16_column_drift", "agg04_top_products", "agg09_complaint_profiles", "dec05_product_audit", "win03_most_helpful",
     "win05_newest_first", "mcl03_summary_inputs", "src05_latest_reviews", "top03_negative_sample", "ml10_threshold_sweep",
-    "ml13_cosine_search", "ml14_ab_test", "joi01_reviews_with_products", "agg16_word_frequencies", "stm02_daily_counts",
+    "ml13_cosine_search", "ml14_ab_test", "ml12_text_vectors", "mcl04_training_pairs", "joi01_reviews_with_products", "agg16_word_frequencies", "stm02_daily_counts",
 ]
 
 
@@ -41,6 +41,7 @@ def main() -> None:
     tables = Tables(spark, sf_dir)
     timed("prepare_reviews", lambda: tables.reviews)
     timed("prepare_features", lambda: tables.features)
+    timed("prepare_entities", lambda: tables.entities)
     timed("prepare_scores", lambda: tables.scores)
     for name in HEADLINE:
         timed(name, lambda: registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,17 +20,19 @@ DIMENSIONS = 384
 MAX_QUERIES = 10_000
 
 
-def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
-    """Unit-length TF-IDF vectors of whole texts as ``vec array<float>``."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=tx.WORD, gaps=False),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    rows = reviews.withColumn("text", F.coalesce("text", F.lit("")))
+def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS, precision: str = "float32") -> DataFrame:
+    """Unit-length TF-IDF vectors of whole texts as ``vec``, for every row; a text without words has a zero vector.
+
+    A word's component is the start of its md5 modulo ``dims``, its weight ln((rows + 1) / (rows with it + 1)).
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({tx.WORD})"), F.lit(1))
+    place = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("string"))
+    places = [str(i) for i in range(dims)]
+    counter = CountVectorizerModel.from_vocabulary(places, inputCol="_words", outputCol="_tf")
+    stages = [counter, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit")]
+    rows = reviews.withColumn("_words", place)
     vectors = Pipeline(stages=stages).fit(rows).transform(rows)
-    return vectors.withColumn("vec", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_tfidf", "_unit")
+    return vectors.withColumn("vec", vector_to_array("_unit", precision)).drop("_words", "_tf", "_tfidf", "_unit")
 
 
 def vector_records(vectors: DataFrame) -> DataFrame:

