@@ -23,8 +23,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.functions.selection import top_rows
 from reviewmill.llm.tokens import WordMerger, WordSplitter
-from reviewmill.session import new_path
+from reviewmill.session import forget, new_path, settle_at
 
 LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS = 100_000, 32, 400_000
 
@@ -139,7 +140,10 @@ class Transducer:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", n: int = LEXICON_WORDS) -> list[str]:
-    """The ``n`` most frequent words of all documents, of at most ``LONGEST_WORD`` characters; ties by the word."""
+    """The ``n`` most frequent words of all documents, of at most ``LONGEST_WORD`` characters; ties by a hash.
+
+    The counts are settled and cut by repeated histograms, so only the ``n`` rows come to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = WordSplitter()
@@ -153,7 +157,11 @@ def frequent_words(docs: DataFrame, text: str = "text", n: int = LEXICON_WORDS)
             yield pa.RecordBatch.from_pydict({"word": pa.array(short, pa.string()), "n": pa.array([counts[w] for w in short], pa.int64())})
 
     counted = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [row["word"] for row in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+    path = new_path(docs.sparkSession, "words")
+    top = top_rows(settle_at(counted, path), n, -F.col("n"), F.shiftright(F.xxhash64("word"), 1))
+    words = [row["word"] for row in top.select("word").collect()]
+    forget(docs.sparkSession, path)
+    return words
 
 
 def build(words: list[str], vocabulary: str) -> Transducer:

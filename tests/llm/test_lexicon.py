@@ -89,4 +89,4 @@ def test_every_token_is_what_its_bytes_merge_to():
 
 def test_frequent_words_of_all_documents(spark):
     rows = [(i, "common words " + ("rare" if i == 7 else "")) for i in range(30)]
-    assert lexicon.frequent_words(frames.documents(spark, rows), "text", 2) == ["common", "words"]
+    assert lexicon.frequent_words(frames.documents(spark, rows), "text", 2) in (["common", "words"], ["words", "common"])
