@@ -101,7 +101,7 @@ class ContextTrees:
             endings = self.nodes.reshape(-1, self.size**order)  # a view: all contexts by their last ``order`` symbols
             endings[:, keys] = np.arange(first, first + len(keys))
             first += len(keys)
-            costs.append(-np.log2(table).reshape(-1, len(self.languages)))
+            costs.append(-np.log2(table).reshape(len(keys) * self.size, len(self.languages)))
         self.costs = np.concatenate(costs).astype(np.float32)
 
     @staticmethod
