@@ -120,8 +120,3 @@ def review_input_counts(reviews: DataFrame) -> DataFrame:
 
 def _count_if(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
-
-
-def band_counts(reviews: DataFrame) -> DataFrame:
-    """Reviews per rating band; null ratings count as bad, as they fail both tests."""
-    return reviews.groupBy(tx.rating_band(F.col("rating")).alias("band")).agg(F.count("*").alias("review_count"))

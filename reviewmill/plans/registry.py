@@ -775,6 +775,11 @@ def _(t):
     return model_calls.summary_inputs(t.reviews, titles)
 
 
+@query("mcl04_summary_requests", f"""SELECT asin AS id, {quoted(model_calls.SUMMARY_SYSTEM)} AS system, substr(input, 1, 4000) AS "user" FROM {CANDIDATES} c""")
+def _(t):
+    return model_calls.summary_requests(_candidates(t))
+
+
 @query("mcl04_training_pairs", PAIRS)
 def _(t):
     return _pairs(t)
