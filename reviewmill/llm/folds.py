@@ -14,8 +14,12 @@ def fold(key: str, folds: int) -> Column:
 def sample_ids(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` ids of each label, in the order of a hash: the same ones however the rows are laid out.
 
-    The window's limit holds within each task before the shuffle, so a frequent label sends no more than that either.
+    Rows are first thinned by their hash to about twice that many of a label, so a frequent label never meets in one
+    task. The counts have one row per label, as the model has.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
     ids = rows.select(key, label).filter(F.col(key).isNotNull() & F.col(label).isNotNull())
-    return ids.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_label).drop("_place")
+    share = ids.groupBy(label).agg((F.lit(2.0 * per_label + 100) / F.count("*")).alias("_share"))
+    place = F.xxhash64(key)
+    near = ids.join(F.broadcast(share), label).filter(place.cast("double") < (F.col("_share") * 2.0 - 1.0) * 2.0**63)
+    order = Window.partitionBy(label).orderBy(place, key)
+    return near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_label).select(key, label)
