@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -7,6 +10,7 @@ from reviewmill.plans import registry
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +38,17 @@ def test_plans_have_no_cross_joins_or_python_rows(spark):
         assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", plan), name
         if not name.startswith(("ml14", "mcl09", "ml13_batch")):
             assert "Python" not in plan and "MapInPandas" not in plan, name
+
+
+def test_python_queries_run_from_another_folder(tmp_path):
+    """Workers must not need the package on their path."""
+    code = (
+        f"import sys; sys.path.insert(0, {REPO!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from reviewmill.session import build_session\n"
+        "spark = build_session('local[2]', 2, spark__ui__enabled='false')\n"
+        "for name in ('ml14_ab_significance', 'mcl09_run_client', 'ml13_batch_search'):\n"
+        f"    assert entry.queries()[name](spark, {SF!r}).count() > 0\n"
+    )
+    settings = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=settings, check=True, timeout=600)
