@@ -910,12 +910,14 @@ def _(t):
     train, test, results = rows.filter("split = 'train'"), rows.filter("split = 'test'"), []
     for name, boosted in (("linear", False), ("boosted", True)):
         scaler, model = helpfulness.fit(train, boosted)
-        tested = helpfulness.predict(scaler, model, test).agg(F.count("prediction").alias("test_rows"))
-        fitted = helpfulness.predict(scaler, model, train).agg(
-            F.lit(name).alias("model"), F.count("*").alias("train_rows"), F.round(F.avg("prediction"), 6).alias("mean_prediction"),
-            (F.avg((F.col("prediction") - F.col("y")) ** 2) <= F.var_pop("y")).alias("better_than_mean"),
-        )
-        results.append(fitted.join(tested.withColumn("model", F.lit(name)), "model"))
+        sides = [helpfulness.predict(scaler, model, part).withColumn("split", F.lit(n)) for n, part in (("train", train), ("test", test))]
+        fitted = F.when(F.col("split") == "train", F.col("prediction"))
+        gap = fitted - F.col("y")
+        results.append(sets.union_all(*sides).agg(
+            F.lit(name).alias("model"), F.count(fitted).alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"),
+            F.round(F.avg(fitted), 6).alias("mean_prediction"),
+            (F.avg(gap * gap) <= F.var_pop(F.when(F.col("split") == "train", F.col("y")))).alias("better_than_mean"),
+        ))
     return sets.union_all(*results)
 
 
