@@ -1,4 +1,6 @@
-import hashlib
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -9,6 +11,7 @@ from tests.llm.test_near_dedup import brute
 from tests.llm.test_packing import check_layout, expected_pieces
 
 SF = "/root/testdata/sf0.001"
+REPO = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
 
 
 def test_equals_brute_force(spark):
@@ -39,9 +42,15 @@ def test_query_equals_its_check(spark, name):
     assert oracle.differences(spark, oracle.connect(SF), name, SF) == []
 
 
-def test_functions_travel_without_the_package(spark):
-    """Workers unpickle functions by value: nothing of this package is imported there."""
-    from pyspark import cloudpickle
-
-    data = cloudpickle.dumps(quality.Scorer)
-    assert hashlib.sha256(data).digest() and b"reviewmill.llm.quality" not in data.split(b"__module__")[0]
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers must not need the package on their path."""
+    code = (
+        f"import sys; sys.path.insert(0, {REPO!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from reviewmill.session import build_session\n"
+        "spark = build_session('local[2]', 2, spark__ui__enabled='false')\n"
+        "for name in ('op6_quality_classifier', 'op7_license_scan', 'op8_language_id'):\n"
+        f"    assert entry.queries()[name](spark, {SF!r}).count() == 200\n"
+    )
+    settings = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=settings, check=True, timeout=600)
