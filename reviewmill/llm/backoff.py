@@ -5,6 +5,9 @@ exploded, aggregated within the block and cut by ranges of their hash, so a freq
 a hash range meet in one task, which sums them: that is the table of n-gram counts, partitioned by hash. Its counts are
 joined back to the n-grams of each block, where every document's own occurrences are taken off and its scores are summed.
 
+Hashes have ``SPARE_BITS`` more bits than the number of n-grams has, up to 64: the chance that an n-gram shares its hash
+with another one is then at most 2^-28 at any size.
+
 Words are runs of anything but ASCII white space, with A-Z in lower case.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm.texts import Tokens, flat, grams, numbers_of, whitespace_kinds
 from reviewmill.session import new_path, settle_at
 
-ORDER, BACKOFF, BLOCK_BYTES, RANGE_BYTES = 3, 0.4, 12 << 20, 12 << 20
+ORDER, BACKOFF, BLOCK_BYTES, RANGE_BYTES, SPARE_BITS = 3, 0.4, 4 << 20, 4 << 20, 28
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -41,7 +44,7 @@ def unsqueeze(data: bytes, kind) -> np.ndarray:
 
 def to_block(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
         writer.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
@@ -53,29 +56,34 @@ def from_block(data: bytes) -> pa.Table:
 class Grams:
     """The n-grams of a block: their sorted distinct hashes, and for each order the place of the n-gram that ends at a word."""
 
-    def __init__(self, block: bytes, order: int):
+    def __init__(self, block: bytes, order: int, bits: int = 64):
+        self.bits = bits
         self.rows = from_block(block)
         data, offsets = flat(self.rows.column(1))
         words, starts = Tokens(whitespace_kinds(), lower=True)(data, offsets)
         self.of = numbers_of(starts)
         self.sizes = np.diff(starts)
         self.position = np.arange(len(words)) - starts[:-1][self.of]
-        found, ending = [], []
-        for n in range(1, order + 1):
-            ends = np.flatnonzero(self.position >= n - 1)
-            found.append(grams(words, n, n)[ends - (n - 1)])
-            ending.append(ends)
-        self.hashes, inverse, self.counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        ending = [np.flatnonzero(self.position >= n) for n in range(order)]
+        found = np.concatenate([grams(words, n + 1, n + 1)[ends - n] for n, ends in enumerate(ending)]) >> np.uint64(64 - bits)
+        by_hash = np.argsort(found)
+        found = found[by_hash]
+        fresh = np.diff(found, prepend=~found[:1]) != 0
+        self.hashes, first = found[fresh], np.flatnonzero(fresh)
+        self.counts = np.diff(first, append=len(found))
+        inverse = np.empty(len(found), np.int32)
+        inverse[by_hash] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         self.places = []
         for ends in ending:
-            place = np.full(len(words), -1, np.int64)
+            place = np.full(len(words), -1, np.int32)
             place[ends], inverse = inverse[: len(ends)], inverse[len(ends) :]
             self.places.append(place)
 
-    def cuts(self, parts: int) -> np.ndarray:
-        """Where each hash range starts among the hashes; parts + 1 values."""
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.hashes, edges), [len(self.hashes)]])
+    def cuts(self, parts: int) -> Iterator[tuple[int, int, int]]:
+        """(number, start, end) of each of ``parts`` equal hash ranges that has hashes; ``parts`` is below 2^32."""
+        number = (self.hashes >> np.uint64(self.bits - 32)) * np.uint64(parts) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(number, prepend=number[:1] + np.uint64(1)))
+        return zip(number[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(number)])
 
     def scores(self, totals: np.ndarray, words: int, backoff: float) -> np.ndarray:
         """Log score of each row, with counts over all documents but that row."""
@@ -144,24 +152,20 @@ def backoff_scores(
     sums = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     words = blocks.agg(F.sum("words").alias("n")).first()["n"] or 0
     parts = max(1, -(-sums // range_bytes))
+    bits = min(64, max(32, (words * order).bit_length() + SPARE_BITS))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = Grams(data, order)
-                cuts = found.cuts(parts)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = Grams(data.as_py(), order, bits)
                 gaps = np.diff(found.hashes, prepend=np.uint64(0))
-                for part in range(parts):
-                    low, high = cuts[part], cuts[part + 1]
-                    if low < high:
-                        hashes = gaps[low:high].copy()
-                        hashes[0] = found.hashes[low]
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "block": [name], "part": [part], "hashes": [squeeze(hashes)],
-                                "counts": [squeeze(found.counts[low:high].astype(np.uint32))],
-                            }
-                        )
+                for part, low, high in found.cuts(parts):
+                    hashes = gaps[low:high].copy()
+                    hashes[0] = found.hashes[low]
+                    counts = found.counts[low:high].astype(np.uint32)
+                    yield pa.RecordBatch.from_pydict(
+                        {"block": [name], "part": [part], "hashes": [squeeze(hashes)], "counts": [squeeze(counts)]}
+                    )
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unsqueeze(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
@@ -176,7 +180,7 @@ def backoff_scores(
     counted = settle_at(counted, paths[1])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = Grams(left["data"].iloc[0], order)
+        found = Grams(left["data"].iloc[0], order, bits)
         parts = [unsqueeze(x, np.int64) for x in right.sort_values("part")["totals"]]
         totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         if len(totals) != len(found.hashes):
