@@ -47,10 +47,12 @@ def _text(value) -> str:
     return str(pd.Timestamp(value)) if hasattr(value, "isoformat") else str(value)
 
 
-def differences(spark, con, name: str, sf_dir: str) -> list[str]:
-    """Empty if the query and its check agree."""
+def differences(spark, con, name: str, sf_dir: str, look=lambda df: None) -> list[str]:
+    """Empty if the query and its check agree. ``look`` is given the query's result before it is computed."""
     start = time.time()
-    left = entry.queries()[name](spark, sf_dir).toPandas()
+    result = entry.queries()[name](spark, sf_dir)
+    look(result)
+    left = result.toPandas()
     TIMES[name] = time.time() - start
     right = con.execute(entry.oracle_sql()[name]).df()
     if sorted(left.columns) != sorted(right.columns):
