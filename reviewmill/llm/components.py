@@ -20,8 +20,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         F.least(left, right).alias("small"), F.greatest(left, right).alias("large")
     )
     old = new_path(spark, "links")
-    current, before = settle_at(pairs.distinct(), old), None
-    while before != (before := _fingerprint(current)):
+    current = settle_at(pairs.distinct(), old)
+    while not _all_stars(current):
         used = [new_path(spark, name) for name in ("lowest", "large-star", "lowest", "small-star")]
         both = current.select(F.col("large").alias("u"), F.col("small").alias("v")).unionByName(
             current.select(F.col("small").alias("u"), F.col("large").alias("v"))
@@ -39,6 +39,10 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     return stars.unionByName(current.select(F.col("small").alias("id"), F.col("small").alias("component")).distinct())
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("small", "large").cast("decimal(38,0)")).alias("sum")).first()
-    return row["n"], row["sum"]
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether every id is either a centre or linked to one centre only."""
+    ends = pairs.select(F.col("large").alias("id"), F.lit(1).alias("links"), F.lit(0).alias("centre")).unionByName(
+        pairs.select(F.col("small").alias("id"), F.lit(0).alias("links"), F.lit(1).alias("centre"))
+    )
+    ids = ends.groupBy("id").agg(F.sum("links").alias("links"), F.max("centre").alias("centre"))
+    return not ids.agg(F.count_if(F.col("links") + F.col("centre") > 1).alias("n")).first()["n"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
-from reviewmill.llm.stars import Stars
+from reviewmill.llm.stars import Stars, lowest_ids
 from reviewmill.llm.texts import Tokens, flat, grams, mixed, ranges
 from reviewmill.session import forget, new_path, settle, settle_at, small_batches
 
@@ -117,7 +117,10 @@ def describe(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def candidate_links(members: DataFrame, threshold: float, tolerance: float, bucket_rows: int) -> DataFrame:
-    """(id, root): stars of the pairs that share a bucket and survive the pruning, from rows (id, values)."""
+    """(id, root): stars of the pairs that share a bucket and survive the pruning, from rows (id, values).
+
+    The root is the smallest id of a star, so the stars of many buckets agree.
+    """
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
@@ -153,8 +156,9 @@ def candidate_links(members: DataFrame, threshold: float, tolerance: float, buck
                 block = fields.field("block").to_numpy(zero_copy_only=False)
                 values = np.frombuffer(b"".join(fields.field("values").to_pylist()), np.uint16).reshape(len(ids), -1)
                 root = survivors(band, block if across else None, values, least)
-                some = root != np.arange(len(ids))
-                found.append((ids[some], ids[root[some]]))
+                lowest = lowest_ids(ids, root)
+                some = lowest != ids
+                found.append((ids[some], lowest[some]))
             if not found:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "root"])
@@ -234,9 +238,7 @@ def verified_links(docs: DataFrame, key: str, text: str, members: DataFrame, wor
                 sets = [np.frombuffer(sets[i].as_py(), np.uint64) for i in first.tolist()]
                 links, root = exact_links(sets, size, block if across else None, threshold)
                 some = links > 0
-                lowest = np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(lowest, root, ids)
-                found.append((ids[some], links[some], lowest[root[some]]))
+                found.append((ids[some], links[some], lowest_ids(ids, root)[some]))
             if not found:
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "links", "root"])

@@ -21,3 +21,10 @@ class Stars:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
             while (self.root[self.root] != self.root).any():
                 self.root = self.root[self.root]
+
+
+def lowest_ids(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each number the smallest id of its star."""
+    lowest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, root, ids)
+    return lowest[root]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
-from reviewmill.llm.stars import Stars
+from reviewmill.llm.stars import Stars, lowest_ids
 from reviewmill.session import settle
 
 THRESHOLD, BLOCK_ROWS, TILE = 0.95, 8192, 512
@@ -103,10 +103,8 @@ def near_duplicates(
             return pd.DataFrame({"id": [], "links": [], "root": []})
         counts, stars = linked(x, y, same, threshold)
         ids = x.ids if same else np.concatenate([x.ids, y.ids])
-        lowest = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, stars.root, ids)
         some = counts > 0
-        return pd.DataFrame({"id": ids[some], "links": counts[some], "root": lowest[stars.root[some]]})
+        return pd.DataFrame({"id": ids[some], "links": counts[some], "root": lowest_ids(ids, stars.root)[some]})
 
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     meetings = stored.withColumn("other", other).withColumns(
