@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm.tokens import ByteLevel
 from reviewmill.session import settle
 
-CAPACITY, SLICE_ROWS = 2048, 50_000
+CAPACITY, SLICE_ROWS, LEAST_SLICES = 2048, 50_000, 64
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -105,7 +105,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, slice
     """``pieces`` (lengths 1..capacity) with sequence_id and offset. Repeated rows are packed as often as they occur."""
     stored = settle(pieces, "pieces")
     total = stored.count()
-    slices = max(1, -(-total // slice_rows))
+    slices = max(LEAST_SLICES, -(-total // slice_rows))
     order = [F.col(key), F.col("piece"), F.col("ids_crc32")]
     sliced = stored.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     sizes = settle(sliced.groupBy("length", "slice").agg(F.count("*").alias("n")), "lengths")
