@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,8 @@ from reviewmill.functions import text as tx
 from reviewmill.operators import filters
 
 DIMENSIONS = 384
-MAX_QUERIES = 10_000
+BLOCK_ROWS, TILE, CHUNK = 4096, 256, 1 << 14
+SLACK = 1e-9  # above the rounding of the products
 
 
 def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS, precision: str = "float32") -> DataFrame:
@@ -74,33 +74,62 @@ def search(
     return scored.drop("vec", "norm").orderBy("distance", "id").limit(n)
 
 
-def search_many(records: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
+def search_many(records: DataFrame, queries: DataFrame, n: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, distance, position): the ``n`` nearest records of each query (query_id, vec), ties by id.
 
-    The queries are a stated set of at most ``MAX_QUERIES`` rows and go to every task, which compares each batch of
-    records with them as one matrix product and hands on at most ``n`` rows per query and batch. Records and queries of
-    length 0 are left out. Distances are those of double precision.
+    Queries and records are cut into hashed blocks of about ``block_rows`` rows. Every pair of blocks meets in one task,
+    which compares them in tiles and hands on at most ``n`` rows per query; the best of those are the result. Records and
+    queries without a finite length above 0 are left out. Distances are those of double precision.
     """
-    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: ask in parts")
-    matrix = np.array([row["vec"] for row in asked], float).reshape(len(asked), -1)
-    lengths = np.sqrt((matrix * matrix).sum(1))
-    numbers = np.array([row["query_id"] for row in asked])[lengths > 0]
-    shared = records.sparkSession.sparkContext.broadcast((numbers, matrix[lengths > 0] / lengths[lengths > 0, None]))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, directions = shared.value
-        for batch in batches:
-            rows = batch[batch["norm"] > 0]
-            if not len(rows) or not len(numbers):
-                continue
-            vectors, ids = np.stack(rows["vec"].to_numpy()).astype(float), rows["id"].to_numpy(str)
-            distances = 1 - (vectors / rows["norm"].to_numpy()[:, None]) @ directions.T
-            for column, number in enumerate(numbers):
-                best = np.lexsort((ids, distances[:, column]))[:n]
-                yield pd.DataFrame({"query_id": number, "id": ids[best], "distance": distances[best, column]})
-
-    found = records.select("id", "vec", "norm").mapInPandas(nearest, "query_id long, id string, distance double")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    asked = _blocks(asked.withColumn("norm", F.sqrt(_dot(F.col("vec"), F.col("vec")))), "query", "long", block_rows)
+    stored = records.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"), "norm")
+    stored = _blocks(stored, "record", "string", block_rows)
+    every = lambda side, other: side[0].withColumn(
+        other[1], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other[2] - 1).cast("long")))
+    ).groupBy("query", "record")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        numbers, asked = left["ids"].iloc[0], np.frombuffer(left["units"].iloc[0]).reshape(len(left["ids"].iloc[0]), -1)
+        ids, units = right["ids"].iloc[0], np.frombuffer(right["units"].iloc[0]).reshape(len(right["ids"].iloc[0]), -1)
+        found = [_best(asked[low : low + TILE], units, n) for low in range(0, len(asked), TILE)]
+        rows = np.concatenate([i + k * TILE for k, (i, _, _) in enumerate(found)])
+        columns, distances = (np.concatenate([x[part] for x in found]) for part in (1, 2))
+        return pd.DataFrame({"query_id": numbers[rows], "id": ids[columns], "distance": distances})
+
+    queries_first, records_first = every(asked, stored), every(stored, asked)
+    found = queries_first.cogroup(records_first).applyInPandas(nearest, "query_id long, id string, distance double")
     window = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n)
+
+
+def _blocks(rows: DataFrame, name: str, kind: str, block_rows: int) -> tuple[DataFrame, str, int]:
+    """Blocks of (id, vec, norm) as rows (``name``, ids, units), ids in order; ``name``; how many there are at most."""
+    rows = rows.filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.withColumn(name, F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)))
+
+    def store(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        units = np.stack(group["vec"].to_numpy()).astype(float) / group["norm"].to_numpy()[:, None]
+        return pd.DataFrame({name: [group[name].iloc[0]], "ids": [group["id"].to_numpy()], "units": [units.tobytes()]})
+
+    return rows.groupBy(name).applyInPandas(store, f"{name} long, ids array<{kind}>, units binary"), name, blocks
+
+
+def _best(asked: np.ndarray, units: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``asked``, row of ``units``, distance) of the ``n`` nearest of each, equal distances in the order of rows.
+
+    The matrix product rounds equal vectors differently by their place, so what may be among the nearest is worked out again.
+    """
+    products = asked @ units.T
+    least = np.partition(products, max(0, len(units) - n), axis=1)[:, max(0, len(units) - n)] if 0 < n else np.full(len(asked), np.inf)
+    i, j = np.nonzero(products >= least[:, None] - SLACK)
+    parts = [np.einsum("ij,ij->i", asked[i[k : k + CHUNK]], units[j[k : k + CHUNK]]) for k in range(0, len(i), CHUNK)]
+    distances = 1 - np.concatenate(parts or [np.zeros(0)])
+    order = np.lexsort((j, distances, i))
+    i, j, distances = i[order], j[order], distances[order]
+    chosen = np.arange(len(i)) - np.searchsorted(i, i) < n
+    return i[chosen], j[chosen], distances[chosen]

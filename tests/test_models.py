@@ -137,6 +137,27 @@ def test_search_filters_before_the_top(spark):
     assert search.search(df.filter("id <> 'rev_4'"), [2.0, 0.0], 2).collect()[0]["distance"] == pytest.approx(0.0)
 
 
+def test_more_queries_than_a_block(spark):
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.normal(size=(60, 8)), np.repeat(rng.normal(size=(1, 8)), 30, 0)])
+    rows = [(f"rev_{i}", v.tolist(), float(np.sqrt(v @ v))) for i, v in enumerate(vectors)] + [("rev_x", [0.0] * 8, 0.0)]
+    records = spark.createDataFrame(rows, "id string, vec array<double>, norm double")
+    asked = [*rng.normal(size=(40, 8)), vectors[-1]]
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vec array<double>")
+    got = search.search_many(records, queries, 5, block_rows=16).orderBy("query_id", "position").collect()
+    for number, v in enumerate(asked):
+        every = [(round(1 - float(v @ x) / np.sqrt(v @ v) / norm, 9), id) for id, x, norm in rows[:-1] for x in [np.array(x)]]
+        mine = [(r["position"], round(r["distance"], 9), r["id"]) for r in got if r["query_id"] == number]
+        assert mine == [(k + 1, d + 0.0, id) for k, (d, id) in enumerate(sorted(every)[:5])]
+
+
+def test_ten_thousand_queries_are_no_limit(spark):
+    records = spark.createDataFrame([("rev_1", [1.0, 0.0], 1.0), ("rev_2", [0.0, 2.0], 2.0)], "id string, vec array<double>, norm double")
+    queries = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
+    got = search.search_many(records, queries, 1)
+    assert got.count() == 10_001 and [r["id"] for r in got.select("id").distinct().collect()] == ["rev_1"]
+
+
 def test_text_vectors_have_unit_length(spark):
     df = spark.createDataFrame([(1, "battery died"), (2, "screen fine"), (3, None)], "id long, text string")
     for row in search.text_vectors(df).collect():
