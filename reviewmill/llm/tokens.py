@@ -15,6 +15,9 @@ import tiktoken
 
 # Fixed value: how byte-level vocabularies split a text.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the code points of white space.
+SPACES = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+LONG_RUN = 100_000  # the look-ahead above keeps a step per character of white space and gives up after 1,000,000
 
 
 def byte_signs() -> dict[str, int]:
@@ -33,7 +36,11 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
 
 
 class ByteLevel:
-    """Ids of a text under a byte-level vocabulary; special tokens in the text have their own ids."""
+    """Ids of a text under a byte-level vocabulary; special tokens in the text have their own ids.
+
+    Runs of white space longer than ``LONG_RUN`` are split off as the pattern would: all but the last character if
+    something follows, else the whole run.
+    """
 
     def __init__(self, path: str):
         vocabulary, special = read_vocabulary(path)
@@ -41,16 +48,28 @@ class ByteLevel:
         ranks = {bytes(signs[c] for c in token): i for token, i in vocabulary.items()}
         self.encoding = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.special = special
+        self.spaces = re.compile("[" + "".join(map(re.escape, sorted(SPACES))) + "]{64,}")
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def __call__(self, text: str) -> np.ndarray:
         parts = self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]
         found = [
-            np.array([self.special[part]], np.uint32) if part in self.special else self.encoding.encode_to_numpy(part, disallowed_special=())
+            np.array([self.special[part]], np.uint32) if part in self.special else self._plain(part)
             for part in parts if part
         ]
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
+    def _plain(self, text: str) -> np.ndarray:
+        found, at = [], 0
+        for run in self.spaces.finditer(text) if len(text) > LONG_RUN else ():
+            if run.end() - run.start() > LONG_RUN:
+                end = run.end() - (run.end() < len(text))
+                found.append(self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+                found.append(np.array(self.encoding._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+                at = end
+        last = self.encoding.encode_to_numpy(text[at:], disallowed_special=())
+        return np.concatenate([*found, last]) if found else last
+
 
 class WordSplitter:
     """Words of texts as the word-level vocabulary splits them: NFC, lower case, white space dropped.
@@ -60,8 +79,6 @@ class WordSplitter:
     """
 
     ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed value
-    # fixed value: the code points of white space
-    SPACES = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
     def __init__(self):
         self.chars: frozenset[str] = frozenset()
@@ -77,7 +94,7 @@ class WordSplitter:
 
     def _compile(self):
         letters, digits, others = [], [], []
-        for c in sorted(self.chars - self.SPACES):
+        for c in sorted(self.chars - SPACES):
             kind = unicodedata.category(c)[0]
             (letters if kind == "L" else digits if kind == "N" else others).append(re.escape(c))
         parts = ["[" + "".join(letters) + "]+"] * bool(letters) + [self.ENDINGS]

@@ -82,6 +82,18 @@ def test_ids_equal_the_library():
         assert mine(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(monkeypatch):
+    mine, theirs = tokens.ByteLevel(PATH), Tokenizer.from_file(PATH)
+    for text in [f"{a}{space * 2_000_000}{b}" for space in " \n" for a, b in [("a ", "word"), ("a", ""), ("", "'s"), ("x", "<|endoftext|>y")]]:
+        assert mine(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "LONG_RUN", 64)
+    rng = random.Random(6)
+    for _ in range(200):
+        runs = [rng.choice(["a", "'s", "12", "!", "\x1c", "日", "<|endoftext|>"]) + "".join(rng.choices(" \n\t\x85\u3000", k=rng.choice([0, 1, 2, 64, 65, 66, 150]))) for _ in range(4)]
+        text = "".join(runs)[rng.randint(0, 1) :]
+        assert mine(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_every_token_encodes_to_itself():
     vocabulary, _ = tokens.read_vocabulary(PATH)
     model = Tokenizer.from_file(PATH).model
