@@ -758,6 +758,11 @@ def _(t):
     return model_calls.label_requests(sampling.negative_sample(t.reviews, 3_000))
 
 
+@query("mcl01_all_label_requests", f"SELECT id, {quoted(model_calls.LABEL_SYSTEM)} AS system, substr(text, 1, 1000) AS \"user\" FROM ({NEGATIVE}) s")
+def _(t):
+    return model_calls.label_requests(sampling.labelling_candidates(t.reviews))
+
+
 LABEL_FLAGS = ", ".join(
     f"CAST(coalesce(CASE WHEN json_valid(j) THEN CAST(json_extract(j, '$.{c}') AS VARCHAR) IN ('1', '1.0', 'true') END, FALSE) AS INTEGER) AS {c}"
     for c in vocab.LABELS
