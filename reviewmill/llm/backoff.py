@@ -5,8 +5,8 @@ exploded, aggregated within the block and cut by ranges of their hash, so a freq
 a hash range meet in one task, which sums them: that is the table of n-gram counts, partitioned by hash. Its counts are
 joined back to the n-grams of each block, where every document's own occurrences are taken off and its scores are summed.
 
-Hashes have ``SPARE_BITS`` more bits than the number of n-grams has, up to 64: the chance that an n-gram shares its hash
-with another one is then at most 2^-28 at any size.
+N-grams are told apart by hashes of 64 bits. Among n different ones about n^2 / 2^65 pairs share a hash: 2^-5 pairs of 2^30
+n-grams, 2^7 pairs of 2^36.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm.texts import Tokens, flat, grams, numbers_of, whitespace_kinds
 from reviewmill.session import new_path, settle_at
 
-ORDER, BACKOFF, BLOCK_BYTES, RANGE_BYTES, SPARE_BITS = 3, 0.4, 4 << 20, 4 << 20, 28
+ORDER, BACKOFF, BLOCK_BYTES, RANGE_BYTES = 3, 0.4, 4 << 20, 4 << 20
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -56,8 +56,7 @@ def from_block(data: bytes) -> pa.Table:
 class Grams:
     """The n-grams of a block: their sorted distinct hashes, and for each order the place of the n-gram that ends at a word."""
 
-    def __init__(self, block: bytes, order: int, bits: int = 64):
-        self.bits = bits
+    def __init__(self, block: bytes, order: int):
         self.rows = from_block(block)
         data, offsets = flat(self.rows.column(1))
         words, starts = Tokens(whitespace_kinds(), lower=True)(data, offsets)
@@ -65,7 +64,7 @@ class Grams:
         self.sizes = np.diff(starts)
         self.position = np.arange(len(words)) - starts[:-1][self.of]
         ending = [np.flatnonzero(self.position >= n) for n in range(order)]
-        found = np.concatenate([grams(words, n + 1, n + 1)[ends - n] for n, ends in enumerate(ending)]) >> np.uint64(64 - bits)
+        found = np.concatenate([grams(words, n + 1, n + 1)[ends - n] for n, ends in enumerate(ending)])
         by_hash = np.argsort(found)
         found = found[by_hash]
         fresh = np.diff(found, prepend=~found[:1]) != 0
@@ -81,7 +80,7 @@ class Grams:
 
     def cuts(self, parts: int) -> Iterator[tuple[int, int, int]]:
         """(number, start, end) of each of ``parts`` equal hash ranges that has hashes; ``parts`` is below 2^32."""
-        number = (self.hashes >> np.uint64(self.bits - 32)) * np.uint64(parts) >> np.uint64(32)
+        number = (self.hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(number, prepend=number[:1] + np.uint64(1)))
         return zip(number[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(number)])
 
@@ -152,12 +151,11 @@ def backoff_scores(
     sums = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     words = blocks.agg(F.sum("words").alias("n")).first()["n"] or 0
     parts = max(1, -(-sums // range_bytes))
-    bits = min(64, max(32, (words * order).bit_length() + SPARE_BITS))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = Grams(data.as_py(), order, bits)
+                found = Grams(data.as_py(), order)
                 gaps = np.diff(found.hashes, prepend=np.uint64(0))
                 for part, low, high in found.cuts(parts):
                     hashes = gaps[low:high].copy()
@@ -180,7 +178,7 @@ def backoff_scores(
     counted = settle_at(counted, paths[1])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = Grams(left["data"].iloc[0], order, bits)
+        found = Grams(left["data"].iloc[0], order)
         parts = [unsqueeze(x, np.int64) for x in right.sort_values("part")["totals"]]
         totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         if len(totals) != len(found.hashes):

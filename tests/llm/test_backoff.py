@@ -44,6 +44,21 @@ def test_no_words_and_empty_tables(spark):
     assert backoff.backoff_scores(frames.empty(spark)).collect() == []
 
 
+def test_words_with_equal_starts_of_their_hashes(spark):
+    import numpy as np
+
+    from reviewmill.llm.texts import Tokens, grams, whitespace_kinds
+
+    words = [f"w{i}" for i in range(300_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts = grams(Tokens(whitespace_kinds(), lower=True)(data, np.array([0, len(data)]))[0], 1, 1) >> np.uint64(32)
+    order = np.argsort(starts, kind="stable")
+    at = np.flatnonzero(np.diff(starts[order]) == 0)[0]
+    rows = [(i, words[order[at + i]]) for i in range(2)]
+    got = backoff.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.log_score for r in got] == pytest.approx([math.log(0.4)] * 2)
+
+
 def test_squeeze_round_trip():
     import numpy as np
 
