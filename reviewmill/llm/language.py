@@ -185,16 +185,16 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     return rows.mapInArrow(predict, f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
 
 
-def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose language is determined with a score of at least ``least``."""
+def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is determined, whatever the winner's share."""
     model = docs.sparkSession.sparkContext.broadcast(vars(trees))
     place = docs.columns.index(text)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(model.value)
         for batch in batches:
-            names, scores, _ = identifier(batch.column(place))
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            names, _, _ = identifier(batch.column(place))
+            yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
 

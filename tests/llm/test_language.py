@@ -106,6 +106,13 @@ def test_kept_rows_and_empty_tables(spark, trees):
     assert language.identify(frames.empty(spark), trees).collect() == []
 
 
+def test_a_close_decision_is_kept(spark):
+    trees = language.ContextTrees(count({name: ["text words"] for name in "abc"}))
+    docs = spark.createDataFrame([(1, "De."), (2, "12")], "doc_id long, text string")
+    assert language.identify(docs.filter("doc_id = 1"), trees).first()["score"] < 0.5
+    assert [r.doc_id for r in language.keep_identified(docs, trees).collect()] == [1]
+
+
 def test_nothing_to_learn_from(spark):
     trees = language.learn(frames.documents(spark).drop("lang").selectExpr("*", "cast(null as string) AS lang"), "doc_id", "text", "lang")
     assert {r.lang_pred for r in language.identify(frames.documents(spark), trees).collect()} == {"und"}
