@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import backoff, exact_dedup, folds, language, lexicon, licenses, near_dedup, packing, quality, vectors, warc
+from reviewmill.llm import (
+    backoff, collocations, exact_dedup, fingerprints, folds, language, lexicon, licenses, near_dedup, packing, quality, resampling,
+    vectors, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -143,3 +146,66 @@ FROM words w LEFT JOIN sums USING (doc_id)"""
 def _(spark, sf_dir):
     found = backoff.backoff_scores(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", *(F.round(c, 5).alias(c) for c in ("log_score", "mean_log_score")))
+
+
+RESAMPLED = """WITH polynomial AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+ list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+ FROM range(256) r(i)) x),
+words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+target AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+features AS MATERIALIZED (SELECT doc_id, unnest(w) AS f FROM words UNION ALL
+ SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+wanted AS (SELECT unnest(w) AS f FROM target UNION ALL
+ SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM target),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM features UNION SELECT f FROM wanted) x),
+hashed AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::UBIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000 AS b FROM bytes, polynomial),
+s AS (SELECT b, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM wanted JOIN hashed USING (f) GROUP BY b),
+gains AS (SELECT b.b, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM features) + 10000)) /
+  ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000))))::BIGINT AS gain
+ FROM range(10000) b(b) LEFT JOIN s ON s.b = b.b LEFT JOIN t ON t.b = b.b),
+sums AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+ FROM features JOIN hashed USING (f) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+ FROM words LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM scored WHERE able) * 25 // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+@query("op11_importance_resampling", RESAMPLED)
+def _(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+PHRASES = """WITH words AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+ SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents) x),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (
+ SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS p FROM words, range(1, 6) x(m)) y
+ GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, unnest([p[1 : len(p) - 1], p[2 :]]) AS p, f FROM counts WHERE len(p) > 2) x GROUP BY ALL),
+kept AS (SELECT c.* FROM counts c LEFT JOIN inner_ i ON i.lang = c.lang AND i.p = c.p WHERE len(c.p) > 1 AND (i.f IS NULL OR 100 * i.f < 100 * c.f)),
+cuts AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM kept),
+scored AS (SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.f AS a, k, x.f AS l, y.f AS r, n,
+ ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts c
+ JOIN counts x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1 :] JOIN size s ON s.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM lowest)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+@query("op12_phrase_collocations", PHRASES)
+def _(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_document_fingerprints")
+def _(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
