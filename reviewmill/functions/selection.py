@@ -30,19 +30,28 @@ class Cut:
     ties: int
 
 
-def _select_long(keys: DataFrame, name: str, rank: int, path: str | None = None) -> tuple[Cut, DataFrame]:
+def _select_long(
+    keys: DataFrame, name: str, rank: int, path: str | None = None, bounds: tuple[int, int] | None = None
+) -> tuple[Cut | None, DataFrame]:
     """The value of rank ``rank`` (from 0) in a non-null long column whose range is below 2^63, and the rows that have it.
 
-    With ``path`` the rows of the first winning bucket are settled there, and only those are read from then on.
+    Without ``bounds`` of the column a scan finds them. No cut if there are no rows after the rank. With ``path`` the rows
+    of the first winning bucket are settled there, and only those are read from then on.
     """
-    bounds = keys.agg(F.min(name).alias("lo"), F.max(name).alias("hi")).first()
-    low, high, before = bounds["lo"], bounds["hi"], 0
+    if not bounds:
+        found = keys.agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).first()
+        if found["n"] <= rank + 1 and path:
+            return None, keys
+        bounds = found["lo"], found["hi"]
+    (low, high), before = bounds, 0
     while True:
         width = (high - low) // FANOUT + 1
         bucket = F.expr(f"({name} - ({low}L)) div {width}L")
         counts = (
             keys.filter(F.col(name).between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
         )
+        if path and sum(row["n"] for row in counts) <= rank + 1:
+            return None, keys
         for b, n in sorted((row["b"], row["n"]) for row in counts):
             if before + n > rank:
                 break
@@ -54,12 +63,15 @@ def _select_long(keys: DataFrame, name: str, rank: int, path: str | None = None)
             return Cut(low, before, n), keys.filter(F.col(name) == low)
 
 
-def top_rows(df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column] | None = None) -> DataFrame:
+def top_rows(
+    df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column] | None = None, bounds: tuple[int, int] | None = None
+) -> DataFrame:
     """Exactly the first ``n`` rows in ascending order of the non-null long ``keys``.
 
     The keys are narrowed one after another to the key of the last row kept; the result is then a plain filter of
     ``df``. Rows that share all keys at the cut are ordered by a hash of the row, so the same ones are kept on every
-    run. The first histogram reads ``df``; only the keys of its winning bucket are settled, and deleted in the end.
+    run. With ``bounds`` of the first key, as hashes have them, ``df`` is read three times: for a histogram, for the keys of
+    its winning bucket, which are settled and deleted in the end, and for the result; else once more for the bounds.
     ``prune`` turns the cut of the first key into a condition on stored columns that kept rows meet, by which scans can
     skip row groups. The passes run when this is called.
     """
@@ -69,12 +81,12 @@ def top_rows(df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column
     keys = (*keys, F.shiftright(F.xxhash64(*hashed), 1))
     names = [f"key{i}" for i in range(len(keys))]
     open_keys = df.select(*(key.alias(name) for key, name in zip(keys, names)))
-    if open_keys.count() <= n:
-        return df
     path = new_path(df.sparkSession, "keys")
     kept, open_rows, wanted = F.lit(False), F.lit(True), n
     for i, (key, name) in enumerate(zip(keys, names)):
-        cut, open_keys = _select_long(open_keys, name, wanted - 1, path if i == 0 else None)
+        cut, open_keys = _select_long(open_keys, name, wanted - 1, *((path, bounds) if i == 0 else ()))
+        if cut is None:
+            return df
         if prune and i == 0:
             df = df.filter(prune(cut.value))
         kept = kept | (open_rows & (key < F.lit(cut.value)))
@@ -88,6 +100,9 @@ def top_rows(df: DataFrame, n: int, *keys: Column, prune: Callable[[int], Column
     return df.filter(kept) if not wanted else df.filter(kept).unionByName(df.filter(open_rows).limit(wanted))
 
 
+HASH_BOUNDS = 0, 2**60 - 1  # of ``hash_key``
+
+
 def hash_key(*columns: Column, seed: int | str) -> Column:
     """A 60-bit key from md5 of the columns and a seed: a repeatable random order."""
     digest = F.md5(F.concat_ws("|", *(c.cast("string") for c in columns), F.lit(str(seed))))

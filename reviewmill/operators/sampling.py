@@ -11,7 +11,7 @@ from reviewmill.operators import filters, joins
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """Exactly ``n`` rows in the order of a hash of key and seed: the same rows on every run and layout."""
-    return selection.top_rows(df, n, selection.hash_key(F.col(key), seed=seed), F.col(key))
+    return selection.top_rows(df, n, selection.hash_key(F.col(key), seed=seed), F.col(key), bounds=selection.HASH_BOUNDS)
 
 
 def labelling_candidates(reviews: DataFrame) -> DataFrame:

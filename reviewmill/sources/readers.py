@@ -24,7 +24,9 @@ def read_raw_reviews(
 
 def cap_rows(df: DataFrame, n: int | None, *columns: str) -> DataFrame:
     """At most ``n`` rows, the same ones on every run, chosen by a hash of ``columns``."""
-    return df if n is None else selection.top_rows(df, n, selection.hash_key(*map(F.col, columns), seed=0))
+    return df if n is None else selection.top_rows(
+        df, n, selection.hash_key(*map(F.col, columns), seed=0), bounds=selection.HASH_BOUNDS
+    )
 
 
 def epoch_millis(value: Column) -> Column:
