@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
 from reviewmill.operators import filters
+from reviewmill.session import settle
 
 DIMENSIONS = 384
 BLOCK_ROWS, TILE, CHUNK = 4096, 256, 1 << 14
@@ -23,14 +24,16 @@ SLACK = 1e-9  # above the rounding of the products
 def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS, precision: str = "float32") -> DataFrame:
     """Unit-length TF-IDF vectors of whole texts as ``vec``, for every row; a text without words has a zero vector.
 
-    A word's component is the start of its md5 modulo ``dims``, its weight ln((rows + 1) / (rows with it + 1)).
+    A word's component is the start of its md5 modulo ``dims``, its weight ln((rows + 1) / (rows with it + 1)). Texts are
+    read once: their components are settled as small numbers, from which weights and vectors are worked out. The other
+    columns travel with them, so keep only those that are needed.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({tx.WORD})"), F.lit(1))
     place = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("string"))
+    rows = settle(reviews.withColumn("_words", place), "terms")
     places = [str(i) for i in range(dims)]
     counter = CountVectorizerModel.from_vocabulary(places, inputCol="_words", outputCol="_tf")
     stages = [counter, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit")]
-    rows = reviews.withColumn("_words", place)
     vectors = Pipeline(stages=stages).fit(rows).transform(rows)
     return vectors.withColumn("vec", vector_to_array("_unit", precision)).drop("_words", "_tf", "_tfidf", "_unit")
 
@@ -45,10 +48,14 @@ def vector_records(vectors: DataFrame) -> DataFrame:
         tx.prefix(F.coalesce("title", F.lit("")), 200).alias("title"),
         tx.prefix(F.coalesce("text", F.lit("")), 500).alias("text"),
         "vec",
-        F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias("norm"),
+        length_of(F.col("vec")).alias("norm"),
     )
 
 
+def length_of(vec: Column) -> Column:
+    return F.sqrt(_dot(vec, vec))
+
+
 def _dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
@@ -77,49 +84,54 @@ def search(
 def search_many(records: DataFrame, queries: DataFrame, n: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, distance, position): the ``n`` nearest records of each query (query_id, vec), ties by id.
 
-    Queries and records are cut into hashed blocks of about ``block_rows`` rows. Every pair of blocks meets in one task,
-    which compares them in tiles and hands on at most ``n`` rows per query; the best of those are the result. Records and
-    queries without a finite length above 0 are left out. Distances are those of double precision.
+    Queries and records are cut into hashed blocks of about ``block_rows`` rows of one number of components. Every pair of
+    blocks meets in one task, which compares them in tiles and hands on at most ``n`` rows per query; the best of those are
+    the result. Vectors of different lengths are not compared. Records and queries without a finite length above 0 are left
+    out. Distances are those of double precision. ``vector_index`` answers the same with fewer comparisons.
     """
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    asked = _blocks(asked.withColumn("norm", F.sqrt(_dot(F.col("vec"), F.col("vec")))), "query", "long", block_rows)
-    stored = records.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"), "norm")
-    stored = _blocks(stored, "record", "string", block_rows)
+    key, kind = queries.schema["query_id"].dataType.simpleString(), records.schema["id"].dataType.simpleString()
+    asked = queries.select(F.col("query_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    asked = _blocks(asked.withColumn("norm", length_of(F.col("vec"))), "query", key, block_rows)
+    stored = records.select("id", F.col("vec").cast("array<double>").alias("vec"), "norm")
+    stored = _blocks(stored, "record", kind, block_rows)
     every = lambda side, other: side[0].withColumn(
         other[1], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other[2] - 1).cast("long")))
-    ).groupBy("query", "record")
+    ).groupBy("query", "record", "dims")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         numbers, asked = left["ids"].iloc[0], np.frombuffer(left["units"].iloc[0]).reshape(len(left["ids"].iloc[0]), -1)
         ids, units = right["ids"].iloc[0], np.frombuffer(right["units"].iloc[0]).reshape(len(right["ids"].iloc[0]), -1)
-        found = [_best(asked[low : low + TILE], units, n) for low in range(0, len(asked), TILE)]
+        found = [best_pairs(asked[low : low + TILE], units, n) for low in range(0, len(asked), TILE)]
         rows = np.concatenate([i + k * TILE for k, (i, _, _) in enumerate(found)])
         columns, distances = (np.concatenate([x[part] for x in found]) for part in (1, 2))
         return pd.DataFrame({"query_id": numbers[rows], "id": ids[columns], "distance": distances})
 
     queries_first, records_first = every(asked, stored), every(stored, asked)
-    found = queries_first.cogroup(records_first).applyInPandas(nearest, "query_id long, id string, distance double")
+    found = queries_first.cogroup(records_first).applyInPandas(nearest, f"query_id {key}, id {kind}, distance double")
     window = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n)
 
 
 def _blocks(rows: DataFrame, name: str, kind: str, block_rows: int) -> tuple[DataFrame, str, int]:
-    """Blocks of (id, vec, norm) as rows (``name``, ids, units), ids in order; ``name``; how many there are at most."""
-    rows = rows.filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    """Blocks of (id, vec, norm) as rows (``name``, dims, ids, units), ids in order; ``name``; how many there are at most."""
+    rows = rows.filter((F.col("norm") > 0) & (F.col("norm") < float("inf"))).withColumn("dims", F.size("vec"))
     blocks = max(1, -(-rows.count() // block_rows))
     rows = rows.withColumn(name, F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)))
 
     def store(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         units = np.stack(group["vec"].to_numpy()).astype(float) / group["norm"].to_numpy()[:, None]
-        return pd.DataFrame({name: [group[name].iloc[0]], "ids": [group["id"].to_numpy()], "units": [units.tobytes()]})
+        return pd.DataFrame({
+            name: [group[name].iloc[0]], "dims": [units.shape[1]], "ids": [group["id"].to_numpy()], "units": [units.tobytes()],
+        })
 
-    return rows.groupBy(name).applyInPandas(store, f"{name} long, ids array<{kind}>, units binary"), name, blocks
+    stored = rows.groupBy(name, "dims").applyInPandas(store, f"{name} long, dims int, ids array<{kind}>, units binary")
+    return stored, name, blocks
 
 
-def _best(asked: np.ndarray, units: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_pairs(asked: np.ndarray, units: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``asked``, row of ``units``, distance) of the ``n`` nearest of each, equal distances in the order of rows.
 
     The matrix product rounds equal vectors differently by their place, so what may be among the nearest is worked out again.
