@@ -233,3 +233,16 @@ def stub_label_client() -> Callable[[pd.DataFrame], pd.Series]:
         return "Labels: {" + joined + "}"
 
     return client
+
+
+def failing_label_client() -> Callable[[pd.DataFrame], pd.Series]:
+    """The stand-in, but it gives up at its third batch, as a client does that has used up its quota."""
+    inner, calls = stub_label_client(), []
+
+    def client(batch: pd.DataFrame) -> pd.Series:
+        calls.append(len(batch))
+        if len(calls) > 2:
+            raise RuntimeError("quota used up")
+        return inner(batch)
+
+    return client
