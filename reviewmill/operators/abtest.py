@@ -33,17 +33,19 @@ def compare(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:
     rows = evaluations.filter(F.col("asin").isNotNull())
     both = joins.scored_by_both(rows, base, tuned)
     measures = [f(m).alias(f"{p}_{m}") for m in METRICS for p, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
-    sides = both.groupBy("model_name").agg(F.count_distinct("asin").alias("common"), *measures)
+    sides = both.groupBy("model_name").agg(*measures)
     listed = ", ".join(f"'{m}', n_{m}, m_{m}, v_{m}" for m in METRICS)
-    long = sides.selectExpr("model_name", "common", f"stack({len(METRICS)}, {listed}) AS (metric, n, m, v)")
+    long = sides.selectExpr("model_name", f"stack({len(METRICS)}, {listed}) AS (metric, n, m, v)")
+    # counted beside the sums, not among them: a distinct count would make Spark group all of them by asin first
+    asins = joins.common_asins(rows, base, tuned).agg(F.count("*").alias("common_products"))
+    asins = asins.select("common_products", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
 
     def side(model: str, column: str) -> Column:
         return F.max(F.when(F.col("model_name") == model, F.col(column)))
 
     pairs = long.groupBy("metric").agg(
-        F.max("common").alias("common_products"),
         *(side(model, c).alias(p + c) for p, model in (("b", base), ("t", tuned)) for c in ("n", "m", "v")),
-    )
+    ).join(asins, "metric")
     freedom = F.col("bn") + F.col("tn") - 2
     spread = F.coalesce((F.col("bn") - 1) * F.col("bv"), F.lit(0.0)) + F.coalesce((F.col("tn") - 1) * F.col("tv"), F.lit(0.0))
     error = F.sqrt(F.try_divide(spread, freedom) * (1 / F.col("bn") + 1 / F.col("tn")))

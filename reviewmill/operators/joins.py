@@ -23,15 +23,17 @@ def not_done(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return rows.join(done.select(*keys), list(keys), "left_anti").select(rows.columns)
 
 
+def common_asins(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:
+    """The asins that both models scored, one row each."""
+    pair = evaluations.filter(F.col("model_name").isin(base, tuned))
+    seen = pair.groupBy("asin").agg(F.max(F.col("model_name") == base).alias("b"), F.max(F.col("model_name") == tuned).alias("t"))
+    return seen.filter("b AND t").select("asin")
+
+
 def scored_by_both(evaluations: DataFrame, base: str, tuned: str) -> DataFrame:
     """Evaluations of the two models, only for asins that both scored."""
     pair = evaluations.filter(F.col("model_name").isin(base, tuned))
-    both = (
-        pair.groupBy("asin")
-        .agg(F.max(F.col("model_name") == base).alias("b"), F.max(F.col("model_name") == tuned).alias("t"))
-        .filter("b AND t")
-    )
-    return pair.join(both.select("asin"), "asin", "left_semi").select(evaluations.columns)
+    return pair.join(common_asins(evaluations, base, tuned), "asin", "left_semi").select(evaluations.columns)
 
 
 def aligned_scores(evaluations: DataFrame, base: str, tuned: str, *criteria: str) -> DataFrame:
