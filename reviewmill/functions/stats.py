@@ -1,4 +1,4 @@
-"""Student-t tail probability for a handful of aggregated rows (Spark has no t distribution)."""
+"""Tail probabilities for a handful of aggregated rows: Student t, chi-square, normal, Kolmogorov (Spark has none)."""
 
 from __future__ import annotations
 
@@ -58,3 +58,34 @@ def t_upper_tail_column(t: pd.Series, df: pd.Series) -> pd.Series:
         [None if pd.isna(a) or pd.isna(b) else t_upper_tail(float(a), float(b)) for a, b in zip(t, df)],
         dtype="float64",
     )
+
+
+def chi_square_upper_tail(x: float, df: int) -> float:
+    """P(X > x) for chi-square with a whole number of degrees of freedom, by recurrence over them."""
+    if math.isnan(x) or df <= 0:
+        return math.nan
+    if math.isinf(x):
+        return 0.0
+    half = x / 2.0
+    if half <= 0:
+        return 1.0
+    order, tail = (0.5, math.erfc(math.sqrt(half))) if df % 2 else (1.0, math.exp(-half))
+    while order < df / 2.0:
+        tail += math.exp(order * math.log(half) - half - math.lgamma(order + 1.0))
+        order += 1.0
+    return min(1.0, tail)
+
+
+def normal_two_sided(z: float) -> float:
+    """P(|Z| > |z|)."""
+    return math.erfc(abs(z) / math.sqrt(2.0))
+
+
+def kolmogorov_upper_tail(x: float) -> float:
+    """P(K > x) for the limit distribution of the Kolmogorov statistic. Small x by the series that is quick there."""
+    if x <= 0:
+        return 1.0
+    if x < 1.18:
+        terms = (math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 20))
+        return max(0.0, 1.0 - math.sqrt(2 * math.pi) / x * sum(terms))
+    return 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))

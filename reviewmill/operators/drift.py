@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill import vocab
@@ -33,43 +33,55 @@ def with_window(features: DataFrame, first_current: datetime.date | None) -> Dat
 
 
 def column_drift(windowed: DataFrame, columns: list[str] = vocab.FEATURES, limit: float = DRIFT_LIMIT) -> DataFrame:
-    """Wasserstein distance between the two windows per column, over the reference deviation.
-
-    Rows are reduced to counts per distinct value. The running shares need an order over all values of a column, so
-    the counts are range-partitioned by (column, value), which no outlier and no frequent value can unbalance, and
-    settled. The totals of the parts, one row per column and part, give every part its starting share.
-    """
+    """Wasserstein distance between the two windows per column, over the reference deviation."""
     is_reference = F.col("window") == "reference"
-    stats = windowed.agg(
-        *(F.stddev_pop(F.when(is_reference, F.col(c))).alias(f"sd_{c}") for c in columns),
-        *(F.count(F.when(is_reference, F.col(c))).alias(f"r_{c}") for c in columns),
-        *(F.count(F.when(~is_reference, F.col(c))).alias(f"c_{c}") for c in columns),
-    ).first()
-    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
-    counts = (
-        windowed.selectExpr("window", f"stack({len(columns)}, {pairs}) AS (name, value)")
-        .filter("value IS NOT NULL")
-        .groupBy("name", "value")
-        .agg(F.count_if(is_reference).alias("r"), F.count_if(~is_reference).alias("c"))
+    row = windowed.agg(*(F.stddev_pop(F.when(is_reference, F.col(c))).alias(c) for c in columns)).first()
+    deviation = chain(columns, {c: row[c] or 0.0 for c in columns})
+    gaps = share_gaps(value_counts(windowed, columns))
+    distance = gaps.groupBy("name").agg(F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)).alias("distance"))
+    score = F.col("distance") / F.greatest(deviation, F.lit(MIN_DEVIATION))
+    return distance.select(
+        F.col("name").alias("column_name"), score.alias("drift_score"), (score >= limit).alias("drift_detected"),
+        F.lit(METHOD).alias("stattest"),
     )
 
-    def per_column(key: str):
-        chain = F.when(F.lit(False), F.lit(None).cast("double"))
-        for c in columns:
-            chain = chain.when(F.col("name") == c, F.lit(float(stats[f"{key}_{c}"] or 0.0)))
-        return chain
 
+def chain(columns: list[str], values: dict[str, float]) -> Column:
+    """The value of the column that the row names."""
+    found = F.when(F.lit(False), F.lit(None).cast("double"))
+    for c in columns:
+        found = found.when(F.col("name") == c, F.lit(float(values[c])))
+    return found
+
+
+def value_counts(windowed: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
+    """(name, value, r, c): how often each value occurs in the reference and the current window, nulls left out."""
+    is_reference = F.col("window") == "reference"
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS {kind})" for c in columns)
+    stacked = windowed.selectExpr("window", f"stack({len(columns)}, {pairs}) AS (name, value)").filter("value IS NOT NULL")
+    return stacked.groupBy("name", "value").agg(F.count_if(is_reference).alias("r"), F.count_if(~is_reference).alias("c"))
+
+
+def share_gaps(counts: DataFrame) -> DataFrame:
+    """(name, value, gap, step): by how much the shares of values up to this one differ, and the distance to the next value.
+
+    The running shares need an order over all values of a column, so the counts are range-partitioned by (name, value), which
+    no outlier and no frequent value can unbalance, and settled. The totals of the parts, one row per column and part, give
+    every part its starting share.
+    """
     cells = settle(counts.repartitionByRange("name", "value").withColumn("cell", F.spark_partition_id()), "drift")
     totals = cells.groupBy("name", "cell").agg(
         F.sum("r").alias("cell_r"), F.sum("c").alias("cell_c"), F.min("value").alias("first_value")
     )
-    along = Window.partitionBy("name").orderBy("cell")
+    along, every = Window.partitionBy("name").orderBy("cell"), Window.partitionBy("name")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "name",
         "cell",
         F.coalesce(F.sum("cell_r").over(before), F.lit(0)).alias("start_r"),
         F.coalesce(F.sum("cell_c").over(before), F.lit(0)).alias("start_c"),
+        F.sum("cell_r").over(every).alias("all_r"),
+        F.sum("cell_c").over(every).alias("all_c"),
         F.lead("first_value").over(along).alias("next_cell_value"),
     )
     inside = Window.partitionBy("name", "cell").orderBy("value")
@@ -80,16 +92,9 @@ def column_drift(windowed: DataFrame, columns: list[str] = vocab.FEATURES, limit
         .withColumn("next_value", F.lead("value").over(inside))
         .join(starts, ["name", "cell"])
     )
-    share_gap = F.abs(
-        (F.col("start_r") + F.col("sum_r")) / per_column("r") - (F.col("start_c") + F.col("sum_c")) / per_column("c")
-    )
+    share = lambda side: (F.col(f"start_{side}") + F.col(f"sum_{side}")) / F.nullif(F.col(f"all_{side}"), F.lit(0))
     step = F.coalesce("next_value", "next_cell_value") - F.col("value")
-    distance = placed.groupBy("name").agg(F.coalesce(F.sum(share_gap * step), F.lit(0.0)).alias("distance"))
-    score = F.col("distance") / F.greatest(per_column("sd"), F.lit(MIN_DEVIATION))
-    return distance.select(
-        F.col("name").alias("column_name"), score.alias("drift_score"), (score >= limit).alias("drift_detected"),
-        F.lit(METHOD).alias("stattest"),
-    )
+    return placed.select("name", "value", F.abs(share("r") - share("c")).alias("gap"), step.alias("step"))
 
 
 def drift_summary(columns: DataFrame, limit: float = DATASET_LIMIT) -> DataFrame:
