@@ -11,29 +11,55 @@ from reviewmill import vocab
 from reviewmill.functions import text as tx
 from reviewmill.operators import aggregates, helpfulness, rootcause
 
-SENTENCES = [
-    "My BATTERY: died, 2 months in!",
-    "bluetooth? It keeps disconnecting.",
-    "A loose cable; the charger won't charge",
-    "laggy keyboard / slow trackpad",
-    "Nothing to complain about here.",
-]
-
-
 def extract(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     found = rows.select("i", tx.entities(F.col("text")).alias("e")).orderBy("i").collect()
     return [r["e"].asDict() for r in found]
 
 
-def test_known_sentences(spark):
-    found = extract(spark, SENTENCES)
-    assert all(set(f) == {"components", "issues", "time_refs"} for f in found)
-    assert found[0] == {"components": ["battery"], "issues": ["died"], "time_refs": ["2 months"]}
-    assert found[1]["components"] == ["bluetooth"] and found[1]["issues"] == ["keeps disconnecting"]
-    assert found[2]["components"] == ["cable", "charger"] and found[2]["issues"] == ["loose", "won't charge"]
-    assert found[3]["components"] == ["keyboard", "trackpad"] and found[3]["issues"] == ["laggy", "slow"]
-    assert found[4] == {"components": [], "issues": [], "time_refs": []}
+EMPTY = {"components": [], "issues": [], "time_refs": []}
+
+
+def test_every_phrase_is_found_alone_between_signs_and_in_capitals(spark):
+    cases = [("components", p) for p in vocab.COMPONENTS] + [("issues", p) for p in vocab.ISSUES]
+    found = extract(spark, [f"({p.upper()})/{p};" for _, p in cases])
+    for (kind, phrase), got in zip(cases, found):
+        assert got[kind] == [phrase] and got["time_refs"] == []
+
+
+def test_the_longest_phrase_at_a_place_wins(spark):
+    cases = [(long, short) for long in vocab.ISSUES for short in vocab.ISSUES if long != short and long.startswith(short + " ")]
+    cases += [("dead pixels", "dead"), ("short battery life", "short")]
+    for (long, short), got in zip(cases, extract(spark, [f"x {long} x" for long, _ in cases])):
+        assert long in got["issues"] and short not in got["issues"]
+    both = extract(spark, [f"{short}, {long}" for long, short in cases])
+    assert all({long, short} & set(vocab.ISSUES) <= set(got["issues"]) for (long, short), got in zip(cases, both))
+
+
+def test_parts_of_words_are_no_phrases(spark):
+    cases = [("components", p) for p in vocab.COMPONENTS] + [("issues", p) for p in vocab.ISSUES]
+    found = extract(spark, [text for _, p in cases for text in (f"q{p}", f"{p}q")])
+    assert not any(p in got[kind] for i, (kind, p) in enumerate(cases) for got in found[2 * i : 2 * i + 2])
+    dashed = extract(spark, [f"un-{p}-like" for p in vocab.COMPONENTS])
+    assert all(p in got["components"] for p, got in zip(vocab.COMPONENTS, dashed))
+
+
+def test_results_are_sorted_without_repeats(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        chosen = [str(p) for p in rng.choice(vocab.COMPONENTS, 12)]
+        got = extract(spark, [" | ".join(chosen)])[0]
+        assert got == {"components": sorted(set(chosen)), "issues": [], "time_refs": []}
+
+
+def test_amounts_of_time(spark):
+    units = [u + s for u in vocab.TIME_UNITS for s in ("", "s")]
+    found = extract(spark, [f"{i} {u}, {i}{u}, a {u}, x{i} {u}" for i, u in enumerate(units)])
+    assert [got["time_refs"] for got in found] == [[f"{i} {u}"] for i, u in enumerate(units)]
+
+
+def test_texts_without_anything(spark):
+    assert extract(spark, ["", None, " ", "all went well", "0123456789"]) == [EMPTY] * 5
 
 
 def test_accented_letters_belong_to_words(spark):
@@ -45,17 +71,6 @@ def test_accented_letters_belong_to_words(spark):
     assert words == {"café", "éfan", "über", "l'eau", "日本"}
 
 
-def test_quality_and_shipping_sentences(spark):
-    found = extract(
-        spark,
-        ["", None, "No trouble so far.", "Garbage! Such a waste of money", "flimsy charger, battery died", "missing parts, arrived damaged"],
-    )
-    assert found[0] == found[1] == found[2] == {"components": [], "issues": [], "time_refs": []}
-    assert found[3]["issues"] == ["garbage", "waste of money"]
-    assert found[4] == {"components": ["battery", "charger"], "issues": ["died", "flimsy"], "time_refs": []}
-    assert found[5]["issues"] == ["arrived damaged", "missing parts"]
-
-
 def test_whole_words_against_substrings(spark):
     rows = spark.createDataFrame([("I returned it; returning is easy. CRACKED! wi-fi",)], "text string")
     row = rows.select(
