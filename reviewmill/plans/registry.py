@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from reviewmill.functions import jsontext as js
 from reviewmill.functions import selection
 from reviewmill.functions import text as tx
 from reviewmill.operators import (
-    abtest, aggregates, anomaly, drift, filters, helpfulness, joins, listing, model_calls, product_features, ranking,
-    rootcause, sampling, search, sets,
+    abtest, aggregates, anomaly, call_ledger, drift, drift_tests, filters, helpfulness, joins, latent, listing, model_calls,
+    product_features, ranking, refresh, rootcause, sampling, search, sets, sketches, vector_index,
 )
 from reviewmill.plans.driver_views import Tables, extract, present, quoted, with_views
 from reviewmill.sources import readers, writers
@@ -256,6 +257,15 @@ def _(t):
     return t.spark.read.schema(schemas.PRODUCT_FEATURES).parquet(path).select("asin", "date", *vocab.FEATURES)
 
 
+@query("snk05_refresh_features", FEATURE_ROWS)
+def _(t):
+    path, late = t.path("refreshed-features"), t.reviews.filter("rating <= 2")
+    first = t.reviews.filter("rating > 2 OR rating IS NULL")
+    writers.replace_features(product_features.with_entity_json(product_features.product_features(first)), path)
+    refresh.refresh_features(t.spark, path, t.reviews, late)
+    return t.spark.read.schema(schemas.PRODUCT_FEATURES).parquet(path).select("asin", "date", *vocab.FEATURES)
+
+
 ALERT_ROWS = "SELECT product_id, alert_type, severity, detected_at, details FROM alerts"
 
 
@@ -518,6 +528,25 @@ def _(t):
     return t.spark.createDataFrame([values], "p95 double, p50 double, p999 double")
 
 
+# Sketches are not the same in every run; the check states how many values they have and that the ranks are within the bound.
+@query("agg17_sketched_percentiles", """SELECT part, fraction, CAST(count(*) AS BIGINT) AS n, TRUE AS within FROM scored,
+ (SELECT unnest(['all', 'all', 'all', 'first month']) AS part, unnest([0.05, 0.5, 0.95, 0.95]) AS fraction) f
+ WHERE part = 'all' OR date <= (SELECT min(date) FROM scored) + INTERVAL 30 DAY GROUP BY part, fraction""")
+def _(t):
+    path = t.path("score-sketches")
+    sketches.refresh(t.spark, path, t.scores, "anomaly_score")
+    stored, first = t.spark.read.parquet(path), t.scores.agg(F.min("date")).first()[0]
+    found = []
+    for part, last, fractions in (("all", None, [0.05, 0.5, 0.95]), ("first month", first + datetime.timedelta(30), [0.95])):
+        rows = sketches.in_range(t.scores, None, last).select("anomaly_score")
+        for row in sketches.quantiles(stored, fractions, None, last).collect():
+            below = F.avg((F.col("anomaly_score") < row["value"]).cast("double")) - row["fraction"]
+            up_to = row["fraction"] - F.avg((F.col("anomaly_score") <= row["value"]).cast("double"))
+            off = rows.agg(F.greatest(below, up_to).alias("off")).select((F.col("off") <= sketches.rank_error()).alias("within"))
+            found.append(off.select(F.lit(part).alias("part"), F.lit(row["fraction"]).alias("fraction"), F.lit(row["n"]).alias("n"), "within"))
+    return sets.union_all(*found)
+
+
 @query("agg18_review_input_counts", "SELECT asin, count(*) AS shown, count(*) FILTER (WHERE rating <= 2) AS negative, count(*) FILTER (WHERE rating >= 4) AS positive FROM reviews GROUP BY asin")
 def _(t):
     return aggregates.review_input_counts(t.reviews)
@@ -753,12 +782,7 @@ def _(t):
 # Tables around model calls
 
 
-@query("mcl01_label_requests", f"SELECT id, {quoted(model_calls.LABEL_SYSTEM)} AS system, substr(text, 1, 1000) AS \"user\" FROM ({_hash(42, NEGATIVE, 3000, 'id, text')}) s")
-def _(t):
-    return model_calls.label_requests(sampling.negative_sample(t.reviews, 3_000))
-
-
-@query("mcl01_all_label_requests", f"SELECT id, {quoted(model_calls.LABEL_SYSTEM)} AS system, substr(text, 1, 1000) AS \"user\" FROM ({NEGATIVE}) s")
+@query("mcl01_label_requests", f"SELECT id, {quoted(model_calls.LABEL_SYSTEM)} AS system, substr(text, 1, 1000) AS \"user\" FROM ({NEGATIVE}) s")
 def _(t):
     return model_calls.label_requests(sampling.labelling_candidates(t.reviews))
 
@@ -836,13 +860,24 @@ def _(t):
     return sampling.with_split(model_calls.tuning_texts(_pairs(t)), "asin", train=90, validation=10)
 
 
-@query("mcl09_run_client", "SELECT id, " + ", ".join(f"CAST(contains(lower(substr(text, 1, 1000)), {quoted(p[0])}) AS INTEGER) AS {c}" for c, p in vocab.RULES_V1.items())
-       + f" FROM ({NEGATIVE}) s")
+STUB_LABELS = "SELECT id, " + ", ".join(
+    f"CAST(contains(lower(substr(text, 1, 1000)), {quoted(p[0])}) AS INTEGER) AS {c}" for c, p in vocab.RULES_V1.items()
+) + f" FROM ({NEGATIVE}) s"
+
+
+@query("mcl09_run_client", STUB_LABELS)
 def _(t):
     requests = model_calls.label_requests(sampling.labelling_candidates(t.reviews))
     return model_calls.parse_labels(model_calls.call_model(requests, model_calls.stub_label_client))
 
 
+@query("mcl09_resumed_client", STUB_LABELS)
+def _(t):
+    requests, ledger = model_calls.label_requests(sampling.labelling_candidates(t.reviews)), t.path("call-ledger")
+    call_ledger.answer(requests, model_calls.failing_label_client, ledger)
+    return model_calls.parse_labels(call_ledger.answer(requests, model_calls.stub_label_client, ledger))
+
+
 # Quality, models and decisions
 
 
@@ -1013,15 +1048,33 @@ def _(t):
     return search.search(search.vector_records(t.vectors), probe, 10, 2.0, 5.0)
 
 
-@query("ml13_batch_search", """SELECT query_id, id, distance, position FROM (SELECT q.vec_id AS query_id, 'rev_' || v.id AS id,
+# Latent vectors differ by rounding between fits; the check states how many components and which length each has.
+@query("ml12_latent_vectors", """SELECT id, 64 AS dimensions, CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_'']') THEN 1.0 ELSE 0.0 END AS length FROM reviews""", 6)
+def _(t):
+    found = latent.latent_vectors(t.reviews.select("id", "text"))
+    length = F.sqrt(F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
+    return found.select("id", F.size("vec").cast("long").alias("dimensions"), length.alias("length"))
+
+
+BATCH_SEARCH = """SELECT query_id, id, distance, position FROM (SELECT q.vec_id AS query_id, 'rev_' || v.id AS id,
  round(1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS distance, row_number() OVER (PARTITION BY q.vec_id
  ORDER BY 1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 'rev_' || v.id) AS position
- FROM vectors v, embeddings q WHERE q.vec_id % 100 = 0) x WHERE position <= 10""")
+ FROM vectors v, embeddings q WHERE q.vec_id % 100 = 0) x WHERE position <= 10"""
+
+
+@query("ml13_batch_search", BATCH_SEARCH)
 def _(t):
     asked = t.source("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     return search.search_many(search.vector_records(t.vectors), asked, 10).withColumn("position", F.col("position").cast("long"))
 
 
+@query("ml13_index_search", BATCH_SEARCH)
+def _(t):
+    index = vector_index.build(search.vector_records(t.vectors), path=t.path("vector-index"))
+    asked = t.source("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return vector_index.search_index(index, asked, 10).withColumn("position", F.col("position").cast("long"))
+
+
 AB_SIDES = ", ".join(
     f"avg({m}) FILTER (WHERE model_name = '{n}') AS {s}m_{m}, var_samp({m}) FILTER (WHERE model_name = '{n}') AS {s}v_{m}"
     for m in abtest.METRICS for s, n in (("b", "base"), ("t", "tuned_v1"))
@@ -1107,6 +1160,34 @@ def _(t):
     return _drift(t)
 
 
+def _gap_sql(column: str) -> str:
+    return _drift_sql(column).replace("sum(abs(r / nr - c / nc) * step) / greatest(any_value(sd), 0.001) AS drift_score", "max(abs(r / nr - c / nc)) AS gap, sqrt(any_value(nr * nc / (nr + nc))) AS root")
+
+
+# The day of the week stands for a column of texts.
+WEEKDAYS = f"""SELECT r, c, sum(r) OVER () AS nr, sum(c) OVER () AS nc FROM (SELECT dayofweek(date) AS v, count(*) FILTER (WHERE date < {SPLIT_DATE}) AS r,
+ count(*) FILTER (WHERE date >= {SPLIT_DATE}) AS c FROM features GROUP BY 1) a"""
+GAPS = " UNION ALL ".join(_gap_sql(c) for c in vocab.FEATURES)
+
+
+def _tests(t: Tables, small_rows: int) -> DataFrame:
+    windowed = drift.with_window(t.features, drift.split_date(t.features)).withColumn("weekday", F.date_format("date", "E"))
+    return drift_tests.column_tests(windowed, vocab.FEATURES, ["weekday"], small_rows).drop("drift_score")
+
+
+@query("ml16_tests_for_small_tables", f"""SELECT column_name, stattest, round(statistic, 6) AS statistic, drift_detected FROM (SELECT column_name, 'K-S p_value' AS stattest, gap AS statistic,
+ 2 * list_sum(list_transform(range(1, 400), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * power(greatest(root * gap, 0.04), 2)))) < 0.05 AS drift_detected FROM ({GAPS}) g
+ UNION ALL SELECT 'weekday', 'chi-square p_value', sum(power(c - r * nc / nr, 2) / (r * nc / nr)), sum(power(c - r * nc / nr, 2) / (r * nc / nr)) > 12.591587243743977 FROM ({WEEKDAYS}) w) x""", SCORE_DIGITS)
+def _(t):
+    return _tests(t, 10**15)
+
+
+@query("ml16_tests_for_large_tables", f"""SELECT column_name, 'Wasserstein distance (normed)' AS stattest, drift_score >= 0.1 AS drift_detected FROM ({DRIFT}) d
+ UNION ALL SELECT 'weekday', 'Jensen-Shannon distance', sqrt(sum(r / nr * ln(r / nr / m) + c / nc * ln(c / nc / m)) / 2) >= 0.1 FROM (SELECT *, (r / nr + c / nc) / 2 AS m FROM ({WEEKDAYS}) w) x""")
+def _(t):
+    return _tests(t, 0).drop("statistic")
+
+
 @query("snk10_drift_summary", f"""SELECT count(*) FILTER (WHERE drift_score >= 0.1) / count(*) >= 0.5 AS dataset_drift_detected, 0.5 AS drift_threshold, count(*) AS total_columns,
  count(*) FILTER (WHERE drift_score >= 0.1) AS drifted_columns, count(*) FILTER (WHERE drift_score >= 0.1) / count(*) AS drift_share,
  string_agg(column_name, '; ' ORDER BY drift_score DESC) AS columns FROM ({DRIFT}) d""")
