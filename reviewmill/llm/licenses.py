@@ -35,11 +35,41 @@ NOTICES = (
     ("creative commons attribution", "cc-by"),
     ("released into the public domain", "public-domain"),
     ("all rights reserved", "all-rights-reserved"),
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit"),
+    ("you may not use this file except in compliance with the license", "apache"),
+    ("this program is free software you can redistribute it and or modify it under the terms", "gpl"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("creative commons zero", "cc0"),
+    ("cc0 1 0 universal", "cc0"),
+    ("the artistic license", "artistic"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("sil open font license", "ofl"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("microsoft public license", "ms-pl"),
 )
 CHARACTERS_PER_EDIT = 10
 SPAN = "struct<label:string,notice:string,edits:int,first_word:bigint,last_word:bigint>"
 
 
+class WordNumbers:
+    """Numbers of the words of a line by position. Asked in ascending order it counts every part of the line once."""
+
+    def __init__(self, line: str):
+        self.line, self.at, self.number = line, 0, 0
+
+    def __call__(self, at: int) -> int:
+        if at < self.at:
+            self.at = self.number = 0
+        self.number += self.line.count(" ", self.at, at)
+        self.at = at
+        return self.number
+
+
 def edits_for(notice: str) -> int:
     return max(1, len(notice) // CHARACTERS_PER_EDIT)
 
@@ -77,9 +107,9 @@ class Scanner:
         """First words of all places of base phrases, and their labels."""
         line, starts, labels = f" {words} ", [], set()
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, number = line.find(phrase), WordNumbers(line)
             while at >= 0:
-                starts.append(line.count(" ", 0, at))
+                starts.append(number(at))
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         return starts, labels
@@ -108,10 +138,11 @@ class Scanner:
         spans = []
         for number in sorted(windows):
             text, label, _, pattern = self.notices[number]
+            place = WordNumbers(words)
             for low, high in windows[number]:
                 for match in pattern.finditer(words, low, high):
                     inner = match.group().strip(" ")
-                    first = words.count(" ", 0, match.start() + match.group().index(inner))
+                    first = place(match.start() + match.group().index(inner))
                     spans.append(
                         {"label": label, "notice": text, "edits": sum(match.fuzzy_counts), "first_word": first, "last_word": first + inner.count(" ")}
                     )

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from reviewmill.llm import licenses
 from tests.llm import frames
@@ -50,3 +51,15 @@ def test_edits_and_spans():
 
 def test_empty_table(spark):
     assert licenses.scan(frames.empty(spark)).collect() == []
+
+
+def test_a_text_of_ten_million_characters():
+    """Word numbers of thousands of places are found in one walk through the text."""
+    scanner, began = licenses.Scanner(), time.monotonic()
+    words = "mit license " * 870_000 + "end"
+    starts, labels = scanner.exact(words)
+    assert starts == list(range(0, 1_740_000, 2)) and labels == {"mit"}
+    words = ("lorem ipsum dolor sit amet " * 1000 + "relased under the mit licence ") * 360
+    spans = scanner.fuzzy(words.strip())
+    assert [s["first_word"] for s in spans] == [5000 + 5005 * i for i in range(360)] and {s["edits"] for s in spans} == {2}
+    assert time.monotonic() - began < 60
