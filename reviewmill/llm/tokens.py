@@ -12,6 +12,7 @@ import unicodedata
 
 import numpy as np
 import tiktoken
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 # Fixed value: how byte-level vocabularies split a text.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,16 +76,36 @@ class WordSplitter:
     """Words of texts as the word-level vocabulary splits them: NFC, lower case, white space dropped.
 
     The classes of the pattern are spelled out for the characters that occur, as the standard library's regular
-    expressions have no classes by category.
+    expressions have no classes by category. Texts with characters that its tables do not have yet, for which the tokenizers
+    library may have classes and lower case, are normalised and split by that library.
     """
 
     ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed value
 
     def __init__(self):
         self.chars: frozenset[str] = frozenset()
+        self.raw: frozenset[str] = frozenset()
+        self.newer: frozenset[str] = frozenset()
         self.find = re.compile(self.ENDINGS).findall
+        self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        pattern = Regex(self.ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = pre_tokenizers.Split(pattern, "removed", invert=True).pre_tokenize_str
 
     def __call__(self, texts: list[str]) -> list[list[str]]:
+        raw = frozenset().union(*texts)
+        if not raw <= self.raw:
+            self.newer |= {c for c in raw - self.raw if unicodedata.category(c) == "Cn"}
+            self.raw |= raw
+        if raw & self.newer:
+            rare = [not self.newer.isdisjoint(t) for t in texts]
+            plain = iter(self._known([t for t, new in zip(texts, rare) if not new]))
+            return [self._newer(t) if new else next(plain) for t, new in zip(texts, rare)]
+        return self._known(texts)
+
+    def _newer(self, text: str) -> list[str]:
+        return [word for word, _ in self.split(self.normalise(text))]
+
+    def _known(self, texts: list[str]) -> list[list[str]]:
         plain = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
         chars = frozenset().union(*plain)
         if not chars <= self.chars:
