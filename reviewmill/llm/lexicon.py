@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,14 +169,17 @@ def build(words: list[str], vocabulary: str) -> Transducer:
 
 
 def publish(docs: DataFrame, lexicon: Transducer) -> str:
-    """Write the lexicon to the shared folder and hand it to all workers; returns its file name there."""
+    """Write the lexicon to the shared folder and hand it to all workers; returns its file name there.
+
+    The driver writes by Hadoop's file system, and Spark copies the file, so any store that Spark knows will do.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "lexicon") + ".bin"
     uri = path if ":" in path.split("/")[0] else f"file://{path}"
-    files, place = pafs.FileSystem.from_uri(uri)
-    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(place) as stream:
-        stream.write(lexicon.to_bytes())
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(lexicon.to_bytes())
+    stream.close()
     spark.sparkContext.addFile(uri)
     return uri.rsplit("/", 1)[1]
 

@@ -156,8 +156,18 @@ def id_of(value: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
+def arrow_uri(uri: str) -> str:
+    """``uri`` as pyarrow names it: Spark's schemes of S3 are one there, and DBFS is a mounted folder."""
+    scheme, mark, rest = uri.partition(":")
+    if mark and scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    return "file:///dbfs/" + rest.lstrip("/") if mark and scheme == "dbfs" else uri
+
+
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The file system and path of a URI. Tasks write and read archives themselves, by pyarrow: file, s3 (s3a, s3n), gs, abfs,
+    abfss and dbfs URIs work as they are, hdfs and viewfs where the workers have libhdfs."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def with_roles(pages: DataFrame, key: str, payload: str, min_bytes: int = 0) -> DataFrame:

@@ -90,3 +90,16 @@ def test_every_token_is_what_its_bytes_merge_to():
 def test_frequent_words_of_all_documents(spark):
     rows = [(i, "common words " + ("rare" if i == 7 else "")) for i in range(30)]
     assert lexicon.frequent_words(frames.documents(spark, rows), "text", 2) in (["common", "words"], ["words", "common"])
+
+
+def test_words_of_every_code_point():
+    """Newer letters too, which the standard library's tables do not have; code points that no table has go in one text."""
+    tokenizer, merge = library(), tokens.WordMerger(PATH)
+    for low in range(0, 0x110000, 0x1000):
+        signs = [chr(c) for c in range(low, low + 0x1000) if not 0xD800 <= c < 0xE000]
+        texts = [f"a{c}b {c}É" for c in signs]
+        if 0x40000 <= low < 0xE0000:
+            texts = [" ".join(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+        split = tokens.WordSplitter()(texts)
+        for text, words, wanted in zip(texts, split, tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert [i for w in words for i in merge(w)] == wanted.ids, ascii(text[:9])

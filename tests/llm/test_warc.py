@@ -92,3 +92,11 @@ def test_listing_a_folder(spark, tmp_path):
     (tmp_path / "x.warc.zst").write_bytes(zstandard.ZstdCompressor().compress(record(9)))
     found = warc.read_archives(warc.list_archives(spark, str(tmp_path))).collect()
     assert [r.page_id for r in found] == [9]
+
+
+def test_schemes_that_spark_and_pyarrow_name_differently():
+    assert warc.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.arrow_uri("dbfs:/a/b") == "file:///dbfs/a/b"
+    for uri in ("file:///a/b", "hdfs://host/a", "gs://bucket/a", "/plain/path"):
+        assert warc.arrow_uri(uri) == uri
+    assert warc.open_uri("dbfs:/a/b")[1] == "/dbfs/a/b"
+    assert warc.open_uri("s3a://bucket/a/b?region=us-east-1")[1] == "bucket/a/b"
