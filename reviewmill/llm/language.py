@@ -3,8 +3,10 @@
 For each language a context tree of bytes up to ``DEPTH`` is counted on a bounded sample and then frozen. A byte's
 probability in a context follows method C: seen symbols share total / (total + distinct) by their counts, the rest escapes
 to the next shorter context, without the symbols already seen (exclusion); after the empty context all symbols are equally
-likely. As the statistics are frozen, the code length of every (context, byte) is worked out once, and a text's exact code
-length in a language is the sum over its bytes. The language with the shortest code wins.
+likely. A context that the samples of all languages together hold fewer than ``LEAST_SEEN`` times has no node of its own: what
+follows it once says little, and such contexts are most of a tree. As the statistics are frozen, the code length of every
+(context, byte) is worked out once, and a text's exact code length in a language is the sum over its bytes. The language with
+the shortest code wins.
 
 Texts are compared in lower case, with anything but letters read as one space, so digits and signs carry no weight.
 """

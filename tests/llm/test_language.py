@@ -28,11 +28,15 @@ def chance(grams, alphabet, name, context, symbol, least_seen=1):
         if context is None:
             return {s: 1 / 256 for s in every}
         shorter = spread(context[1:] if context else None)
-        at = {}
+        at, seen = {}, 0
         for (label, gram), n in grams.items():
             data = gram.to_bytes(language.DEPTH + 1)
-            if label == name and data[: language.DEPTH].endswith(context):
-                at[data[-1]] = at.get(data[-1], 0) + n
+            if data[: language.DEPTH].endswith(context):
+                seen += n  # in any language
+                if label == name:
+                    at[data[-1]] = at.get(data[-1], 0) + n
+        if context and seen < least_seen:
+            return shorter
         total = sum(at.values())
         if not total:
             return shorter
@@ -46,10 +50,11 @@ def chance(grams, alphabet, name, context, symbol, least_seen=1):
     return spread(context)[symbol if symbol in alphabet else None]
 
 
-def test_lengths_equal_the_definition():
+@pytest.mark.parametrize("least_seen", [1, language.LEAST_SEEN, 3])
+def test_lengths_equal_the_definition(least_seen):
     texts = {"a": ["banana band", "ban"], "b": ["anna nab", "bab abba"]}
     frame = count(texts)
-    trees = language.ContextTrees(frame, least_seen=1)
+    trees = language.ContextTrees(frame, least_seen=least_seen)
     grams = {(r.label, r.gram): r.n for r in frame.itertuples()}
     alphabet = {b for g in frame["gram"] for b in g.to_bytes(4)}
     lines = [b"ban", b"nab xanb", b"", b"z"]
@@ -58,7 +63,7 @@ def test_lengths_equal_the_definition():
         data = language.PAD + line
         for name, bits in zip(trees.languages, row):
             exact = -sum(
-                math.log2(chance(grams, alphabet, name, data[i - language.DEPTH : i], data[i])) for i in range(language.DEPTH, len(data))
+                math.log2(chance(grams, alphabet, name, data[i - language.DEPTH : i], data[i], least_seen)) for i in range(language.DEPTH, len(data))
             )
             assert bits == pytest.approx(exact, rel=1e-5)
 
