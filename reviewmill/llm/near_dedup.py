@@ -13,11 +13,10 @@ joins them into stars, so pairs of a group never become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,6 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, TOLERANCE, STEP = 32, 4, 1e-6, 16
 BUCKET_ROWS, GROUP_GRAMS, CELLS = 256, 1 << 17, 128
 BLOCK_BYTES, CHUNK = 4 << 20, 1 << 15
-FILTER_BITS = 1 << 26
 
 
 def word_kinds() -> np.ndarray:
@@ -46,7 +44,7 @@ def least_equal(n: int, threshold: float, tolerance: float) -> int:
     """The fewest equal values among n with which the chance to reach the threshold is not below ``tolerance``."""
     chance = 0.0
     for m in range(n + 1):
-        chance += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        chance += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         if chance >= tolerance:
             return m
     return n
@@ -191,23 +189,15 @@ def survivors(band: int, block: np.ndarray | None, values: np.ndarray, least: np
 def verified_links(docs: DataFrame, key: str, text: str, members: DataFrame, words: int, threshold: float, group_grams: int) -> DataFrame:
     """(id, links, root) of the pairs in a group whose sets really reach the threshold; partial counts and stars.
 
-    ``members``: (id, component, size, grams). The sets are worked out again for them alone: a bitmap of hashed ids of
-    fixed size lets only those texts, and few others, out of the scan; the join removes the others.
+    ``members``: (id, component, size, grams). Their sets are worked out again from their texts, which are joined by id.
+    A group of more than ``group_grams`` n-grams is cut into blocks by the size of the sets: sets of one class of sizes meet,
+    and those of neighbouring classes; others differ too much in size to reach the threshold.
     """
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words_of_bits = members.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words_of_bits.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect():  # at most FILTER_BITS / 64 rows
-        bitmap[row["word"]] = row["bits"]
-    known = spark.sparkContext.broadcast(bitmap)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = GramSets(words)
         for batch in batches:
-            place = batch.column(1).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((known.value[place >> 6] >> (place & 63) & 1).astype(bool)))
-            data, offsets = flat(batch.column(2))
+            data, offsets = flat(batch.column(1))
             for first, last in ranges(offsets, BLOCK_BYTES):
                 part = offsets[first : last + 1]
                 ids = batch.column(0).slice(first, last - first)
@@ -215,13 +205,29 @@ def verified_links(docs: DataFrame, key: str, text: str, members: DataFrame, wor
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], ["id", "set"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    sets = rows.select("id", bit.alias("place"), "text").mapInArrow(sets_of, "id long, set binary")
-    totals = members.groupBy("component").agg(F.ceil(F.sum("grams") / group_grams).cast("int").alias("blocks"))
-    grouped = members.join(totals, "component")
+    sets = rows.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, set binary")
+    totals = members.groupBy("component").agg((F.sum("grams") > group_grams).alias("large"))
+    # sets with sizes a <= b reach the threshold only if a >= threshold * b, so their classes differ by one at most
+    kind = F.floor(F.log(F.col("grams")) / math.log((1 + 1e-9) / threshold)).cast("int")
+    kinds = members.join(totals, "component").withColumn("kind", F.when(F.col("large"), kind).otherwise(0))
+    blocks = kinds.groupBy("component", "kind").agg(F.ceil(F.sum("grams") / group_grams).cast("int").alias("blocks"))
+    above = blocks.select("component", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("above"))
+    below = blocks.select("component", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("below"))
+    grouped = kinds.join(blocks, ["component", "kind"]).join(above, ["component", "kind"], "left").join(below, ["component", "kind"], "left")
+    own = F.col("block")
+    place = lambda kind, block: F.struct(kind.alias("kind"), block.alias("block"))
+    every = lambda count: F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda first, second: F.struct(first.alias("first"), second.alias("second"))
+    k = F.col("kind")
+    cells = F.concat(
+        F.transform(every("blocks"), lambda o: cell(place(k, F.least(own, o)), place(k, F.greatest(own, o)))),
+        F.transform(every("above"), lambda o: cell(place(k, own), place(k + 1, o))),
+        F.transform(every("below"), lambda o: cell(place(k - 1, o), place(k, own))),
+    )
     meetings = (
         sets.join(grouped, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+        .withColumn("cell", F.explode(cells))
+        .select("component", "cell.first", "cell.second", "id", F.struct("kind", "block").eqNullSafe(F.col("cell.first")).cast("int").alias("block"), "size", "set")
     )
     cells = meetings.groupBy("component", "first", "second").agg(
         F.collect_list(F.struct("id", "block", "size", "set")).alias("rows")
@@ -286,7 +292,8 @@ def near_duplicates(
 
     Documents are linked if the Jaccard similarity of their sets of word n-grams is at least ``threshold``. class_id is the
     smallest key with the same set, n_links the number of other documents linked directly, component_id the smallest
-    key that links reach. A text of fewer than ``words`` words has one n-gram of all its words; a null text or one without
+    key that links reach. A key stands for one text: of rows with equal keys and different texts each set is compared, and all
+    those rows get one result. A text of fewer than ``words`` words has one n-gram of all its words; a null text or one without
     words links with nothing and is a class of its own. Rows without a key link with nothing, have null ids and are kept.
     Rows that repeat key and text count as one document. Other columns are not read.
     """
