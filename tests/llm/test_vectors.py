@@ -36,10 +36,21 @@ MESSY = [
 ]
 
 
-@pytest.mark.parametrize("rows, block_rows", [(clusters(1, 150, 16), 8192), (clusters(2, 150, 16), 20), (MESSY, 8192), (MESSY, 2)])
-def test_equals_all_pairs(spark, rows, block_rows):
+def near_threshold(seed, n, dim):
+    """Vectors around one direction whose cosines lie within the error of the codes around 0.95, and copies of some."""
+    rng = np.random.default_rng(seed)
+    rows = [(np.eye(dim)[0] + 0.2294 * x / np.linalg.norm(x)).tolist() for x in np.concatenate([np.zeros((n, 1)), rng.normal(size=(n, dim - 1))], 1)]
+    return [(i, v) for i, v in enumerate(rows + rows[:10])]
+
+
+CASES = [(clusters(1, 150, 16), 1 << 19), (clusters(2, 150, 16), 320), (MESSY, 1 << 19), (MESSY, 4), (near_threshold(3, 60, 40), 500), (clusters(4, 40, 1536), 15_000)]
+
+
+@pytest.mark.parametrize("rows, components", CASES)
+def test_equals_all_pairs(spark, rows, components):
     table = frames.with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = frames.by_id(vectors.near_duplicates(table, block_rows=block_rows), "vec_id")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    got = frames.by_id(vectors.near_duplicates(table, least_components=components), "vec_id")
     assert sum(map(len, got.values())) == len(rows)
     for key, (n, component) in brute(rows).items():
         for row in got[key]:
@@ -53,10 +64,37 @@ def test_empty_table(spark):
 
 def test_bound_holds():
     rng = random.Random(1)
-    class Row:
-        ids = np.arange(40, dtype=np.int64).tobytes()
-        raw = np.array([[rng.gauss(0, 1) * rng.choice([1, 1, 30]) for _ in range(24)] for _ in range(40)]).tobytes()
+    raw = np.array([[rng.gauss(0, 1) * rng.choice([1, 1, 30]) for _ in range(24)] for _ in range(40)])
+    unit = vectors.units(raw)
+    x = vectors.Codes(np.arange(40), unit)
+    near = vectors.products(x.q, x.q) * np.outer(x.scale, x.scale)
+    assert (np.abs(unit @ unit.T - near) <= np.outer(x.u, x.u) - np.outer(x.a, x.a) + 1e-9).all()
+
+
+def test_products_are_exact_for_many_components():
+    rng = np.random.default_rng(2)
+    q = rng.choice(np.array([-127, 126, 127], np.int8), (6, 5000))
+    assert (vectors.products(q, q) == q.astype(np.int64) @ q.astype(np.int64).T).all()
+
+
+def test_codes_and_full_vectors_agree_on_every_pair():
+    """A pair is decided by the codes or left to the full vectors, in whatever company it is coded."""
+    rows = near_threshold(5, 80, 64)
+    ids, unit = np.arange(len(rows)), vectors.units(np.array([v for _, v in rows]))
+    whole = vectors.Codes(ids, unit)
+    sure, left = set(), set()
+    for i, j, yes in vectors.tiles(whole, whole, True, 0.95):
+        sure |= set(zip(i[yes].tolist(), j[yes].tolist()))
+        left |= set(zip(i[~yes].tolist(), j[~yes].tolist()))
+    some = np.array(sorted({k for pair in left for k in pair}))
+    part = vectors.Codes(some, unit[some])
+    again = {(int(some[a]), int(some[b])) for i, j, yes in vectors.tiles(part, part, True, 0.95) for a, b, y in zip(i, j, yes) if not y}
+    assert len(left) > 50 and len(sure) >= 10 and again == left
+    wanted = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if unit[i] @ unit[j] >= 0.95}
+    assert sure <= wanted <= sure | left
+
 
-    x = vectors.Block(Row)
-    exact, near = x.unit @ x.unit.T, (x.q @ x.q.T) * np.outer(x.scale, x.scale)
-    assert (np.abs(exact - near) <= np.outer(x.u, x.u) - np.outer(x.a, x.a) + 1e-9).all()
+def test_only_codes_travel_to_all_blocks():
+    unit = vectors.units(np.random.default_rng(1).normal(size=(100, 384)))
+    row = vectors.Codes(np.arange(100), unit).to_row()
+    assert sum(map(len, row.values())) < unit.nbytes / 7
