@@ -62,10 +62,11 @@ def rating_measures() -> list[Column]:
     ]
 
 
-def daily_features(reviews: DataFrame, entities: bool = True) -> DataFrame:
+def daily_features(reviews: DataFrame, entities: bool = True, together: bool = False) -> DataFrame:
     """One row per (asin, date) before the rolling means. Null asins and dates are left out, as in a pandas groupby.
 
-    Without ``entities`` the dictionaries are not searched and the two count maps are missing.
+    Without ``entities`` the dictionaries are not searched and the two count maps are missing. ``together`` says that the rows
+    of an asin are stored in one bucket, so nothing needs to be shuffled.
     """
     dated = reviews.withColumn("date", F.to_date("timestamp")).filter("asin IS NOT NULL AND date IS NOT NULL")
     keywords = tx.complaint_score(F.col("text")).alias("keywords")
@@ -83,7 +84,7 @@ def daily_features(reviews: DataFrame, entities: bool = True) -> DataFrame:
         )
     counts = entity_counts(dated, ["asin", "date"], F.col("text"), [F.col("rating"), keywords], measures)
     # One more shuffle, of reduced rows, serves both the grouping by day and the windows by product.
-    return counts.repartition("asin").groupBy("asin", "date").agg(
+    return (counts if together else counts.repartition("asin")).groupBy("asin", "date").agg(
         of_kind("review", rating_avg, "rating_avg"),
         of_kind("review", F.col("rating_count"), "review_count"),
         of_kind("review", F.col("negative_count"), "negative_count"),
@@ -101,9 +102,9 @@ def with_rolling_means(daily: DataFrame, rows: int = ROLLING_ROWS) -> DataFrame:
     )
 
 
-def product_features(reviews: DataFrame) -> DataFrame:
+def product_features(reviews: DataFrame, together: bool = False) -> DataFrame:
     """The feature table, entity counts still as maps."""
-    rolled = with_rolling_means(daily_features(reviews))
+    rolled = with_rolling_means(daily_features(reviews, together=together))
     return rolled.select(
         "asin",
         "date",
