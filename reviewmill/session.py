@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -37,9 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_scratch: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/reviewmill/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, inside a ``scratch`` block in the block's own folder."""
+    return f"{shared_dir(spark)}/reviewmill/{_scratch.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted in the end, also after an error. Results must have been written elsewhere by then, to
+    a path that was made before the block."""
+    own = f"{_scratch.get()}scratch-{uuid.uuid4().hex}/"
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        forget(spark, f"{shared_dir(spark)}/reviewmill/{own.rstrip('/')}")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
