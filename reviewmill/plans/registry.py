@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +12,15 @@ from pyspark.sql import types as T
 
 from reviewmill import schemas, vocab
 from reviewmill.functions import jsontext as js
-from reviewmill.functions import selection
+from reviewmill.functions import selection, timespans
 from reviewmill.functions import text as tx
 from reviewmill.operators import (
-    abtest, aggregates, anomaly, call_ledger, drift, drift_tests, filters, helpfulness, joins, latent, listing, model_calls,
+    abtest, aggregates, anomaly, autoencoder, call_ledger, drift, drift_tests, filters, helpfulness, joins, latent, listing, model_calls,
     product_features, ranking, refresh, rootcause, sampling, search, sets, sketches, vector_index,
 )
 from reviewmill.plans.driver_views import Tables, extract, present, quoted, with_views
-from reviewmill.sources import readers, writers
+from reviewmill.session import settle
+from reviewmill.sources import layout, readers, writers
 from reviewmill.streaming import ingest
 
 # Doubles are compared after rounding. Values that sum many inexact terms (scores) get fewer digits, as engines add in
@@ -430,7 +432,17 @@ def _(t):
     return aggregates.products_with_reviews(t.reviews, t.products)
 
 
-@query("agg06_daily_features", """SELECT asin, date, round(rating_avg, 9) AS rating_avg, review_count, negative_count, complaint_keywords FROM daily""")
+DAILY_ROWS = "SELECT asin, date, round(rating_avg, 9) AS rating_avg, review_count, negative_count, complaint_keywords FROM daily"
+
+
+@query("snk01_features_by_layout", DAILY_ROWS)
+def _(t):
+    path = t.path("laid-out")
+    laid = layout.write_layout(t.reviews, f"reviews_{uuid.uuid4().hex}", path, 16)
+    return laid.by_product(lambda reviews, together: product_features.daily_features(reviews, entities=False, together=together))
+
+
+@query("agg06_daily_features", DAILY_ROWS)
 def _(t):
     return product_features.daily_features(t.reviews, entities=False)
 
@@ -680,6 +692,43 @@ def _(t):
     return t.reviews.select("id", joined(tx.time_references(F.col("text"))).alias("time_refs"))
 
 
+# Expressions by review id, and the first and last day that each stands for on day d.
+SPANS = [
+    ("Died 3 days ago", "3 days ago", "d - 3", "d - 3"),
+    ("two weeks ago", "two weeks ago", "d - 14", "d - 8"),
+    ("it was a month ago", "a month ago", "CAST(d - INTERVAL 1 MONTH AS DATE)", "CAST(CAST(d - INTERVAL 1 MONTH AS DATE) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE)"),
+    ("4 years ago", "4 years ago", "CAST(d - INTERVAL 48 MONTH AS DATE)", "CAST(CAST(d - INTERVAL 48 MONTH AS DATE) + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE)"),
+    ("after 5 months", "after 5 months", "CAST(d - INTERVAL 5 MONTH AS DATE)", "d"),
+    ("Within Ten Days", "within ten days", "d - 10", "d"),
+    ("last week", "last week", "CAST(date_trunc('week', d) AS DATE) - 7", "CAST(date_trunc('week', d) AS DATE) - 1"),
+    ("this month", "this month", "CAST(date_trunc('month', d) AS DATE)", "last_day(d)"),
+    ("last year", "last year", "make_date(year(d) - 1, 1, 1)", "make_date(year(d) - 1, 12, 31)"),
+    ("yesterday", "yesterday", "d - 1", "d - 1"),
+    ("in may", "in may", "make_date(year(d) - CASE WHEN month(d) < 5 THEN 1 ELSE 0 END, 5, 1)", "make_date(year(d) - CASE WHEN month(d) < 5 THEN 1 ELSE 0 END, 5, 31)"),
+    ("since June 2015", "since june 2015", "DATE '2015-06-01'", "greatest(d, DATE '2015-06-01')"),
+    ("in 2019", "in 2019", "DATE '2019-01-01'", "DATE '2019-12-31'"),
+    ("2021-02-29", "2021-02-29", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)"),
+    ("not at all, x-today", "", "", ""),
+]
+
+
+def _span_sql(shift: int) -> str:
+    cases = " ".join(
+        f"WHEN {i} THEN " + (f"'{phrase} ' || coalesce(CASE WHEN d IS NOT NULL THEN CAST({first} AS VARCHAR) END, '') || '..' || coalesce(CASE WHEN d IS NOT NULL THEN CAST({last} AS VARCHAR) END, '')" if phrase else "NULL")
+        for i, (_, phrase, first, last) in enumerate(SPANS)
+    )
+    return f"CASE (id + {shift}) % {len(SPANS)} {cases} END"
+
+
+@query("str04_time_intervals", f"SELECT id, concat_ws('; ', {_span_sql(0)}, {_span_sql(4)}) AS intervals FROM (SELECT id, CAST(timestamp AS DATE) AS d FROM reviews) r")
+def _(t):
+    said = lambda shift: F.element_at(F.array(*(F.lit(s[0]) for s in SPANS)), ((F.col("id") + shift) % len(SPANS) + 1).cast("int"))
+    found = timespans.time_intervals(F.concat_ws("; ", said(0), said(4)), F.col("timestamp"))
+    day = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    shown = F.transform(found, lambda x: F.concat(x["phrase"], F.lit(" "), day(x["first"]), F.lit(".."), day(x["last"])))
+    return t.reviews.select("id", joined(shown).alias("intervals"))
+
+
 @query("str05_text_basics", """SELECT id, lower(coalesce(title, '')) AS title, length(coalesce(text, '')) AS text_length, contains(lower(coalesce(text, '')), 'refund') AS wants_refund,
  substr(coalesce(text, ''), 1, 20) AS start FROM reviews""")
 def _(t):
@@ -928,6 +977,15 @@ def _(t):
     return anomaly.reconstruction_scores(t.features).select("asin", "date", "anomaly_score")
 
 
+# The check states what holds for any fit: every day has a score, and on average less than half of the squares is left.
+@query("ml03_autoencoder_scores", "SELECT asin, date, TRUE AS scored, TRUE AS better FROM features")
+def _(t):
+    columns = t.features.select("asin", "date", *vocab.FEATURES)
+    scores = settle(autoencoder.autoencoder_scores(columns, autoencoder.fit(columns)), "autoencoder-scores")
+    left = scores.agg(F.avg("anomaly_score")).first()[0] / anomaly.mean_square_scores(columns).agg(F.avg("anomaly_score")).first()[0]
+    return scores.select("asin", "date", (F.col("anomaly_score") >= 0).alias("scored"), F.lit(left < 0.5).alias("better"))
+
+
 @query("ml04_flagged_days", "SELECT asin, date, round(anomaly_score, 6) AS anomaly_score, round(threshold, 6) AS threshold, is_anomaly FROM flagged", SCORE_DIGITS)
 def _(t):
     return anomaly.flag(t.scores, anomaly.threshold(t.scores)).select("asin", "date", "anomaly_score", "threshold", "is_anomaly")
