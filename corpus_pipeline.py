@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewmill.llm import exact_dedup, language, near_dedup, quality, registry
-from reviewmill.session import forget, new_path, settle_at
+from reviewmill.session import forget, new_path, scratch, settle_at
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +44,13 @@ ORACLE_SQL = None  # learned models and tokens: tests compare the pipeline with
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is settled and read again, and goes once the next one is there."""
+    """All stages over ``documents``; each result is settled and read again, and goes once the next one is there. What a stage
+    settles on its way goes with the stage, so the last result is all that stays."""
     docs, before = registry.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, "stage-" + name.replace(" ", "-"))
-        docs = settle_at(stage(spark, docs, sf_dir), path)
+        with scratch(spark):
+            docs = settle_at(stage(spark, docs, sf_dir), path)
         if before:
             forget(spark, before)
         before = path
