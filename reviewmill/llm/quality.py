@@ -5,7 +5,9 @@ of equal tokens is one common feature, so repetition shows whatever word repeats
 at unit length, and its score the logistic function of a sparse dot product with the weights.
 
 Training takes a bounded sample of labelled rows, at most ``PER_LABEL`` of either label, in one sequence of updates, as the
-method has it: each depends on the one before. Scoring covers every whole text.
+method has it: each depends on the one before. Of a text with more than ``PER_TEXT`` different features, that many enter
+training, chosen by their hash from the whole text; so the one task holds a bounded number of them. Scoring covers every
+feature of every whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm import folds
 from reviewmill.llm.texts import Tokens, flat, grams, mixed, numbers_of, ranges, run_kinds
 
-BITS, PER_LABEL, EPOCHS = 18, 4_000, 6
+BITS, PER_LABEL, PER_TEXT, EPOCHS = 18, 4_000, 1 << 14, 6
 BLOCK = 2 << 20
 
 
@@ -99,6 +101,8 @@ def train(
     rows = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), key)
     rows = rows.select(F.col(key).alias("key"), "text", F.col("label").cast("int").alias("label"), F.xxhash64(key).alias("place"))
 
+    per_text = PER_TEXT
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
@@ -106,6 +110,8 @@ def train(
             for low, high in ranges(offsets, BLOCK):
                 part = offsets[low : high + 1]
                 row, index, value = features(data[part[0] : part[-1]], part - part[0])
+                first = np.arange(len(row)) - np.searchsorted(row, row) < per_text  # numbers of features are hashes
+                row, index, value = row[first], index[first], value[first]
                 cuts = np.searchsorted(row, np.arange(1, high - low))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -159,7 +165,8 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, with a score of at least a half."""
+    """The rows of ``docs``, all their columns, with a score of at least a half. A null text counts as empty, and empty texts
+    go or stay by the bias of the model; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index(text)
 

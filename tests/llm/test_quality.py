@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -45,6 +46,48 @@ def test_learns_and_does_not_depend_on_layout(spark, learned):
     assert all(got[i] == i % 2 for i in range(80))
 
 
+def test_training_and_scores_equal_the_definition(spark):
+    """Update by update and coordinate by coordinate, with dictionaries."""
+    rng, settings = np.random.default_rng(4), quality.Settings(alpha=0.7, beta=0.5, l1=0.02, l2=0.1)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "ok", "!", "a1"], rng.integers(0, 9)))) for i in range(40)]
+    docs = frames.documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int")
+    places = {r[0]: r[1] for r in labels.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    got = quality.train(docs, labels, bits=8, epochs=3, settings=settings)
+    vectors = {}
+    for key, text in rows:
+        row, index, value = quality.Features(8)(*texts.flat(pa.array([text])))
+        vectors[key] = dict(zip(index.tolist(), value.astype(np.float32).astype(float).tolist())) | {256: 1.0}
+    z, n = dict.fromkeys(range(257), 0.0), dict.fromkeys(range(257), 0.0)
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return (math.copysign(settings.l1, z[i]) - z[i]) / ((settings.beta + math.sqrt(n[i])) / settings.alpha + settings.l2)
+
+    for _ in range(3):
+        for key in sorted(vectors, key=places.get):
+            w = {i: weight(i) for i in vectors[key]}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in vectors[key].items())))
+            for i, x in vectors[key].items():
+                g = (p - (key % 3 == 0)) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha * w[i]
+                n[i] += g * g
+    assert got == pytest.approx([weight(i) for i in range(257)], abs=1e-9)
+    for r in quality.score(docs, got).collect():
+        dot = sum(got[i] * x for i, x in vectors[r.doc_id].items())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-6)
+
+
+def test_features_of_a_long_text_are_bounded_in_training(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_TEXT", 5)
+    text = " ".join(f"w{i}" for i in range(500))
+    docs = frames.documents(spark, [(1, text), (2, "short text")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    weights = quality.train(docs, labels)
+    assert 0 < (weights[:-1] != 0).sum() <= 5 + 3
+
+
 def test_messy_rows(spark, learned):
     docs = frames.documents(spark)
     got = frames.by_id(quality.score(docs, learned[2]))
