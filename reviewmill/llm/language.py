@@ -188,7 +188,8 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, whose language is determined, whatever the winner's share."""
+    """The rows of ``docs``, all their columns, whose language is determined, whatever the winner's share. Null and empty texts
+    and those without a letter go, and every row if nothing was learned; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(vars(trees))
     place = docs.columns.index(text)
 

@@ -329,6 +329,10 @@ def near_duplicates(
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all their columns, of which each group of linked documents has one: that with its smallest key."""
+    """The rows of ``docs``, all their columns, of which each group of linked documents has one: that with its smallest key.
+
+    Null texts, texts without words and rows without a key are linked with nothing and stay; an empty table stays empty. A
+    key must not stand on different texts (exact copies have one id left): all rows of a key stay or go together.
+    """
     dropped = near_duplicates(docs, key, text, words, threshold).filter(~F.col("kept")).select(key).distinct()
     return docs.join(dropped, key, "left_anti").select(docs.columns)

@@ -6,7 +6,10 @@ import pytest
 
 import corpus_pipeline
 from reviewmill.llm import language, quality, registry
+from reviewmill.session import settle, shared_dir
+from reviewmill.streaming.ingest import names_below
 from tests import oracle
+from tests.llm import frames
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_packing import check_layout, expected_pieces
 
@@ -20,13 +23,16 @@ def test_equals_brute_force(spark):
     good = {r.doc_id: r for r in quality.score(docs, registry.quality_weights(spark, SF)).collect()}
     rows = [
         (r.doc_id, r.text) for r in docs.collect()
-        if known[r.doc_id].lang_pred != "und" and known[r.doc_id].score >= 0.5 and good[r.doc_id].predicted
+        if known[r.doc_id].lang_pred != "und" and good[r.doc_id].predicted
     ]
     last = {text: max(k for k, t in rows if t == text) for _, text in rows}
     rows = [(k, t) for k, t in rows if last[t] == k]
     groups = brute(rows)
     rows = [(k, t) for k, t in rows if groups[k][2] == k]
+    folder = f"{shared_dir(spark)}/reviewmill"
+    there = set(names_below(spark, folder))
     got = corpus_pipeline.run(spark, SF).collect()
+    assert [name.rsplit("-", 1)[0] for name in set(names_below(spark, folder)) - there] == ["stage-packing"]
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == expected_pieces(rows)
     check_layout(got, 2048)
 
@@ -37,6 +43,20 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).schema == docs.schema
 
 
+@pytest.mark.parametrize("rows", [frames.TEXTS, []])
+def test_stages_in_turn_on_messy_and_empty_tables(spark, rows):
+    """Nulls, empty and long texts, repeated rows and ids on several texts go through all stages."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(key, text, None, None, None) for key, text in rows], kinds)
+    for name, stage in corpus_pipeline.STAGES:
+        after = settle(stage(spark, docs, SF), "messy")
+        if name != "packing":
+            assert after.columns == docs.columns and not after.exceptAll(docs).count()
+        docs = after
+    assert rows or not docs.count()
+    assert not {r.doc_id for r in docs.collect()} & {2, 3, 4, 9}  # texts without a letter have no language
+
+
 @pytest.mark.parametrize("name", sorted(registry.CHECKS))
 def test_query_equals_its_check(spark, name):
     assert oracle.differences(spark, oracle.connect(SF), name, SF) == []
