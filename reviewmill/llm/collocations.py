@@ -61,12 +61,20 @@ def language_hashes(langs: list[str]) -> np.ndarray:
     return mixed(np.array([known[name] for name in langs], np.uint64) * np.uint64(MULTIPLIER))
 
 
-def windows_of(batch: pa.RecordBatch, lower: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-    """Lower-case bytes, offsets and languages of rows with about ``WINDOW_BYTES`` together."""
+def windows_of(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Lower-case bytes, offsets and languages of rows with about ``WINDOW_BYTES`` together. Longer rows are cut after pieces,
+    which no word and no phrase crosses."""
     data, offsets = flat(batch.column(1))
     langs = batch.column(0).to_pylist()
     for low, high in ranges(offsets, WINDOW_BYTES):
-        yield lower[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low], langs[low:high]
+        part = words.lower[data[offsets[low] : offsets[high]]]
+        if len(part) <= WINDOW_BYTES:
+            yield part, offsets[low : high + 1] - offsets[low], langs[low:high]
+            continue
+        ends = np.append(np.flatnonzero(words.breaks[part]) + 1, len(part))
+        ends = ends[np.append(np.diff(ends // WINDOW_BYTES) > 0, True)]  # the last end in each stretch of that size
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield part[start:end], np.array([0, end - start]), langs[low:high]
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for data, offsets, langs in windows_of(batch, words.lower):
+            for data, offsets, langs in windows_of(batch, words):
                 starts, ends, hashes, of, _ = words(data, offsets, language_hashes(langs))
                 found, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 sizes = ends[first] - starts[first]
@@ -119,10 +127,9 @@ def phrases_at(numbers: np.ndarray, usable: np.ndarray, piece: np.ndarray, longe
     shifted = np.where(numbers >= 0, numbers + 1, numbers)
     table = np.zeros((longest, n), np.int64)
     table[0] = np.where(usable, shifted, 0)
-    for k in range(1, longest):
-        same = np.zeros(n, bool)
-        same[: n - k] = (piece[k:] == piece[: n - k]) & usable[k:] & (table[k - 1, : n - k] != 0)
-        table[k, : max(n - k, 0)] = np.where(same[: n - k], shifted[k:], 0)
+    for k in range(1, min(longest, n)):
+        same = (piece[k:] == piece[: n - k]) & usable[k:] & (table[k - 1, : n - k] != 0)
+        table[k, : n - k] = np.where(same, shifted[k:], 0)
     return np.ascontiguousarray(table[:, table[1] != 0].T)
 
 
@@ -280,7 +287,7 @@ def phrase_counts(rows: DataFrame, lexicon: Lexicon, parts: int, hot: int, longe
             return pa.RecordBatch.from_pydict({"part": pa.array(part[starts], pa.int64()), "run": pa.array(packed, pa.binary())})
 
         for batch in batches:
-            for data, offsets, langs in windows_of(batch, words.lower):
+            for data, offsets, langs in windows_of(batch, words):
                 _, _, hashes, _, piece = words(data, offsets, language_hashes(langs))
                 numbers, usable = known(hashes)
                 trie.add(*distinct(phrases_at(numbers, usable, piece, longest)))

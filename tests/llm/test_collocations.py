@@ -3,6 +3,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewmill.llm import collocations
@@ -106,3 +107,18 @@ def test_prefix_decides_the_partition():
     rows = np.array([[1, 2, 1, 7, 8], [1, 2, 1, 7, 9], [1, 2, 1, 6, 8], [5, 1, 1, 1, 1], [5, 1, 2, 2, 2], [5, 2, 0, 0, 0]], np.int64)
     part = collocations.partition_of(rows, 1 << 20, hot).tolist()
     assert part[0] == part[1] != part[2] and part[3] == part[4] != part[5]
+
+
+@pytest.mark.parametrize("text", ["New York, new york; the " * 500, "one piece without an end " * 300, "a.b;" * 900 + "tail", ",.;" * 400])
+def test_long_rows_are_cut_after_pieces(spark, monkeypatch, text):
+    words = collocations.Words()
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr", None], "text": ["short row", text, None]})
+    whole = [w for data, offsets, _ in collocations.windows_of(batch, words) for w in words(data, offsets, np.zeros(len(offsets) - 1, np.uint64))[2].tolist()]
+    monkeypatch.setattr(collocations, "WINDOW_BYTES", 1000)
+    parts = list(collocations.windows_of(batch, words))
+    assert [w for data, offsets, _ in parts for w in words(data, offsets, np.zeros(len(offsets) - 1, np.uint64))[2].tolist()] == whole
+    assert b"".join(data.tobytes() for data, _, _ in parts) == ("short row" + text).lower().encode()
+    assert all(len(data) <= 2000 for data, _, _ in parts) or "without" in text
+    rows = [("en", text), ("en", "short row")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, collocations.collocations(docs, least=50).collect())) == brute(rows, least=50)
