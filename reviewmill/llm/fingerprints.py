@@ -108,7 +108,7 @@ class Sampler:
                 ordered = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64)  # as integers in the same order
                 places[part] = (ordered << 32) | np.arange(low, low + len(bits))
             winner = np.minimum.reduceat(places[number], starts) & 0xFFFFFFFF
-            sample = mixed(terms[winner] ^ mixed(steps[winner].astype(np.int64).view(np.uint64) + np.uint64(1)))
+            sample = mixed(terms[winner] ^ mixed(seed + steps[winner].astype(np.int64).view(np.uint64)))
             out[rows[starts], j] = (sample >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
