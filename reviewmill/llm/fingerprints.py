@@ -133,10 +133,10 @@ def edited(text: str, following: str) -> str:
 
 def compared(texts: list[str], changed: list[str], own: np.ndarray, new: np.ndarray, after: np.ndarray) -> tuple:
     """Columns n_chars ... near_next of texts, their edited versions, and the samples of both and of the next texts."""
-    shown = lambda x: [row.astype(">u2").tobytes().hex() for row in x]
+    packed = lambda x: pa.array([row.astype(">u2").tobytes() for row in x], pa.binary())
     return (
         [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
-        shown(own), shown(new), (own == new).mean(axis=1), (own == after).mean(axis=1),
+        packed(own), packed(new), (own == new).mean(axis=1), (own == after).mean(axis=1),
     )
 
 
@@ -170,7 +170,7 @@ def walk(batches: Iterator[pa.RecordBatch], sampler: Sampler) -> Iterator[pa.Rec
 
 
 def edge(task: int, end: str, key: pa.Array, text: str) -> pa.RecordBatch:
-    empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+    empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
     return pa.RecordBatch.from_arrays([key, *empty, pa.array([task], pa.int64()), pa.array([end]), pa.array([text])], [*STEP_FIELDS, "task", "edge", "text"])
 
 
@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.desc_nulls_last("key"), F.desc("hash")]
     ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("hash")
-    plain = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    plain = f"key {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from walk(batches, Sampler(samples, run))
@@ -215,4 +215,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *map(pa.array, columns)], list(STEP_FIELDS))
 
     inner = found.filter(F.col("edge").isNull()).select(*STEP_FIELDS)
-    return inner.unionByName(pairs.select("key", "text", "after").mapInArrow(meet, plain)).withColumnRenamed("key", key)
+    every = inner.unionByName(pairs.select("key", "text", "after").mapInArrow(meet, plain))
+    shown = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return every.withColumns(shown).withColumnRenamed("key", key)
