@@ -25,13 +25,21 @@ from reviewmill.llm.texts import MULTIPLIER, Tokens, flat, grams, mixed, numbers
 from reviewmill.session import new_path, settle_at, small_batches
 
 SAMPLES, PAIR, WINDOW_BYTES, CHUNK, ROWS = 64, 2, 1 << 20, 1 << 14, 512
-TINY = np.float32(1e-9)
+TINY, SECOND, THIRD = np.float32(1e-9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 STEP_FIELDS = ("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def uniform(bits: np.ndarray) -> np.ndarray:
-    """32 bits as numbers above 0, at most 1."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+def log_product(bits: np.ndarray) -> np.ndarray:
+    """Of each 64 bits, two uniform numbers between 0 and 1; the negative logarithm of their product."""
+    halves = bits.view(np.uint32).reshape(-1, 2)
+    first, second = halves[:, 0].astype(np.float32), halves[:, 1].astype(np.float32)
+    first += np.float32(0.5)
+    second += np.float32(0.5)
+    first *= np.float32(2.0**-64)
+    first *= second
+    np.log(first, out=first)
+    np.negative(first, out=first)
+    return np.maximum(first, TINY, out=first)
 
 
 class Sampler:
@@ -70,16 +78,23 @@ class Sampler:
 
     def arrivals(self, terms: np.ndarray, log_weights: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """For one sample the logarithm of each term's arrival, and the step of its weight."""
-        first = mixed(terms ^ seed)
-        second = mixed(first + np.uint64(MULTIPLIER))
-        third = (first * np.uint64(MULTIPLIER) + second) >> np.uint64(32)
-        u, v = first.view(np.uint32).reshape(-1, 2), second.view(np.uint32).reshape(-1, 2)
-        rate = -np.log(uniform(u[:, 0]) * uniform(u[:, 1]))  # gamma variates of shape 2
-        cost = np.log(np.maximum(-np.log(uniform(v[:, 0]) * uniform(v[:, 1])), TINY))
-        rate = np.maximum(rate, TINY)
-        shift = uniform(third)
-        step = np.floor(log_weights / rate + shift)
-        return cost - rate * (step - shift) - rate, step
+        bits = mixed(terms ^ seed)
+        rate = log_product(bits)  # a gamma variate of shape 2, and so is the next one
+        second = bits * SECOND
+        second ^= second >> np.uint64(32)
+        arrival = np.log(log_product(second))
+        bits *= THIRD
+        bits >>= np.uint64(32)
+        shift = bits.astype(np.float32)
+        shift *= np.float32(2.0**-32)
+        step = log_weights / rate
+        step += shift
+        np.floor(step, out=step)
+        shift -= step
+        shift -= np.float32(1)
+        rate *= shift
+        arrival += rate
+        return arrival, step
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of samples, 16 bits each, per text. A text without tokens has zeros only; all others have none."""
@@ -104,7 +119,7 @@ class Sampler:
             for low in range(0, len(terms), CHUNK):  # small enough to stay in the processor's cache
                 part = slice(low, low + CHUNK)
                 arrival, steps[part] = self.arrivals(terms[part], weights[part], seed)
-                bits = arrival.astype(np.float32).view(np.int32)
+                bits = arrival.view(np.int32)
                 ordered = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64)  # as integers in the same order
                 places[part] = (ordered << 32) | np.arange(low, low + len(bits))
             winner = np.minimum.reduceat(places[number], starts) & 0xFFFFFFFF
