@@ -1,4 +1,5 @@
-"""Text expressions: dictionary extraction, phrase scores, style features. All are native columns, no UDFs."""
+"""Text expressions: dictionary extraction, phrase scores, style features. Scans of whole texts for dictionaries are Arrow UDFs on
+the bytes of many texts, as native patterns cost many times the time per byte; other expressions are native."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewmill import vocab
+from reviewmill.functions import phrases as scans
 
 # Unicode white space, written out so that Java and other engines split words alike.
 LATIN_SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}"
@@ -53,7 +55,12 @@ def phrase_pattern(phrases: list[str]) -> str:
 
 
 def find_phrases(text: Column, phrases: list[str]) -> Column:
-    """Sorted distinct dictionary phrases in ``text``, whole words, any case; null text gives an empty array."""
+    """Sorted distinct dictionary phrases in ``text``, whole words, any case; null text gives an empty array.
+
+    A scan of the bytes narrows the text to the few phrases in it, among which the pattern, slow by the byte, searches.
+    """
+    if scans.plain(phrases):
+        text = F.arrow_udf(scans.narrowed(phrases), "string")(text)
     return find_pattern(text, phrase_pattern(phrases))
 
 
@@ -85,6 +92,8 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 
 def count_present(text: Column, phrases: list[str]) -> Column:
     """How many of the phrases occur in ``text`` as substrings (each counts once); null text gives 0."""
+    if scans.plain(phrases):
+        return F.arrow_udf(scans.phrase_numbers(phrases), "int")(text)
     lowered = F.lower(F.coalesce(text, F.lit("")))
     return reduce(add, (lowered.contains(p).cast("int") for p in phrases))
 

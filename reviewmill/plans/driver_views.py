@@ -53,6 +53,7 @@ REWRITE_ANSWERS = [
     '{"title": Broken}',
 ]
 
+TASK_ROWS = 200_000  # reviews of a task
 _settled: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -62,7 +63,8 @@ def cycle(key: str, values: list[str]):
 
 
 class Tables:
-    """The driver tables of one folder and what is derived from them. Reviews and features are written once."""
+    """The driver tables of one folder and what is derived from them. Features and entities are written once; reviews are not, as
+    joining a text to an event again costs less than writing and reading it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
@@ -116,8 +118,8 @@ class Tables:
     @cached_property
     def reviews(self) -> DataFrame:
         events = self.source("events")
-        tasks = max(self.spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
-        return self._settled("reviews", lambda: self.review_rows(events, tasks))
+        tasks = max(self.spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions(), -(-events.count() // TASK_ROWS))
+        return self.review_rows(events, tasks)
 
     @cached_property
     def products(self) -> DataFrame:

@@ -126,3 +126,24 @@ def test_decimals_follow_python(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for row in df.select("v", tx.exact_decimal(F.col("v"), 2).alias("two"), tx.exact_decimal(F.col("v"), 1).alias("one")).collect():
         assert row["two"] == f"{row['v']:.2f}" and row["one"] == f"{row['v']:.1f}"
+
+
+ODD = ["é", "ö", "_", "'", "-", " ", " ", ". ", "́", "‍", "日本", "İ", "K", "9", "s", "Ⓐ", "\U0001f600", "keeps ", "no ", "dead ", "wi"]
+
+
+def test_scanned_texts_give_what_the_pattern_finds(spark):
+    rng = np.random.default_rng(4)
+    words = vocab.ISSUES + vocab.COMPONENTS + [p.upper() for p in vocab.COMPLAINT_KEYWORDS]
+    parts = [["".join(map(str, rng.choice(ODD if rng.random() < 0.5 else words, 2))) for _ in range(rng.integers(0, 5))] for _ in range(2000)]
+    df = spark.createDataFrame([(None if i % 50 == 0 else "".join(p),) for i, p in enumerate(parts)], "text string").coalesce(1)
+    text, lowered = F.col("text"), F.lower(F.coalesce("text", F.lit("")))
+    for phrases in (vocab.ISSUES, vocab.COMPONENTS):
+        pattern = tx.find_pattern(text, tx.phrase_pattern(phrases))
+        assert df.filter(~tx.find_phrases(text, phrases).eqNullSafe(pattern)).isEmpty()
+    present = sum((lowered.contains(p).cast("int") for p in vocab.COMPLAINT_KEYWORDS), F.lit(0))
+    assert df.filter(~tx.complaint_score(text).eqNullSafe(present)).isEmpty()
+
+
+def test_patterns_search_narrowed_texts_only(spark):
+    plan = spark.range(1).select(tx.find_phrases(F.col("id").cast("string"), vocab.ISSUES))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.index("regexp_extract_all(") < plan.index("ArrowEvalPython")
