@@ -188,3 +188,34 @@ def phrase_numbers(phrases: list[str]) -> Callable[[pa.Array], pa.Array]:
         return pa.array(np.bincount(row, minlength=len(texts)).astype(np.int32))
 
     return count
+
+
+def style_counts(texts: pa.Array) -> pa.Array:
+    """Characters, characters that are no white space, words between white space, letters and capitals of ASCII."""
+    sums = np.zeros((5, len(texts)), np.int64)
+    data, offsets = flat(texts)
+    spaces = table(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
+    tables = [table(bytes(b for b in range(256) if b & 0xC0 != 0x80)), None, None, table(LETTERS + CAPITALS), table(CAPITALS)]
+    marks = [None if t is None else t.tobytes() for t in tables]
+    for low, high in windows(offsets):
+        if offsets[low] == offsets[high]:
+            continue
+        part, at = data[offsets[low] : offsets[high]].tobytes(), offsets[low : high + 1] - offsets[low]
+        space = np.frombuffer(part.translate(spaces.tobytes()), bool).copy()
+        first = np.frombuffer(part.translate(marks[0]), bool)
+        for char in (c.encode() for c in SPACES) if not part.isascii() else ():
+            place = part.find(char)
+            while place >= 0:
+                space[place : place + len(char)] = True
+                place = part.find(char, place + len(char))
+        visible = first & ~space
+        start = visible.copy()
+        start[1:] &= space[:-1]
+        edges = at[:-1][np.diff(at) > 0]
+        start[edges] = visible[edges]
+        counted = [first, visible, start, *(np.frombuffer(part.translate(mark), bool) for mark in marks[3:])]
+        rows = low + np.flatnonzero(np.diff(at) > 0)
+        for sum_of, mask in zip(sums, counted):
+            sum_of[rows] = np.add.reduceat(mask, edges, dtype=np.int64)
+    names = ["chars", "visible", "words", "letters", "capitals"]
+    return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in sums], names)

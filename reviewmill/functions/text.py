@@ -1,5 +1,8 @@
-"""Text expressions: dictionary extraction, phrase scores, style features. Scans of whole texts for dictionaries are Arrow UDFs on
-the bytes of many texts, as native patterns cost many times the time per byte; other expressions are native."""
+"""Text expressions: dictionary extraction, phrase scores, style features. All are native columns, unless told to ``scan``.
+
+Native patterns cost several times the time of a byte that a scan of the bytes of many texts takes. Steps that read all texts and store
+what they find ask for the scan, an Arrow UDF with the same results.
+"""
 
 from __future__ import annotations
 
@@ -54,12 +57,12 @@ def phrase_pattern(phrases: list[str]) -> str:
     return rf"{UNICODE}\b(?=[{_first_letters(phrases)}])({_shared_prefixes(phrases)})\b"
 
 
-def find_phrases(text: Column, phrases: list[str]) -> Column:
+def find_phrases(text: Column, phrases: list[str], scan: bool = False) -> Column:
     """Sorted distinct dictionary phrases in ``text``, whole words, any case; null text gives an empty array.
 
-    A scan of the bytes narrows the text to the few phrases in it, among which the pattern, slow by the byte, searches.
+    A scan narrows the text to the few phrases in it, among which the pattern searches.
     """
-    if scans.plain(phrases):
+    if scan and scans.plain(phrases):
         text = F.arrow_udf(scans.narrowed(phrases), "string")(text)
     return find_pattern(text, phrase_pattern(phrases))
 
@@ -90,16 +93,16 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
     return reduce(or_, (lowered.contains(p) for p in phrases))
 
 
-def count_present(text: Column, phrases: list[str]) -> Column:
+def count_present(text: Column, phrases: list[str], scan: bool = False) -> Column:
     """How many of the phrases occur in ``text`` as substrings (each counts once); null text gives 0."""
-    if scans.plain(phrases):
+    if scan and scans.plain(phrases):
         return F.arrow_udf(scans.phrase_numbers(phrases), "int")(text)
     lowered = F.lower(F.coalesce(text, F.lit("")))
     return reduce(add, (lowered.contains(p).cast("int") for p in phrases))
 
 
-def complaint_score(text: Column) -> Column:
-    return count_present(text, vocab.COMPLAINT_KEYWORDS)
+def complaint_score(text: Column, scan: bool = False) -> Column:
+    return count_present(text, vocab.COMPLAINT_KEYWORDS, scan)
 
 
 def prefix(text: Column, length: int) -> Column:
@@ -145,11 +148,16 @@ def style_inputs(text: Column) -> list[Column]:
     ]
 
 
-def style_features(text: Column, title: Column, rating: Column) -> list[Column]:
-    """The eight review style features, on rows that have ``style_inputs``."""
-    capitals = F.regexp_count(text, F.lit("[A-Z]"))
+def scanned_style_inputs(text: Column) -> Column:
+    """A struct of what ``style_inputs`` counts, characters and capitals, by one scan."""
+    return F.arrow_udf(scans.style_counts, "struct<chars: int, visible: int, words: int, letters: int, capitals: int>")(text)
+
+
+def style_features(text: Column, title: Column, rating: Column, scan: bool = False) -> list[Column]:
+    """The eight review style features, on rows that have ``style_inputs``, of a scan together with ``_chars`` and ``_capitals``."""
+    capitals = F.col("_capitals") if scan else F.regexp_count(text, F.lit("[A-Z]"))
     return [
-        F.length(text).alias("text_length"),
+        (F.col("_chars") if scan else F.length(text)).alias("text_length"),
         F.col("_words").alias("word_count"),
         F.coalesce(rating, F.lit(3.0)).alias("rating"),
         F.length(F.coalesce(title, F.lit(""))).alias("title_length"),

@@ -17,11 +17,15 @@ STYLE = ["text_length", "word_count", "rating", "title_length", "has_exclamation
 MAX_ERROR = 2.0
 
 
-def style_table(reviews: DataFrame) -> DataFrame:
-    """id, the eight style features and the target votes."""
+def style_table(reviews: DataFrame, scan: bool = False) -> DataFrame:
+    """id, the eight style features and the target votes. Store them for ``fit``, which reads its rows many times; then ``scan``."""
     staged = reviews.withColumn("_text", F.coalesce("text", F.lit("")))
-    staged = staged.select("*", *tx.style_inputs(F.col("_text")))
-    return staged.select("id", *tx.style_features(F.col("_text"), F.col("title"), F.col("rating")), "helpful_votes")
+    if scan:
+        counted = staged.select("*", tx.scanned_style_inputs(F.col("_text")).alias("_style"))
+        staged = counted.select("*", *(F.col(f"_style.{c}").alias(f"_{c}") for c in ("chars", "visible", "words", "letters", "capitals")))
+    else:
+        staged = staged.select("*", *tx.style_inputs(F.col("_text")))
+    return staged.select("id", *tx.style_features(F.col("_text"), F.col("title"), F.col("rating"), scan), "helpful_votes")
 
 
 def _vectors(df: DataFrame, scaler: Scaler) -> DataFrame:

@@ -23,8 +23,8 @@ def entity_counts(
     """
     groups = F.array(
         _group("review", F.array(F.lit(""))),
-        _group("component", tx.find_phrases(text, vocab.COMPONENTS)),
-        _group("issue", tx.find_phrases(text, vocab.ISSUES)),
+        _group("component", tx.find_phrases(text, vocab.COMPONENTS, scan=True)),
+        _group("issue", tx.find_phrases(text, vocab.ISSUES, scan=True)),
     )
     # Texts are read in this projection only; the explodes pass on short values. The first one is an outer explode, as
     # for an inner one Spark adds a filter on the array's size, which would search every text twice.
@@ -69,7 +69,7 @@ def daily_features(reviews: DataFrame, entities: bool = True, together: bool = F
     of an asin are stored in one bucket, so nothing needs to be shuffled.
     """
     dated = reviews.withColumn("date", F.to_date("timestamp")).filter("asin IS NOT NULL AND date IS NOT NULL")
-    keywords = tx.complaint_score(F.col("text")).alias("keywords")
+    keywords = tx.complaint_score(F.col("text"), scan=entities).alias("keywords")
     measures = [*rating_measures(), F.sum("keywords").alias("keywords")]
     rating_avg = F.try_divide("rating_sum", "rating_count")
     if not entities:

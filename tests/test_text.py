@@ -139,11 +139,18 @@ def test_scanned_texts_give_what_the_pattern_finds(spark):
     text, lowered = F.col("text"), F.lower(F.coalesce("text", F.lit("")))
     for phrases in (vocab.ISSUES, vocab.COMPONENTS):
         pattern = tx.find_pattern(text, tx.phrase_pattern(phrases))
-        assert df.filter(~tx.find_phrases(text, phrases).eqNullSafe(pattern)).isEmpty()
+        assert df.filter(~tx.find_phrases(text, phrases, scan=True).eqNullSafe(pattern)).isEmpty()
     present = sum((lowered.contains(p).cast("int") for p in vocab.COMPLAINT_KEYWORDS), F.lit(0))
-    assert df.filter(~tx.complaint_score(text).eqNullSafe(present)).isEmpty()
+    assert df.filter(~tx.complaint_score(text, scan=True).eqNullSafe(present)).isEmpty()
 
 
 def test_patterns_search_narrowed_texts_only(spark):
-    plan = spark.range(1).select(tx.find_phrases(F.col("id").cast("string"), vocab.ISSUES))._jdf.queryExecution().executedPlan().toString()
+    plan = spark.range(1).select(tx.find_phrases(F.col("id").cast("string"), vocab.ISSUES, scan=True))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and plan.index("regexp_extract_all(") < plan.index("ArrowEvalPython")
+
+
+def test_a_scan_gives_the_native_style_features(spark):
+    texts = ["", "  two  words ", "ÀB c\u3000d e!", "\u00a0x ", "no?", "\n\t ", "A\x1cB\x85C", None, "a.b  C!?", "日本 é\u2003"]
+    df = spark.createDataFrame([(i, t, "T", 1.0, 1) for i, t in enumerate(texts)], "id long, text string, title string, rating double, helpful_votes int")
+    native, scanned = (helpfulness.style_table(df, scan) for scan in (False, True))
+    assert native.dtypes == scanned.dtypes and native.exceptAll(scanned).isEmpty() and scanned.count() == len(texts)
