@@ -82,8 +82,8 @@ class Tables:
             _settled[key] = settle(build(), name)
         return _settled[key]
 
-    def review_rows(self, events: DataFrame, tasks: int | None = None) -> DataFrame:
-        """Reviews from event rows (a stream or a table), each with the whole text of one document.
+    def review_rows(self, events: DataFrame, tasks: int | None = None, *others: str) -> DataFrame:
+        """Reviews from event rows (a stream or a table), each with the whole text of one document, and ``others`` of the events.
 
         With ``tasks``, both sides are laid out by document over that many tasks. The sides are narrow compared with
         the joined rows, so sizes measured before the join would choose too few.
@@ -113,6 +113,7 @@ class Tables:
             F.when(event % 89 != 0, F.concat(phrase, F.col("doc_text"))).alias("text"),
             F.floor("value").cast("int").alias("helpful_votes"),
             F.when(event % 101 != 0, F.col("ts").cast("timestamp")).alias("timestamp"),
+            *others,
         )
 
     @cached_property
@@ -250,8 +251,10 @@ class Tables:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        embeddings = self.source("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-        return embeddings.join(self.reviews.select("id", "asin", "rating", "title", "text"), "id")
+        """Events meet embeddings before texts, which would be shuffled for all reviews otherwise."""
+        embeddings = self.source("embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("vec"))
+        found = self.review_rows(self.source("events").join(embeddings, "event_id"), None, "vec")
+        return found.select("id", "vec", "asin", "rating", "title", "text")
 
 
 def quoted(text: str) -> str:
