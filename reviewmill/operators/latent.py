@@ -21,7 +21,7 @@ from reviewmill.functions import text as tx
 from reviewmill.session import settle
 
 TERMS, WIDTH, EXTRA, ROUNDS, SEED = 4096, 64, 16, 6, 5
-SLICES, FAN, ENTRIES = 16, 64, 1 << 16
+SLICES, FAN, BLOCK = 16, 64, 1 << 20  # numbers of a full matrix
 
 
 def term_lists(reviews: DataFrame, terms: int = TERMS, key: str = "id", text: str = "text") -> DataFrame:
@@ -45,7 +45,7 @@ class Rows:
 
     def __init__(self, column: pa.Array, weights: np.ndarray):
         sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-        self.n = len(column)
+        self.n, self.terms = len(column), len(weights)
         of = np.repeat(np.arange(self.n), np.nan_to_num(sizes).astype(np.int64))
         entry, count = np.unique(of * len(weights) + column.flatten().to_numpy(zero_copy_only=False), return_counts=True)
         self.row, self.term = np.divmod(entry, len(weights))
@@ -53,27 +53,29 @@ class Rows:
         length = np.sqrt(np.bincount(self.row, self.value**2, self.n))
         self.value = self.value / np.where(length > 0, length, 1)[self.row]
 
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Some rows, the terms in them, and their values as a full matrix: products of it cost a fraction of adding up entries."""
+        step = max(1, BLOCK // max(1, self.terms))
+        cuts = np.searchsorted(self.row, np.arange(0, self.n + step, step))
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            if low < high:
+                terms, at = np.unique(self.term[low:high], return_inverse=True)
+                rows = slice(k * step, min(self.n, (k + 1) * step))
+                full = np.zeros((rows.stop - rows.start, len(terms)))
+                full[self.row[low:high] - rows.start, at] = self.value[low:high]
+                yield rows, terms, full
+
     def times(self, basis: np.ndarray) -> np.ndarray:
         """The rows multiplied with a terms x width matrix."""
         out = np.zeros((self.n, basis.shape[1]))
-        for low in range(0, len(self.row), ENTRIES):
-            part = slice(low, low + ENTRIES)
-            _add(out, self.row[part], self.value[part, None] * basis[self.term[part]])
+        for rows, terms, full in self.blocks():
+            out[rows] = full @ basis[terms]
         return out
 
-    def transposed_times(self, right: np.ndarray, into: np.ndarray) -> None:
-        """Adds the product of the transposed rows with a rows x width matrix."""
-        order = np.argsort(self.term, kind="stable")
-        for low in range(0, len(order), ENTRIES):
-            part = order[low : low + ENTRIES]
-            _add(into, self.term[part], self.value[part, None] * right[self.row[part]])
-
-
-def _add(into: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Adds rows to the places ``at``, which ascend."""
-    if len(at):
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        into[at[first]] += np.add.reduceat(values, first)
+    def add_gram_times(self, basis: np.ndarray, into: np.ndarray) -> None:
+        """Adds the product of the transposed rows, the rows and a terms x width matrix."""
+        for _, terms, full in self.blocks():
+            into[terms] += full.T @ (full @ basis[terms])
 
 
 def gram_times(lists: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -86,8 +88,7 @@ def gram_times(lists: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.n
         weights, basis = sent.value
         total = np.zeros(basis.shape)
         for batch in batches:
-            rows = Rows(batch.column(0), weights)
-            rows.transposed_times(rows.times(basis), total)
+            Rows(batch.column(0), weights).add_gram_times(basis, total)
         parts = [total[low:high].tobytes() for low, high in zip(cuts, cuts[1:])]
         group = [TaskContext.get().partitionId() % FAN] * SLICES
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "fan": pa.array(group, pa.int32()), "data": pa.array(parts, pa.binary())})

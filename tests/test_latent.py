@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewmill.operators import latent, search
@@ -47,3 +48,14 @@ def test_lengths_and_empty_tables(spark):
     got = {r["id"]: np.linalg.norm(r["vec"]) for r in latent.latent_vectors(df, terms=64, width=4).collect()}
     assert got == {1: pytest.approx(1), 2: 0, 3: pytest.approx(1)}
     assert latent.latent_vectors(df.limit(0), terms=64, width=4).collect() == []
+
+
+def test_products_by_blocks_equal_numpy(monkeypatch):
+    rng = np.random.default_rng(6)
+    lists = [None if i % 9 == 0 else rng.integers(0, 50, rng.integers(0, 30)).tolist() for i in range(103)]
+    weights, basis = rng.random(50) + 0.1, rng.normal(size=(50, 7))
+    for block in (1, 64, 500, 1 << 20):
+        monkeypatch.setattr(latent, "BLOCK", block)
+        rows, total, whole = latent.Rows(pa.array(lists, pa.list_(pa.int32())), weights), np.ones((50, 7)), dense(lists, weights)
+        rows.add_gram_times(basis, total)
+        assert rows.times(basis) == pytest.approx(whole @ basis) and total == pytest.approx(1 + whole.T @ (whole @ basis))
