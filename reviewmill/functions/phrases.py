@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -42,11 +43,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def windows(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``WINDOW`` bytes in all, or of a single longer row."""
+def windows(offsets: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``size`` bytes in all, or of a single longer row."""
     low, rows = 0, len(offsets) - 1
     while low < rows:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + WINDOW, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         yield low, high
         low = high
 
@@ -219,3 +220,106 @@ def style_counts(texts: pa.Array) -> pa.Array:
             sum_of[rows] = np.add.reduceat(mask, edges, dtype=np.int64)
     names = ["chars", "visible", "words", "letters", "capitals"]
     return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in sums], names)
+
+
+class WordPlaces:
+    """Counts the words of texts by the start of their md5 modulo ``dims``: what the pattern ``WORD`` of ``text`` finds, that is
+    letters, digits, "_" and, not in front, "'", two characters at least. ``letters`` are the letters and digits outside ASCII."""
+
+    KNOWN, BYTES = 1 << 19, 8 * WINDOW  # words whose place is remembered; bytes whose words are told apart together
+
+    def __init__(self, dims: int, letters: np.ndarray):
+        self.dims, self.places = dims, {}
+        self.inside = table(LETTERS + CAPITALS + b"0123456789_'").tobytes()
+        beyond = np.zeros(0x110000, bool)
+        beyond[letters] = True
+        self.beyond = np.packbits(beyond)
+
+    def _members(self, part: bytes, data: np.ndarray) -> np.ndarray:
+        """Which bytes belong to characters of words."""
+        inside = np.frombuffer(part.translate(self.inside), bool)
+        if part.isascii():
+            return inside
+        inside, lead = inside.copy(), np.flatnonzero(data >= 0xC0)
+        size = _size(data[lead])
+        code = data[lead].astype(np.int32) & (0x7F >> size)
+        for i in (1, 2, 3):
+            more = size > i
+            code[more] = code[more] << 6 | data[lead[more] + i] & 0x3F
+        found = (self.beyond[code >> 3] >> (7 - (code & 7)) & 1).astype(bool)
+        for i in range(4):
+            inside[lead[found & (size > i)] + i] = True
+        return inside
+
+    def split(self, part: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in the texts of a window."""
+        data = np.frombuffer(part, np.uint8)
+        inside = self._members(part, data)
+        change = np.ones(len(data) + 1, bool)
+        np.not_equal(inside[1:], inside[:-1], out=change[1:-1])
+        change[offsets] = True
+        bounds = np.flatnonzero(change)
+        real = inside[bounds[:-1]]
+        starts, ends = bounds[:-1][real], bounds[1:][real]
+        quoted = data[starts] == 39
+        if quoted.any():
+            solid = np.append(np.flatnonzero(data != 39), len(data))
+            starts[quoted] = np.minimum(solid[np.searchsorted(solid, starts[quoted])], ends[quoted])
+        keep = ends - starts > _size(data[np.minimum(starts, len(data) - 1)])
+        return starts[keep], ends[keep]
+
+    def _place(self, word: bytes) -> int:
+        place = self.places.get(word)
+        if place is None:
+            if len(self.places) >= self.KNOWN:
+                self.places.clear()
+            place = self.places[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big") % self.dims
+        return place
+
+    def find(self, part: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places and counts of the words in the texts of a window, in order."""
+        starts, ends = self.split(part, offsets) if part else (np.zeros(0, np.int64),) * 2
+        if not len(starts):
+            return (np.zeros(0, np.int64),) * 3
+        # The words are every other value of one array over the bytes; what lies between them is null.
+        bounds = np.stack([starts, ends], axis=1).ravel()
+        valid = pa.py_buffer(b"\x55" * (len(starts) // 4 + 1))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [valid, pa.py_buffer(bounds), pa.py_buffer(part)])
+        coded = words.dictionary_encode()
+        places = np.fromiter(map(self._place, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        place = places[np.frombuffer(coded.indices.buffers()[1], np.int32)[: len(bounds) - 1 : 2]]
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+        pairs, counts = np.unique(row * self.dims + place, return_counts=True)
+        return *np.divmod(pairs, self.dims), counts
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """A sparse vector of counts for each text, as Spark stores them."""
+        data, offsets = flat(texts)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for low, high in windows(offsets, self.BYTES):
+            row, place, count = self.find(data[offsets[low] : offsets[high]].tobytes(), offsets[low : high + 1] - offsets[low])
+            found.append((row + low, place, count))
+        row, place, count = (np.concatenate(x) for x in zip(*found))
+        at = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+        columns = {
+            "type": pa.array(np.zeros(len(texts), np.int8)),
+            "size": pa.array(np.full(len(texts), self.dims, np.int32)),
+            "indices": pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))),
+            "values": pa.ListArray.from_arrays(at, pa.array(count.astype(float))),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
+def word_counts(dims: int, letters: np.ndarray) -> Callable[[pa.Array], pa.Array]:
+    """How many words of each text have each place."""
+    places = WordPlaces(dims, letters)
+
+    def count(texts: pa.Array) -> pa.Array:
+        return places(texts)
+
+    return count
+
+
+def _size(lead: np.ndarray) -> np.ndarray:
+    """Bytes of the characters that start with these bytes."""
+    return 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)

@@ -11,7 +11,9 @@ import string
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill import vocab
@@ -105,6 +107,15 @@ def complaint_score(text: Column, scan: bool = False) -> Column:
     return count_present(text, vocab.COMPLAINT_KEYWORDS, scan)
 
 
+def word_places(spark: SparkSession, text: Column, dims: int) -> Column:
+    """How often words of each place occur in ``text``, as a sparse vector, by a scan; a word's place is the start of its md5 modulo
+    ``dims``. Which characters outside ASCII make words is asked of Spark's own patterns, so that both find the same."""
+    codes = spark.range(0x80, 0x110000).filter(f"id NOT BETWEEN {0xD800} AND {0xDFFF}")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    letters = codes.filter(char.rlike(r"[\p{L}\p{N}]")).toPandas()["id"].to_numpy(np.int64)
+    return F.arrow_udf(scans.word_counts(dims, letters), VectorUDT())(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def prefix(text: Column, length: int) -> Column:
     """The first ``length`` characters."""
     return F.substring(text, 1, length)

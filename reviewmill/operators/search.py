@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
+from pyspark.ml.feature import IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,21 +21,19 @@ BLOCK_ROWS, TILE, CHUNK = 4096, 256, 1 << 14
 SLACK = 1e-9  # above the rounding of the products
 
 
-def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS, precision: str = "float32") -> DataFrame:
+def text_vectors(reviews: DataFrame, dims: int = DIMENSIONS, precision: str = "float32", whole: str | None = None) -> DataFrame:
     """Unit-length TF-IDF vectors of whole texts as ``vec``, for every row; a text without words has a zero vector.
 
     A word's component is the start of its md5 modulo ``dims``, its weight ln((rows + 1) / (rows with it + 1)). Texts are
-    read once: their components are settled as small numbers, from which weights and vectors are worked out. The other
-    columns travel with them, so keep only those that are needed.
+    read once: their components are counted by a scan and settled as sparse vectors, from which weights and vectors are worked
+    out. The other columns travel with them, so keep only those that are needed. ``whole`` names a column with the texts
+    that does not travel, instead of ``text``.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({tx.WORD})"), F.lit(1))
-    place = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("string"))
-    rows = settle(reviews.withColumn("_words", place), "terms")
-    places = [str(i) for i in range(dims)]
-    counter = CountVectorizerModel.from_vocabulary(places, inputCol="_words", outputCol="_tf")
-    stages = [counter, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit")]
+    counted = reviews.withColumn("_tf", tx.word_places(reviews.sparkSession, F.col(whole or "text"), dims))
+    rows = settle(counted.drop(whole) if whole else counted, "terms")
+    stages = [IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_unit")]
     vectors = Pipeline(stages=stages).fit(rows).transform(rows)
-    return vectors.withColumn("vec", vector_to_array("_unit", precision)).drop("_words", "_tf", "_tfidf", "_unit")
+    return vectors.withColumn("vec", vector_to_array("_unit", precision)).drop("_tf", "_tfidf", "_unit")
 
 
 def vector_records(vectors: DataFrame) -> DataFrame:
