@@ -12,7 +12,7 @@ ROLLING_ROWS = 7
 
 
 def entity_counts(
-    reviews: DataFrame, keys: list[str], text: Column, inputs: list[Column], measures: list[Column]
+    reviews: DataFrame, keys: list[str], text: Column, inputs: list[Column], measures: list[Column], scan: bool = True
 ) -> DataFrame:
     """Counts per (keys, kind, entity), with one extra row per key under kind "review" for the measures.
 
@@ -23,8 +23,8 @@ def entity_counts(
     """
     groups = F.array(
         _group("review", F.array(F.lit(""))),
-        _group("component", tx.find_phrases(text, vocab.COMPONENTS, scan=True)),
-        _group("issue", tx.find_phrases(text, vocab.ISSUES, scan=True)),
+        _group("component", tx.find_phrases(text, vocab.COMPONENTS, scan)),
+        _group("issue", tx.find_phrases(text, vocab.ISSUES, scan)),
     )
     # Texts are read in this projection only; the explodes pass on short values. The first one is an outer explode, as
     # for an inner one Spark adds a filter on the array's size, which would search every text twice.
@@ -66,10 +66,12 @@ def daily_features(reviews: DataFrame, entities: bool = True, together: bool = F
     """One row per (asin, date) before the rolling means. Null asins and dates are left out, as in a pandas groupby.
 
     Without ``entities`` the dictionaries are not searched and the two count maps are missing. ``together`` says that the rows
-    of an asin are stored in one bucket, so nothing needs to be shuffled.
+    of an asin are stored in one bucket, so nothing needs to be shuffled; texts are not scanned then, as Spark does not know rows
+    from Python to be partitioned.
     """
+    scan = entities and not together
     dated = reviews.withColumn("date", F.to_date("timestamp")).filter("asin IS NOT NULL AND date IS NOT NULL")
-    keywords = tx.complaint_score(F.col("text"), scan=entities).alias("keywords")
+    keywords = tx.complaint_score(F.col("text"), scan).alias("keywords")
     measures = [*rating_measures(), F.sum("keywords").alias("keywords")]
     rating_avg = F.try_divide("rating_sum", "rating_count")
     if not entities:
@@ -82,7 +84,7 @@ def daily_features(reviews: DataFrame, entities: bool = True, together: bool = F
             "negative_count",
             F.col("keywords").alias("complaint_keywords"),
         )
-    counts = entity_counts(dated, ["asin", "date"], F.col("text"), [F.col("rating"), keywords], measures)
+    counts = entity_counts(dated, ["asin", "date"], F.col("text"), [F.col("rating"), keywords], measures, scan)
     # One more shuffle, of reduced rows, serves both the grouping by day and the windows by product.
     return (counts if together else counts.repartition("asin")).groupBy("asin", "date").agg(
         of_kind("review", rating_avg, "rating_avg"),

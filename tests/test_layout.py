@@ -66,3 +66,16 @@ def test_empty_table(spark, stored):
     reviews, _ = stored
     laid = layout.write_layout(reviews.limit(0), "laid_out_nothing", new_path(spark, "layout"), 4)
     assert laid.reviews.collect() == [] and layout.read_layout(spark, "laid_out_nothing").apart.columns == reviews.columns
+
+
+def test_rows_are_stored_by_the_tasks_that_read_them(spark, stored):
+    reviews, _ = stored
+    read = reviews.repartition(5, "id").withColumn("task", F.spark_partition_id())
+    laid = layout.write_layout(read, "laid_out_in_place", new_path(spark, "layout"), 4)
+    assert rows(laid.reviews.select(reviews.columns)) == rows(reviews)
+    for part in (laid.bucketed, laid.apart):
+        files = part.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("task").alias("tasks")).collect()
+        assert {f["tasks"] for f in files} == {1} and part.select("task").distinct().count() == 5
+    for file in {f for f in laid.bucketed.inputFiles()}:
+        found = [(r["asin"], r["timestamp"]) for r in spark.read.parquet(file).select("asin", "timestamp").collect()]
+        assert found == sorted(found)
