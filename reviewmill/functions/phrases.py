@@ -19,6 +19,9 @@ SMALL = bytes.maketrans(CAPITALS, LETTERS)
 TO_ASCII = {"K": "k", "İ": "i̇"}
 CIRCLED = [(0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189)]
 SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+EIGHT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first i bytes of eight
+MANY = 255
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 PLAIN = re.compile(r"[a-z0-9_][\x20-\x40\x5b-\x7e]+[a-z0-9_]")
 
 
@@ -226,10 +229,11 @@ class WordPlaces:
     """Counts the words of texts by the start of their md5 modulo ``dims``: what the pattern ``WORD`` of ``text`` finds, that is
     letters, digits, "_" and, not in front, "'", two characters at least. ``letters`` are the letters and digits outside ASCII."""
 
-    KNOWN, BYTES = 1 << 19, 8 * WINDOW  # words whose place is remembered; bytes whose words are told apart together
+    KNOWN, BYTES = 1 << 19, 2 * WINDOW  # words whose place is remembered; bytes whose words are told apart together
+    SLOTS, SHORT = 1 << 20, 16  # of a table of words of at most so many bytes, a slot holds the last one met
 
     def __init__(self, dims: int, letters: np.ndarray):
-        self.dims, self.places = dims, {}
+        self.dims, self.places, self.slots = dims, {}, None
         self.inside = table(LETTERS + CAPITALS + b"0123456789_'").tobytes()
         beyond = np.zeros(0x110000, bool)
         beyond[letters] = True
@@ -276,30 +280,69 @@ class WordPlaces:
             place = self.places[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big") % self.dims
         return place
 
-    def find(self, part: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, places and counts of the words in the texts of a window, in order."""
-        starts, ends = self.split(part, offsets) if part else (np.zeros(0, np.int64),) * 2
-        if not len(starts):
-            return (np.zeros(0, np.int64),) * 3
+    def _distinct(self, part: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of the words from ``starts`` to ``ends``, worked out once for equal words."""
         # The words are every other value of one array over the bytes; what lies between them is null.
         bounds = np.stack([starts, ends], axis=1).ravel()
         valid = pa.py_buffer(b"\x55" * (len(starts) // 4 + 1))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [valid, pa.py_buffer(bounds), pa.py_buffer(part)])
         coded = words.dictionary_encode()
         places = np.fromiter(map(self._place, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        place = places[np.frombuffer(coded.indices.buffers()[1], np.int32)[: len(bounds) - 1 : 2]]
+        return places[np.frombuffer(coded.indices.buffers()[1], np.int32)[: len(bounds) - 1 : 2]]
+
+    def _places(self, part: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of the words from ``starts`` to ``ends``. A short word is two numbers, its bytes filled up with zeros, which no
+        word has; a slot of the table is chosen by both and compared with both."""
+        if self.slots is None:
+            self.slots = np.zeros((2, self.SLOTS), np.uint64), np.zeros(self.SLOTS, np.int32)
+        keys, known = self.slots
+        size, eight = ends - starts, np.ndarray(len(part) + 8, "<u8", part + bytes(16), strides=(1,))
+        first = eight[starts] & EIGHT[np.minimum(size, 8)]
+        second = eight[np.minimum(starts + 8, len(part))] & EIGHT[np.clip(size - 8, 0, 8)]
+        slot = ((first * MIX[0] ^ second * MIX[1]) >> np.uint64(32)).astype(np.int64) % self.SLOTS
+        place, short = known[slot], size <= self.SHORT
+        rest = np.flatnonzero(~(short & (keys[0][slot] == first) & (keys[1][slot] == second)))
+        if len(rest):
+            place[rest] = self._distinct(part, starts[rest], ends[rest])
+            rest = rest[short[rest]]
+            taken, at = np.unique(slot[rest], return_index=True)
+            one = rest[at]
+            keys[0][taken], keys[1][taken], known[taken] = first[one], second[one], place[one]
+        return place
+
+    def find(self, part: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places and counts of the words in the texts of a window, in order."""
+        starts, ends = self.split(part, offsets) if part else (np.zeros(0, np.int64),) * 2
+        if not len(starts):
+            return (np.zeros(0, np.int64),) * 3
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-        pairs, counts = np.unique(row * self.dims + place, return_counts=True)
-        return *np.divmod(pairs, self.dims), counts
+        pairs = row * self.dims + self._places(part, starts, ends)
+        pairs, counts = np.unique(pairs.astype(np.int32) if len(offsets) * self.dims < 1 << 31 else pairs, return_counts=True)
+        return *np.divmod(pairs.astype(np.int64), self.dims), counts
 
-    def __call__(self, texts: pa.Array) -> pa.Array:
-        """A sparse vector of counts for each text, as Spark stores them."""
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, places and counts of the words of a column, in order."""
         data, offsets = flat(texts)
         found = [(np.zeros(0, np.int64),) * 3]
         for low, high in windows(offsets, self.BYTES):
             row, place, count = self.find(data[offsets[low] : offsets[high]].tobytes(), offsets[low : high + 1] - offsets[low])
             found.append((row + low, place, count))
-        row, place, count = (np.concatenate(x) for x in zip(*found))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def packed(self, texts: pa.Array) -> pa.Array:
+        """The places in each text in order, and their counts, as bytes: a fraction of the cost of lists on the way to and from Spark.
+        A count is one byte; from ``MANY`` on that byte is ``MANY`` and the count follows in ``many``."""
+        row, place, count = self.counted(texts)
+        at, many = np.searchsorted(row, np.arange(len(texts) + 1)), np.flatnonzero(count >= MANY)
+        parts = [
+            _bytes(place, at, place_kind(self.dims)), _bytes(np.minimum(count, MANY), at, np.dtype("u1")),
+            _bytes(count[many], np.searchsorted(many, at), np.dtype("<i4")),
+        ]
+        return pa.StructArray.from_arrays(parts, ["places", "counts", "many"])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """A sparse vector of counts for each text, as Spark stores them."""
+        row, place, count = self.counted(texts)
         at = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
         columns = {
             "type": pa.array(np.zeros(len(texts), np.int8)),
@@ -320,6 +363,44 @@ def word_counts(dims: int, letters: np.ndarray) -> Callable[[pa.Array], pa.Array
     return count
 
 
+def packed_words(dims: int, letters: np.ndarray) -> Callable[[pa.Array], pa.Array]:
+    """The places in each text and their counts, packed."""
+    places = WordPlaces(dims, letters)
+
+    def pack(texts: pa.Array) -> pa.Array:
+        return places.packed(texts)
+
+    return pack
+
+
+def place_kind(dims: int) -> np.dtype:
+    """How packed places below ``dims`` are stored."""
+    return np.dtype("<u2" if dims <= 1 << 16 else "<i4")
+
+
+def unpacked(packed: pa.StructArray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and counts of packed words."""
+    (places, _), (counts, at), (many, _) = (_flat_bytes(packed.field(name)) for name in ("places", "counts", "many"))
+    counts = counts.astype(np.int64)
+    if len(many):
+        counts[counts == MANY] = many.view("<i4")
+    return np.repeat(np.arange(len(packed)), np.diff(at)), places.view(place_kind(dims)).astype(np.int64), counts
+
+
+def _bytes(values: np.ndarray, at: np.ndarray, kind: np.dtype) -> pa.Array:
+    offsets = pa.py_buffer((at * kind.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(values.astype(kind))])
+
+
+def _flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and its n + 1 offsets."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 def _size(lead: np.ndarray) -> np.ndarray:
     """Bytes of the characters that start with these bytes."""
     return 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)

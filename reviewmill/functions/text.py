@@ -109,11 +109,21 @@ def complaint_score(text: Column, scan: bool = False) -> Column:
 
 def word_places(spark: SparkSession, text: Column, dims: int) -> Column:
     """How often words of each place occur in ``text``, as a sparse vector, by a scan; a word's place is the start of its md5 modulo
-    ``dims``. Which characters outside ASCII make words is asked of Spark's own patterns, so that both find the same."""
+    ``dims``."""
+    return F.arrow_udf(scans.word_counts(dims, word_letters(spark)), VectorUDT())(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def packed_words(spark: SparkSession, text: Column, dims: int) -> Column:
+    """What ``word_places`` counts, as a struct of bytes that ``phrases.unpacked`` reads."""
+    packed = "struct<places: binary, counts: binary, many: binary>"
+    return F.arrow_udf(scans.packed_words(dims, word_letters(spark)), packed)(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def word_letters(spark: SparkSession) -> np.ndarray:
+    """Which characters outside ASCII make words, asked of Spark's own patterns, so that scans find the same."""
     codes = spark.range(0x80, 0x110000).filter(f"id NOT BETWEEN {0xD800} AND {0xDFFF}")
     char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
-    letters = codes.filter(char.rlike(r"[\p{L}\p{N}]")).toPandas()["id"].to_numpy(np.int64)
-    return F.arrow_udf(scans.word_counts(dims, letters), VectorUDT())(F.lower(F.coalesce(text, F.lit(""))))
+    return codes.filter(char.rlike(r"[\p{L}\p{N}]")).toPandas()["id"].to_numpy(np.int64)
 
 
 def prefix(text: Column, length: int) -> Column:

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -59,3 +61,39 @@ def test_products_by_blocks_equal_numpy(monkeypatch):
         rows, total, whole = latent.Rows(pa.array(lists, pa.list_(pa.int32())), weights), np.ones((50, 7)), dense(lists, weights)
         rows.add_gram_times(basis, total)
         assert rows.times(basis) == pytest.approx(whole @ basis) and total == pytest.approx(1 + whole.T @ (whole @ basis))
+
+
+def test_texts_are_stored_as_packed_counts(spark):
+    texts = ["battery " * 300 + "died", "Battery died", None, "", "'", "battery " * 255]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    for terms, size in ((4096, 2), (1 << 17, 4)):
+        stored = latent.term_counts(df, terms)
+        place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % terms
+        rows = {r["id"]: r["terms"] for r in stored.collect()}
+        assert [len(rows[i]["places"]) for i in range(6)] == [2 * size, 2 * size, 0, 0, 0, size]
+        assert [len(rows[i]["counts"]) for i in range(6)] == [2, 2, 0, 0, 0, 1] and len(rows[0]["many"]) == 4 == len(rows[5]["many"])
+        listed = {r["id"]: r["terms"] for r in latent.term_lists(df, terms).collect()}
+        words = [[w for w in (t or "").lower().split() if w != "'"] for t in texts]
+        assert listed == {i: sorted(map(place, found)) for i, found in enumerate(words)}
+        column = pa.array([dict(rows[i].asDict()) for i in range(6)], pa.struct([(x, pa.binary()) for x in ("places", "counts", "many")]))
+        for part, low in ((column, 0), (column.slice(1, 4), 1), (column.slice(4), 4), (column.slice(6), 6)):
+            row, term, count = latent.entries(part, terms)
+            found = [np.repeat(term[row == i], count[row == i]).tolist() for i in range(len(part))]
+            assert found == [listed[i] for i in range(low, low + len(part))]
+
+
+def test_packed_counts_and_lists_give_the_same_fit(spark):
+    df = spark.createDataFrame([*topics(60), (900, None)], "id long, text string").repartition(3)
+    packed, lists = (latent.fit(x(df, 64), 64, width=4, extra=8, rounds=3) for x in (latent.term_counts, latent.term_lists))
+    assert packed.weights == pytest.approx(lists.weights) and packed.values == pytest.approx(lists.values)
+    assert packed.directions == pytest.approx(lists.directions, abs=1e-4)
+
+
+def test_rounds_multiply_in_single_precision_and_add_up_in_double():
+    rng = np.random.default_rng(8)
+    lists = [rng.integers(0, 90, rng.integers(0, 60)).tolist() for _ in range(300)]
+    weights, basis = rng.random(90) + 0.1, np.linalg.qr(rng.normal(size=(90, 6)))[0].astype(np.float32)
+    rows, total, whole = latent.Rows(pa.array(lists, pa.list_(pa.int32())), weights), np.zeros((90, 6)), dense(lists, weights)
+    assert {full.dtype for _, _, full in rows.blocks(basis.dtype)} == {np.dtype("float32")} and rows.times(basis).dtype == np.float32
+    rows.add_gram_times(basis, total)
+    assert total == pytest.approx(whole.T @ (whole @ basis), abs=1e-4)

@@ -56,3 +56,18 @@ def test_text_vectors_store_components_without_whole_texts(spark):
         length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         assert row["vec"] == pytest.approx([weights.get(i, 0.0) / length for i in range(search.DIMENSIONS)])
         assert row["text"] == (texts[row["id"]][:3] if texts[row["id"]] is not None else None)
+
+
+def test_words_that_share_a_slot_keep_their_places(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("ab_é", k=rng.randrange(2, 20))) for _ in range(80)] + ["a" * n for n in range(2, 20)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(60)]
+    monkeypatch.setattr(scans.WordPlaces, "BYTES", 300)
+    for slots in (1, 7, 1 << 20):
+        monkeypatch.setattr(scans.WordPlaces, "SLOTS", slots)
+        found = scans.word_counts(512, np.array([0xE9]))(pa.array(texts)).to_pylist()
+        for text, got in zip(texts, found):
+            want = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 512 for w in text.split())
+            assert dict(zip(got["indices"], got["values"])) == want
